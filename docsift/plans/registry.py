@@ -1,4 +1,306 @@
 """Queries of the search and retrieval operators, and DuckDB SQL for them."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsift.functions import text as X
+from docsift.operators import bm25, dedup, inventory, names, retrieval, sections
+from docsift.sources.files import html_text
+
+QUERY = "the with of nation ing"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_./-]+')"
+_BM25 = f"""
+toks as (select doc_id, {_TOKENS} t from documents),
+stat as (select count(*) n, sum(len(t)) / count(*) avgdl from toks),
+q as (select unnest(['the', 'with', 'of', 'nation', 'ing']) term),
+tf as (select doc_id, len(t) dl, q.term, len(list_filter(t, lambda x: x = q.term)) f from toks, q),
+idf as (select term, ln(1 + (any_value(n) - count(*) filter (where f > 0) + 0.5) / (count(*) filter (where f > 0) + 0.5)) idf from tf, stat group by term),
+scored as (select doc_id, round(sum(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / (avgdl + 1e-9)) + 1e-9)), 6) score
+           from tf join idf using (term), stat group by doc_id),
+sparse as (select doc_id, score from scored order by score desc, doc_id limit 30)"""
+
+
+@query(f"with {_BM25} select * from sparse")
+def bm25_topk(spark, d):
+    return bm25.top_k(table(spark, d, "documents"), "doc_id", "text", QUERY, 30)
+
+
+@query(f"select term, count(distinct doc_id) df from (select doc_id, unnest({_TOKENS}) term from documents) group by 1")
+def token_df(spark, d):
+    return bm25.document_frequency(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"select doc_id, term, count(*) tf from (select doc_id, unnest({_TOKENS}) term from documents) group by 1, 2")
+def bm25_postings(spark, d):
+    return bm25.postings(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _names(spark, d, q):
+    return table(spark, d, "part").where(names.compile_query(q, F.col("p_name"))).select("p_partkey", "p_name")
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'part 1')")
+def name_contains(spark, d):
+    return _names(spark, d, "Part 1")
+
+
+@query("select p_partkey, p_name from part where regexp_matches(p_name, '1.*art|art.*1', 'i')")
+def name_star_unordered(spark, d):
+    return _names(spark, d, "1*art")
+
+
+@query("select p_partkey, p_name from part where regexp_matches(p_name, 'p.*r.*7.*', 'i')")
+def name_star_general(spark, d):
+    return _names(spark, d, "p*r*7*")
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), '2') and not regexp_matches(p_name, '1.*5|5.*1', 'i')")
+def name_percent_exclude(spark, d):
+    return _names(spark, d, "2 % 1*5")
+
+
+@query()
+def fuzzy_all_terms(spark, d):
+    rows = table(spark, d, "part")
+    return rows.where(names.fuzzy("@prat 12", F.col("p_name"), {"prat": ["part"]})).select("p_partkey", "p_name")
+
+
+@query("""select octet_length(encode(text)) size, sha256(text) hash, count(*) n, string_agg(doc_id, ',' order by doc_id) members
+          from documents group by 1, 2 having count(*) > 1""")
+def dup_groups(spark, d):
+    docs = table(spark, d, "documents").withColumn("size", F.octet_length("text").cast("long"))
+    return dedup.duplicate_groups(docs, "size", "text", "doc_id")
+
+
+_FOLD = r"lower(regexp_replace(regexp_replace(text, '^[\s\v\x1c-\x1f\x{85}\x{a0}]+|[\s\v\x1c-\x1f\x{85}\x{a0}]+$', '', 'g'), '[\s\v\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g'))"
+
+
+@query(f"select sha1({_FOLD}) chunk_hash, min(doc_id) doc_id from documents where {_FOLD} != '' group by 1")
+def chunk_hash_dedup(spark, d):
+    return dedup.first_seen(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+@query(f"""with h as (select source, doc_id, sha1({_FOLD}) h, {_FOLD} = '' blank from documents),
+m as (select *, not blank and row_number() over (partition by h order by doc_id) > 1 dup from h)
+select source, count(*) n_chunks, count(*) filter (where dup) n_dup, round(count(*) filter (where dup) / count(*), 6) ratio,
+count(*) filter (where dup) >= 0.8 * count(*) skipped from m group by 1""")
+def dup_ratio_skip(spark, d):
+    return dedup.duplicate_ratio(table(spark, d, "documents"), "source", "text", ["doc_id"])
+
+
+@query(r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+          '^[\s\v\x1c-\x1f]+|[\s\v\x1c-\x1f]+$', '', 'g') text from documents""")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))
+
+
+_BLOCKS = r"""
+lines as (select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x != '')) line from documents),
+numbered as (select doc_id, line, row_number() over (partition by doc_id) pos from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x != '') l from documents), unnest(l) u(line)),
+placed as (select doc_id, i pos, l[i] line from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x != '') l from documents), range(1, 100000) r(i) where i <= len(l)),
+kinds as (select *, case when regexp_matches(line, '^\s*(\d+(\.\d+)*)\s*[.)-]?\s+(.+)$') or (regexp_matches(line, '\p{Lu}') and not regexp_matches(line, '[\p{Ll}\p{Lt}]') and length(line) between 6 and 120) then 'h'
+  when line like '%:' and length(line) <= 120 then 's' else '' end kind from placed),
+marked as (select *, sum(case when kind != '' or pos = 1 then 1 else 0 end) over (partition by doc_id order by pos) blk from kinds),
+grouped as (select doc_id, blk, min(pos) pos, string_agg(line, chr(10) order by pos) text, arg_min(kind, pos) kind, arg_min(line, pos) line from marked group by 1, 2),
+blocks as (select doc_id, (blk - 1)::int block, coalesce(last_value(case when kind = 'h' then line end ignore nulls) over (partition by doc_id order by pos), '') section,
+  case when kind = 's' then regexp_replace(line, ':+$', '') else '' end subsection, text from grouped)"""
+_BLOCKS = "\n".join(x for x in _BLOCKS.split("\n") if not x.startswith(("lines as", "numbered as")))
+
+
+@query(f"with {_BLOCKS} select * from blocks")
+def section_blocks(spark, d):
+    rows = sections.with_blocks(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.section", "b.subsection", "b.text")
+
+
+@query(f"""with recursive {_BLOCKS},
+fold as (
+  select doc_id, block, section, subsection, text, 0 chunk, length(text) >= 900 closed from blocks where block = 0
+  union all
+  select b.doc_id, b.block,
+    case when f.closed or length(f.text) + 2 + length(b.text) > 1300 then b.section else f.section end,
+    case when f.closed or length(f.text) + 2 + length(b.text) > 1300 then b.subsection else f.subsection end,
+    case when f.closed or length(f.text) + 2 + length(b.text) > 1300 then b.text else f.text || chr(10) || chr(10) || b.text end,
+    f.chunk + case when f.closed or length(f.text) + 2 + length(b.text) > 1300 then 1 else 0 end,
+    length(case when f.closed or length(f.text) + 2 + length(b.text) > 1300 then b.text else f.text || chr(10) || chr(10) || b.text end) >= 900
+  from fold f join blocks b on b.doc_id = f.doc_id and b.block = f.block + 1)
+select doc_id, chunk::int chunk_id, arg_max(section, block) section, arg_max(subsection, block) subsection, arg_max(text, block) chunk
+from fold group by doc_id, fold.chunk having length(arg_max(text, block)) >= 80""")
+def packed_chunks(spark, d):
+    return sections.chunks(table(spark, d, "documents"), ["doc_id"])
+
+
+@query(r"""select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int window_id, piece from (
+  select doc_id, s, regexp_replace(substr(text, s * 750 + 1, 900), '^[\s\v\x1c-\x1f\x{85}\x{a0}]+|[\s\v\x1c-\x1f\x{85}\x{a0}]+$', '', 'g') piece
+  from documents, range(0, 100000) r(s) where s <= greatest(ceil((length(text) - 900) / 750.0), 0) and length(text) > 0) where piece != ''""")
+def fixed_overlap_chunks(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.posexplode(sections.fixed_windows(F.col("text"))).alias("window_id", "piece"))
+
+
+def _query_vector(spark, d) -> list[float]:
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+_DENSE = """
+qv as (select embedding::double[] q from embeddings where vec_id = 0),
+dense as (select vec_id doc_id, round(list_sum(list_transform(list_zip(embedding::double[], q), lambda p: p[1] * p[2])), 5) score
+          from embeddings, qv order by 2 desc, 1 limit 30)"""
+
+
+@query(f"with {_DENSE} select doc_id vec_id, score from dense")
+def dense_topk(spark, d):
+    return retrieval.dense_top_k(table(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d))
+
+
+_HYBRID = f"""{_BM25}, {_DENSE},
+d as (select doc_id, case when max(score) over () = min(score) over () then 0.0 else (score - min(score) over ()) / (max(score) over () - min(score) over ()) end dense from dense),
+s as (select doc_id, score / max(score) over () bm25 from sparse where score > 0),
+mixed as (select doc_id, coalesce(dense, 0) dense, coalesce(bm25, 0) bm25, 0.65 * coalesce(dense, 0) + 0.35 * coalesce(bm25, 0) mix from d full join s using (doc_id))"""
+
+
+def _candidates(spark, d):
+    dense = retrieval.dense_top_k(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", _query_vector(spark, d))
+    return retrieval.hybrid(dense, bm25_topk(spark, d), "doc_id")
+
+
+@query(f"with {_HYBRID} select doc_id, round(dense, 6) dense, round(bm25, 6) bm25, round(mix, 6) mix from mixed")
+def hybrid_search(spark, d):
+    return _candidates(spark, d).select("doc_id", *[F.round(c, 6).alias(c) for c in ("dense", "bm25", "mix")])
+
+
+_GATED = f"""{_HYBRID},
+joined as (select doc_id, source, text, round(mix, 6) mix from mixed join documents using (doc_id) where round(mix, 6) >= 0.15 and text != ''),
+gated as (select * from (select *, row_number() over (partition by source order by mix desc, doc_id) t from joined) where t <= 2 order by mix desc, doc_id limit 8)"""
+
+
+def _hits(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    # at most 60 candidates
+    found = _candidates(spark, d).withColumn("mix", F.round("mix", 6))
+    return retrieval.gated(docs.join(F.broadcast(found), "doc_id"), "doc_id", "source", "text")
+
+
+@query(f"with {_GATED} select doc_id, source, mix from gated")
+def gated_search(spark, d):
+    return _hits(spark, d).select("doc_id", "source", "mix")
+
+
+@query(f"""with {_GATED},
+b as (select row_number() over (order by mix desc, doc_id) n, source, case when length(text) > 1600 then substr(text, 1, 1600) || ' ...' else text end body from gated),
+c as (select n::int n, '[' || n || '] ' || source || chr(10) || body || chr(10) block from b),
+e as (select n, case when n = 1 then substr(block, 1, 8000) else block end block from c)
+select * from (select n, block, sum(length(block)) over (order by n)::bigint used from e) where used <= 8000""")
+def context_budget(spark, d):
+    hits = _hits(spark, d).withColumn("_place", -F.col("mix")).withColumn("_order", F.struct("_place", "doc_id"))
+    return retrieval.with_context(hits, "_order", "text", F.col("source")).select("n", "block", "used")
+
+
+@query("""with a as (select conv_id, turn, 'see [' || (turn + 1) || '] and [' || (conv_id % 7) || '], again [' || (turn + 1) || '] or [99]' answer from conversations)
+select conv_id, turn, list_filter(list_distinct_ordered, lambda x: x is not null)::varchar cited from (
+  select conv_id, turn, case when conv_id % 7 between 1 and 5 and conv_id % 7 != turn + 1 then (case when turn + 1 <= 5 then [turn, conv_id % 7 - 1] else [conv_id % 7 - 1] end)
+  when turn + 1 <= 5 then [turn] else [] end list_distinct_ordered from a)""")
+def citations(spark, d):
+    t = table(spark, d, "conversations")
+    answer = F.concat(F.lit("see ["), F.col("turn") + 1, F.lit("] and ["), F.col("conv_id") % 7, F.lit("], again ["), F.col("turn") + 1, F.lit("] or [99]"))
+    return t.select("conv_id", "turn", F.concat(F.lit("["), F.array_join(X.cited(answer, F.lit(5)), ", "), F.lit("]")).alias("cited"))
+
+
+@query("select page_id, url from pages where url ilike '%/fr/%' or html ilike '%nation%'")
+def like_search(spark, d):
+    return inventory.like_search(table(spark, d, "pages"), "/fr/", ("url",)).select("page_id", "url").union(inventory.like_search(table(spark, d, "pages"), "nation", ("html",)).where(~F.col("url").ilike("%/fr/%")).select("page_id", "url"))
+
+
+@query("""select 'documents' db_path, doc_id id, source name from documents where source ilike '%rc1%' or text ilike '%rc1%'
+union all select 'pages', page_id, url from pages where url ilike '%rc1%' or html ilike '%rc1%'""")
+def multi_db_union(spark, d):
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("db_path"), F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("content"))
+    pages = table(spark, d, "pages").select(F.lit("pages").alias("db_path"), F.col("page_id").alias("id"), F.col("url").alias("name"), F.col("html").alias("content"))
+    return inventory.like_search(docs.unionByName(pages), "rc1").drop("content")
+
+
+@query("select doc_id, n_chars from documents where n_chars / 1048576 between 0.002 and 0.01")
+def size_filter(spark, d):
+    return inventory.in_size_range(table(spark, d, "documents"), "n_chars", 0.002, 0.01).select("doc_id", "n_chars")
+
+
+@query("select case when p_size % 3 = 0 then '.pdf' when p_size % 3 = 1 then '.txt' else '' end ext, count(*) n from part group by 1")
+def ext_facets(spark, d):
+    name = F.concat(F.lit("/a.b/"), F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, ".PDF").when(F.col("p_size") % 3 == 1, ".x.txt").otherwise(""))
+    return inventory.extension_facets(table(spark, d, "part").select(name.alias("path")), "path")
+
+
+@query("""select 'f' || p_partkey || '.PDF' file_name, strftime(o_orderdate, '%Y-%m-%d %H:%M') date_modified, 'PDF' as "type",
+printf('%.2f', round(p_size * 131072 / 1048576.0, 2)) size_mb, '/r/f' || p_partkey || '.PDF' path from part join orders on o_orderkey = p_partkey where p_size % 2 = 0""")
+def file_listing(spark, d):
+    joined = table(spark, d, "part").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("p_partkey")).where("p_size % 2 = 0")
+    rows = joined.select(F.concat(F.lit("/r/f"), F.col("p_partkey"), F.lit(".PDF")).alias("path"), (F.col("p_size").cast("long") * 131072).alias("size"), F.col("o_orderdate").alias("mtime"))
+    return inventory.listing(rows, "path", "size", "mtime")
+
+
+@query("select 'd/' || p_name path, 'd/x_' || replace(p_name, 'part', '') || '_y' new_path from part")
+def rename_plan(spark, d):
+    return inventory.rename_plan(table(spark, d, "part").select(F.concat(F.lit("d/"), F.col("p_name")).alias("path")), "path", "x_", "_y", "part")
+
+
+@query("select doc_id from documents where doc_id % 3 != 0")
+def manifest_delta(spark, d):
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/f/"), F.col("doc_id")).alias("path"), F.col("doc_id").alias("mtime"), F.col("n_chars").alias("size"))
+    return dedup.new_files(files, files.where("doc_id % 3 = 0").select("path", "mtime", "size")).select("doc_id")
+
+
+@query("select p_partkey, 'item' || lpad(p_partkey::varchar, 20, '0') || 'x' || lpad(p_size::varchar, 20, '0') natural_key from part")
+def natural_sort_keys(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.natural_key(F.concat(F.lit("Item0"), F.col("p_partkey"), F.lit("X"), F.col("p_size"))).alias("natural_key"))
+
+
+@query("select p_partkey, sha1(lower(p_name)) h from part")
+def folded_hash(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.text_sha1(F.concat(F.lit(" \t"), F.col("p_name"), F.lit("\n"))).alias("h"))
+
+
+@query("""select doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) line from documents)
+where regexp_matches(line, '^\\s*(\\d+(\\.\\d+)*)\\s*[.)-]?\\s+(.+)$') or (regexp_matches(line, '\\p{Lu}') and not regexp_matches(line, '[\\p{Ll}\\p{Lt}]') and length(line) between 6 and 120)""")
+def headings(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(X.is_heading(F.col("line")))
+
+
+@query()
+def html_pages_text(spark, d):
+    @F.pandas_udf("string")
+    def visible(pages):
+        return pages.map(html_text, na_action="ignore")
+
+    return table(spark, d, "pages").select("page_id", visible("html").alias("text"))
+
+
+_NOTES = """{"a": [["/x/1.pdf", "plain"], ["/x/2.pdf", "{\\"text\\": \\"rich\\"}"]], "b": [["/y/1.pdf", ""]]}"""
+
+
+@query("select * from (values ('a', 0, '/x/1.pdf', 'plain'), ('a', 1, '/x/2.pdf', 'new'), ('b', 0, '/y/1.pdf', ''), ('b', 1, '/z', 'n')) t(container, pos, path, note)")
+def container_notes(spark, d):
+    raw = spark.createDataFrame([(_NOTES,)], "j string")
+    rows = inventory.containers_table(raw, "j")
+    more = spark.createDataFrame([("b", "/z", "n"), ("a", "/x/1.pdf", "again")], "container string, path string, note string")
+    return inventory.save_note(inventory.add_entries(rows, more), "a", "/x/2.pdf", "new")
