@@ -3,7 +3,7 @@
 Word unigrams and bigrams are hashed into a fixed number of buckets.  Two
 multinomials over the buckets are counted - one over trusted documents, one over
 all - and a document's score is the mean over its n-grams of the log ratio of the
-two.  Log ratios are held in fixed-point, so sums come out the same in any order.
+two, each smoothed by one count a bucket at the size of the trusted part.  Log ratios are held in fixed-point, so sums come out the same in any order.
 The threshold is a constant: equal documents always get equal verdicts.
 
 Defined results: a null, empty or blank text has no words and fails the base
@@ -24,8 +24,8 @@ WORD, SPACE = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 BUCKETS = 1 << 14
 SCALE = 1_000_000
-#: Labelled good documents of the test tables lie above -0.03, labelled bad ones that pass the base rules below -0.055.
-THRESHOLD = -0.05
+#: Of 10,000 test documents, those labelled good lie above -0.03, and those labelled bad that pass the base rules below -0.06.
+THRESHOLD = -0.06
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -82,7 +82,10 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0)
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left").na.fill(0)
     a = F.lit(smoothing)
     with_totals = every.withColumn("raws", F.sum("raw").over(W.partitionBy())).withColumn("targets", F.sum("target").over(W.partitionBy()))
-    ratio = F.log((F.col("target") + a) / (F.col("targets") + a * BUCKETS)) - F.log((F.col("raw") + a) / (F.col("raws") + a * BUCKETS))
+    # raw counts at the size of the target, so that both are smoothed alike and what is rare in both comes out even;
+    # less one, because the n-gram that is judged is itself among them
+    scaled = F.greatest(F.col("raw") - 1, F.lit(0)) * F.col("targets") / F.col("raws")
+    ratio = F.log((F.col("target") + a) / (scaled + a))
     fixed = F.when(F.col("targets") > 0, F.round(ratio * SCALE)).otherwise(0).cast("long")
     return [r[0] for r in with_totals.orderBy("bucket").select(fixed).collect()]
 
