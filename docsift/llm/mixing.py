@@ -164,6 +164,7 @@ def schedule(docs: DataFrame, seed: int = 0, entropy: float | None = None, repea
 
 def mixed(docs: DataFrame, seed: int = 0, entropy: float | None = None, repeats: float | None = None, budget: int | None = None) -> DataFrame:
     """``docs`` itself, each row as often as the mixture shows it."""
-    rows = keyed(docs, "doc_id", "source", word_count(F.col("text")), seed)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("_words"))
+    rows = keyed(whole, "doc_id", "source", F.col("_words"), seed)
     p = plan(rows, seed, entropy, repeats, budget)
-    return repeated(rows, p, seed).select(*docs.columns)
+    return repeated(rows, p, seed).select("_row.*")
