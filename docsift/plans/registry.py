@@ -59,30 +59,30 @@ def _names(spark, d, q):
     return table(spark, d, "part").where(names.compile_query(q, F.col("p_name"))).select("p_partkey", "p_name")
 
 
-@query("select p_partkey, p_name from part where contains(lower(p_name), 'part 1')")
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'ring')")
 def name_contains(spark, d):
-    return _names(spark, d, "Part 1")
+    return _names(spark, d, "Ring")
 
 
-@query("select p_partkey, p_name from part where regexp_matches(p_name, '1.*art|art.*1', 'i')")
+@query("select p_partkey, p_name from part where regexp_matches(p_name, 'ring.*small|small.*ring', 'i')")
 def name_star_unordered(spark, d):
-    return _names(spark, d, "1*art")
+    return _names(spark, d, "ring*small")
 
 
-@query("select p_partkey, p_name from part where regexp_matches(p_name, 'p.*r.*7.*', 'i')")
+@query("select p_partkey, p_name from part where regexp_matches(p_name, 's.*l.*g.*', 'i')")
 def name_star_general(spark, d):
-    return _names(spark, d, "p*r*7*")
+    return _names(spark, d, "s*l*g*")
 
 
-@query("select p_partkey, p_name from part where contains(lower(p_name), '2') and not regexp_matches(p_name, '1.*5|5.*1', 'i')")
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'r') and not regexp_matches(p_name, 'w.*t|t.*w', 'i')")
 def name_percent_exclude(spark, d):
-    return _names(spark, d, "2 % 1*5")
+    return _names(spark, d, "r % w*t")
 
 
 @query()
 def fuzzy_all_terms(spark, d):
     rows = table(spark, d, "part")
-    return rows.where(names.fuzzy("@prat 12", F.col("p_name"), {"prat": ["part"]})).select("p_partkey", "p_name")
+    return rows.where(names.fuzzy("@smoll ring", F.col("p_name"), {"smoll": ["small"]})).select("p_partkey", "p_name")
 
 
 @query("""select octet_length(encode(text)) size, sha256(text) hash, count(*) n, string_agg(doc_id, ',' order by doc_id) members
@@ -258,9 +258,9 @@ def file_listing(spark, d):
     return inventory.listing(rows, "path", "size", "mtime")
 
 
-@query("select 'd/' || p_name path, 'd/x_' || replace(p_name, 'part', '') || '_y' new_path from part")
+@query("select 'd/' || p_name path, 'd/x_' || replace(p_name, 'red ', '') || '_y' new_path from part")
 def rename_plan(spark, d):
-    return inventory.rename_plan(table(spark, d, "part").select(F.concat(F.lit("d/"), F.col("p_name")).alias("path")), "path", "x_", "_y", "part")
+    return inventory.rename_plan(table(spark, d, "part").select(F.concat(F.lit("d/"), F.col("p_name")).alias("path")), "path", "x_", "_y", "red ")
 
 
 @query("select doc_id from documents where doc_id % 3 != 0")
