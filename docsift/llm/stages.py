@@ -14,16 +14,19 @@ from docsift.llm.packing import pack_documents
 from docsift.llm.pii import masked
 from docsift.llm.q_quality import trusted
 from docsift.llm.quality import judged
+from docsift.shipping import shipped
 
 REPEATS, SEED = 1.5, 20
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood-ratio threshold."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return judged(rows, trusted(spark, sf_dir)).where("kept").select("_row.*")
 
 
+@shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each group of near copies (five-word shingles, 0.8), once; rows without an id all stay."""
     keep = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
@@ -31,17 +34,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+@shipped
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers replaced by their kind; n_chars follows the text."""
     out = masked(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
+@shipped
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of smaller sources up to REPEATS times on average."""
     return mixed(docs, seed=SEED, repeats=REPEATS)
 
 
+@shipped
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 4096 tokens."""
     return pack_documents(docs, capacity=4096, end_id=1)
