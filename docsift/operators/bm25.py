@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import TOKEN, tokens
@@ -56,3 +56,31 @@ def top_k(docs: DataFrame, key: str, text: str, query: str, k: int = 30) -> Data
     """The k best, ties to the smaller key; scores rounded to 6 places."""
     s = scores(docs, key, text, query).select(key, F.round("score", 6).alias("score"))
     return s.orderBy(F.desc("score"), key).limit(k)
+
+
+def build_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Write postings (key, term, tf, dl) in order of terms, and one row of statistics.
+
+    Row groups then hold few terms each, and a search reads only those of its words.
+    """
+    counted = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+    rows = counted.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    # a common word is as many rows as documents, so the key breaks its range up
+    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
+    counted.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, key: str, query: str, k: int = 30, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best documents that hold a query word; the filter on terms reaches the scan."""
+    words = query_tokens(query)
+    stats = spark.read.parquet(f"{path}/stats").first()
+    found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(sorted(set(words))))
+    df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query word
+    weight = F.lit(0.0)
+    for w in sorted(df):
+        idf = F.log(F.lit(1 + (stats["n"] - df[w] + 0.5) / (df[w] + 0.5)))
+        weight = F.when(F.col("term") == w, F.lit(words.count(w)) * idf).otherwise(weight)
+    f = F.col("tf").cast("double")
+    part = weight * f * (k1 + 1) / (f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit((stats["avgdl"] or 0.0) + 1e-9)) + 1e-9)
+    scored = found.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared one, or in the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{at.rstrip('/')}/docsift-{name}-{uuid.uuid4().hex}"
+
+
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_./-]+')"
 _BM25 = f"""
 toks as (select doc_id, {_TOKENS} t from documents),
@@ -45,6 +53,13 @@ def bm25_topk(spark, d):
     return bm25.top_k(table(spark, d, "documents"), "doc_id", "text", QUERY, 30)
 
 
+@query(f"with {_BM25} select * from sparse where score > 0")
+def bm25_indexed_topk(spark, d):
+    path = scratch(spark, "bm25")
+    bm25.build_index(table(spark, d, "documents"), "doc_id", "text", path)
+    return bm25.search_index(spark, path, "doc_id", QUERY, 30)
+
+
 @query(f"select term, count(distinct doc_id) df from (select doc_id, unnest({_TOKENS}) term from documents) group by 1")
 def token_df(spark, d):
     return bm25.document_frequency(table(spark, d, "documents"), "doc_id", "text")
@@ -226,6 +241,16 @@ def citations(spark, d):
     return t.select("conv_id", "turn", F.concat(F.lit("["), F.array_join(X.cited(answer, F.lit(5)), ", "), F.lit("]")).alias("cited"))
 
 
+@query("""with h as (select doc_id, source, row_number() over (order by doc_id) - 1 place from documents where doc_id < 6),
+a as (select conv_id, turn, unnest(case when turn < 6 then [turn, 0] else [0, 1, 2, 3, 4] end) place, generate_subscripts(case when turn < 6 then [turn, 0] else [0, 1, 2, 3, 4] end, 1) r from conversations)
+select conv_id, turn, (min(r) - 1)::int "rank", doc_id from a join h using (place) group by conv_id, turn, doc_id""")
+def answer_sources(spark, d):
+    hits = table(spark, d, "documents").where("doc_id < 6").select("doc_id").withColumn("place", F.col("doc_id"))
+    answer = F.when(F.col("turn") < 6, F.concat(F.lit("by ["), F.col("turn") + 1, F.lit("] and [1], not [7]"))).otherwise("nothing [0] [99]")
+    rows = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), answer.alias("answer"))
+    return retrieval.answer_sources(rows, "k", "answer", hits, "place").select("k.conv_id", "k.turn", "rank", "doc_id")
+
+
 @query("select page_id, url from pages where url ilike '%/fr/%' or html ilike '%nation%'")
 def like_search(spark, d):
     return inventory.like_search(table(spark, d, "pages"), "/fr/", ("url",)).select("page_id", "url").union(inventory.like_search(table(spark, d, "pages"), "nation", ("html",)).where(~F.col("url").ilike("%/fr/%")).select("page_id", "url"))
