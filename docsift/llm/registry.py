@@ -1,6 +1,6 @@
 """Queries of this package, and their SQL where DuckDB can express them."""
 
-from docsift.llm import q_chat, q_vafile
+from docsift.llm import q_chat, q_licence, q_vafile
 from docsift.llm.q_chat import op1_preference_format
 from docsift.llm.q_licence import op4_license_scan
 from docsift.llm.q_minhash import op2_minhash_near_dedup
@@ -27,4 +27,4 @@ QUERIES = {
         op10_best_fit_packing,
     )
 }
-SQL = {"op1_preference_format": q_chat.SQL, "op9_va_file_topk": q_vafile.SQL}
+SQL = {"op1_preference_format": q_chat.SQL, "op4_license_scan": q_licence.SQL, "op9_va_file_topk": q_vafile.SQL}
