@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str methods know it.
 BLANK = r"[\s\x1c-\x1f]"
+#: What counts as a token, and as a numbered heading.
 TOKEN = r"[a-z0-9_./-]+"
+NUMBERED = r"^\s*(\d+(\.\d+)*)\s*[.)-]?\s+(.+)$"
 
 
 def strip(c: Column) -> Column:
@@ -36,7 +38,7 @@ def tokens(c: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A numbered line, or one of 6 to 120 characters in capitals; ``line`` is stripped."""
-    numbered = line.rlike(r"(?U)^\s*(\d+(\.\d+)*)\s*[.)-]?\s+(.+)$")
+    numbered = line.rlike(f"(?U){NUMBERED}")
     capitals = line.rlike(r"\p{Lu}") & ~line.rlike(r"[\p{Ll}\p{Lt}]") & F.length(line).between(6, 120)
     return numbered | capitals
 
