@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.llm._spark import staged
 from docsift.llm.minhash import near_duplicates
 from docsift.llm.mixing import mixed
 from docsift.llm.packing import pack_documents
@@ -23,7 +24,8 @@ REPEATS, SEED = 1.5, 20
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood-ratio threshold."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judged(rows, trusted(spark, sf_dir)).where("kept").select("_row.*")
+    # written before it is filtered: the optimiser would copy the whole rule into the filter, once for each use of a part of it
+    return staged(judged(rows, trusted(spark, sf_dir)).select("_row", "kept"), "judged").where("kept").select("_row.*")
 
 
 @shipped
