@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docsift.llm._spark import partitions
+from docsift.llm._spark import partitions, small_or_shuffled
 from docsift.llm.tokens import encode, vocabulary
 
 #: Fixed values of the format: selector to (values, bits of each).
@@ -163,7 +163,7 @@ def read_token_files(spark: SparkSession, path: str, columns: str = "ids array<l
                 made = [each(x) for x in ids]
                 yield pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "start": int(start) + ends - [len(x) for x in ids], "n_tokens": [len(x) for x in ids]} | {c: [m[i] for m in made] for i, c in enumerate(names)})
 
-    placed = blocks.join(places, (blocks["part"] == places["p"]) & (blocks["seq"] == places["s"]))
+    placed = blocks.join(small_or_shuffled(places), (blocks["part"] == places["p"]) & (blocks["seq"] == places["s"]))
     return placed.select("start", "block").mapInPandas(rows, f"doc_id long, start long, n_tokens long, {columns}")
 
 
