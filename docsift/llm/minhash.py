@@ -79,15 +79,32 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _signature(sketch: np.ndarray) -> np.ndarray:
-    """Parity bits of the retained values: the bits that differ grow with the values that differ."""
-    bits = np.zeros(64 * SIGNATURE_WORDS, np.uint8)
-    np.add.at(bits, (_mix(sketch) % np.uint64(64 * SIGNATURE_WORDS)).astype(np.int64), 1)
-    return np.packbits(bits & 1).view(np.int64)
+def _signature(values: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: each value that two sets do not share flips one bit."""
+    bits = np.bincount((_mix(values) % np.uint64(64 * SIGNATURE_WORDS)).astype(np.int64), minlength=64 * SIGNATURE_WORDS)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+
+
+def _most_bits(n: int, percent: int) -> int:
+    """Bits in which the signature of a set of ``n`` may differ from that of a set alike at ``percent``.
+
+    The sets differ in at most n(1-J)/J values, and in no more bits.  Where so
+    many values flip bits back, the expected number and SLACK standard errors do.
+    """
+    apart, m = n * (100 - percent) / percent, 64 * SIGNATURE_WORDS
+    expected = m / 2 * (1 - np.exp(-2 * apart / m)) + SLACK * np.sqrt(m / 4 * (1 - np.exp(-4 * apart / m)))
+    return int(min(apart, expected + 1))
+
+
+def _most_sketch_bits(percent: int) -> int:
+    """The same for signatures of sketches: these differ in about 2k(1-J)/(1+J) values."""
+    j = percent / 100
+    apart = (1 - j) / (1 + j)
+    return int(2 * (SKETCH * apart + SLACK * (SKETCH * apart * (1 - apart)) ** 0.5)) + 1
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set; null if empty) and the sketch's bytes."""
+    """doc_id, n_shingles, node (hash of the whole set; null if empty), and bytes: the sketch and the set's signature."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -95,10 +112,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for text in b["text"]:
                 s = shingle_hashes(text, width)
                 node = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
-                out.append((len(s), node, s[:SKETCH].tobytes()))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [x[0] for x in out], "node": pd.array([x[1] for x in out], dtype="Int64"), "sketch": [x[2] for x in out]})
+                out.append((len(s), node, s[:SKETCH].tobytes(), _signature(s).tobytes()))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [x[0] for x in out], "node": pd.array([x[1] for x in out], dtype="Int64"), "sketch": [x[2] for x in out], "signature": [x[3] for x in out]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_shingles long, node long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_shingles long, node long, sketch binary, signature binary")
 
 
 def _list_keys(nodes: DataFrame) -> DataFrame:
@@ -125,15 +142,16 @@ def _list_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInPandas(rows, "key long, node long")
 
 
-def _signed(nodes: DataFrame) -> DataFrame:
-    """node, n, signature words and the run keys, as far as long lists need them."""
+def _signed(nodes: DataFrame, percent: int) -> DataFrame:
+    """node, n, the signatures of its set and of its sketch, and how many bits of the first may differ."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = [_signature(np.frombuffer(x, np.uint64)).tolist() for x in b["sketch"]]
-            yield pd.DataFrame({"node": b["node"], "n": b["n_shingles"], "sig": s})
+            whole = [np.frombuffer(x, np.int64) for x in b["signature"]]
+            kept = [_signature(np.frombuffer(x, np.uint64)) for x in b["sketch"]]
+            yield pd.DataFrame({"node": b["node"], "n": b["n_shingles"], "sig": whole, "kept": kept, "most": [_most_bits(n, percent) for n in b["n_shingles"]]})
 
-    return nodes.select("node", "n_shingles", "sketch").mapInPandas(rows, "node long, n long, sig array<long>")
+    return nodes.select("node", "n_shingles", "sketch", "signature").mapInPandas(rows, "node long, n long, sig array<long>, kept array<long>, most int")
 
 
 def _by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -219,8 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     some = rows.where("node is not null")
     # equal sets are one node: the sketch comes with the least doc_id of the node
     reps = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    one = some.select("node", "doc_id", "sketch").join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    nodes = staged(one.dropDuplicates(["node"]).select("node", "rep", "n_shingles", "sketch"), "nodes")
+    one = some.select("node", "doc_id", "sketch", "signature").join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    nodes = staged(one.dropDuplicates(["node"]).select("node", "rep", "n_shingles", "sketch", "signature"), "nodes")
 
     keys = _list_keys(nodes)
     sizes = staged(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"), "lists")
@@ -241,9 +259,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     open_lists = placed.join(split, "key")
     own_keys = open_lists.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most RUN_POSITIONS of them
-    rich = staged(open_lists.join(own_keys, "node").join(_signed(nodes), "node"), "open")
-    differing = "+".join(f"bit_count(x.sig[{i}] ^ y.sig[{i}])" for i in range(SIGNATURE_WORDS))
-    late = rich.alias("x").join(rich.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {near_size} and {differing} <= {_most_bits(percent)} and x.key = array_min(array_intersect(x.keys, y.keys))"))
+    rich = staged(open_lists.join(own_keys, "node").join(_signed(nodes, percent), "node"), "open")
+    bits = lambda sig: "+".join(f"bit_count(x.{sig}[{i}] ^ y.{sig}[{i}])" for i in range(SIGNATURE_WORDS))
+    near = f"{near_size} and {bits('sig')} <= least(x.most, y.most) and {bits('kept')} <= {_most_sketch_bits(percent)}"
+    late = rich.alias("x").join(rich.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {near} and x.key = array_min(array_intersect(x.keys, y.keys))"))
     more = _verified(_by_sketch(late.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, percent), docs, nodes, width, percent)
     whole = label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     label = components(whole)
@@ -254,13 +273,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-
-def _most_bits(percent: int) -> int:
-    """Signature bits that may differ between sets alike at ``percent``.
-
-    Sketches of such sets differ in up to 2k(1-J)/(1+J) values, give or take SLACK
-    standard errors of the overlap; each differing value flips one bit at most.
-    """
-    j = percent / 100
-    apart = (1 - j) / (1 + j)
-    return int(2 * (SKETCH * apart + SLACK * (SKETCH * apart * (1 - apart)) ** 0.5)) + 1
