@@ -26,16 +26,20 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         found = self._old.get(word)
         if found is None:
-            tail = _TAIL.fullmatch(word)
+            tail = None if word.isalpha() else _TAIL.fullmatch(word)
             if tail:
                 found = self[tail[1]] + self[tail[2]]
             else:
-                ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+                text = word.decode("utf-8", "replace")
+                # small ASCII letters pass the normaliser and the splitter as they are
+                plain = word.isalpha() and word.islower()
+                ids = [t.id for t in self._model.tokenize(text)] if plain else self._tokenizer.encode(text, add_special_tokens=False).ids
                 found = np.array(ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
             self._old = dict(self)
