@@ -6,7 +6,8 @@ cell several islands evolve populations of packings: crossover injects whole
 well-filled bins of one parent into the other, bins that now hold a piece twice
 are dissolved, and displaced pieces go by best fit.  Between epochs each island
 sends its best packing to the next one.  Bins that a cell could not fill well are
-opened again and packed in fewer cells, until one cell has dealt with them.
+opened again and dealt over as many cells of that size as they need, until one
+cell has dealt with them or a level saves too few bins to be worth another.
 
 Defined results: a null or empty text is its end id alone; repeated rows and ids
 are packed separately; extra columns play no part; an empty table gives no rows.
@@ -30,6 +31,8 @@ from docsift.llm.tokens import encode, vocabulary
 CELL, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3000, 2, 3, 2, 3
 #: Bins filled less than this go to the next level; injected bins are filled at least this much.
 WELL_FILLED = 0.98
+#: A level that saves a smaller share of the bins it opened is the last.
+LEAST_SAVED = 0.01
 
 Bins = list[list[int]]
 
@@ -201,16 +204,21 @@ def _level(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame
 def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
     """uid, sequence_id, offset for items (uid, length); lengths are 1 to ``capacity``."""
     whole = items.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    open_, out, level = items.where(F.col("length") < capacity).select("uid", "length"), whole, 0
-    cells = max(1, -(-open_.count() // CELL))
-    while True:
+    open_, out, level, held, before = items.where(F.col("length") < capacity).select("uid", "length"), whole, 0, None, 0
+    left = open_.count()
+    place, poor = ["uid", "sequence_id", "offset"], F.col("full") < WELL_FILLED
+    while left:
+        cells = -(-left // CELL)
         made = staged(_level(open_, cells, capacity, level), "packed")
-        done = made if cells == 1 else made.where(F.col("full") >= WELL_FILLED)
-        out = out.union(done.select("uid", "sequence_id", "offset"))
-        if cells == 1:
-            return out
-        open_, level = made.where(F.col("full") < WELL_FILLED).select("uid", "length"), level + 1
-        cells = max(1, min(-(-open_.count() // CELL), cells // 2))
+        first = F.col("offset") == 0  # one piece of each bin
+        bins, poor_bins, left = made.agg(F.count_if(first), F.count_if(first & poor), F.count_if(poor)).first()
+        if held is not None and bins >= before:
+            return out.union(held.select(place))  # the bins as they were are as good
+        if cells == 1 or held is not None and before - bins < LEAST_SAVED * before:
+            return out.union(made.select(place))
+        out, held = out.union(made.where(~poor).select(place)), made.where(poor)
+        open_, before, level = held.select("uid", "length"), poor_bins, level + 1
+    return out
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -52,6 +52,17 @@ def test_cells_and_levels(spark, monkeypatch):
     assert len(fill) <= 1.04 * -(-sum(lengths) // 100) + 2
 
 
+def test_lengths_that_fill_no_bin_stay_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELL", 100)
+    seen, level = [], P._level
+    monkeypatch.setattr(P, "_level", lambda items, cells, *rest: seen.append((items.count(), cells)) or level(items, cells, *rest))
+    lengths = [51 + i % 5 for i in range(900)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long").repartition(4)
+    got = P.pack_lengths(items, 100).collect()
+    assert sorted(r.uid for r in got) == list(range(900)) and len({r.sequence_id for r in got}) == 900
+    assert all(n <= 100 * cells for n, cells in seen) and len(seen) <= 2
+
+
 def test_crossover_and_mutation_lose_nothing():
     rng = random.Random(1)
     lengths = [rng.randint(1, 60) for _ in range(200)]
