@@ -96,11 +96,15 @@ def _most_bits(n: int, percent: int) -> int:
     return int(min(apart, expected + 1))
 
 
-def _most_sketch_bits(percent: int) -> int:
-    """The same for signatures of sketches: these differ in about 2k(1-J)/(1+J) values."""
+def _most_sketch_bits(percent: int, n: str, m: str) -> str:
+    """The same for signatures of sketches, in SQL, from the sizes of the two sets.
+
+    Of k values the larger set's sketch shares a part J(1+r)/(1+J) with the
+    other, where r is the smaller size over the larger; nested sets share least.
+    """
     j = percent / 100
-    apart = (1 - j) / (1 + j)
-    return int(2 * (SKETCH * apart + SLACK * (SKETCH * apart * (1 - apart)) ** 0.5)) + 1
+    apart = f"(1 - {j / (1 + j)!r}D * (1 + least({n}, {m}) / greatest({n}, {m})))"
+    return f"1 + 2 * ({SKETCH} * {apart} + {SLACK!r}D * sqrt({SKETCH} * {apart} * (1 - {apart})))"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -261,7 +265,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own_keys = open_lists.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most RUN_POSITIONS of them
     rich = staged(open_lists.join(own_keys, "node").join(_signed(nodes, percent), "node"), "open")
     bits = lambda sig: "+".join(f"bit_count(x.{sig}[{i}] ^ y.{sig}[{i}])" for i in range(SIGNATURE_WORDS))
-    near = f"{near_size} and {bits('sig')} <= least(x.most, y.most) and {bits('kept')} <= {_most_sketch_bits(percent)}"
+    near = f"{near_size} and {bits('sig')} <= least(x.most, y.most) and {bits('kept')} <= {_most_sketch_bits(percent, 'x.n', 'y.n')}"
     late = rich.alias("x").join(rich.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {near} and x.key = array_min(array_intersect(x.keys, y.keys))"))
     more = _verified(_by_sketch(late.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, percent), docs, nodes, width, percent)
     whole = label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)

@@ -65,6 +65,24 @@ def test_long_lists_are_searched_beyond_their_hub(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def test_nested_sets_meet_in_long_lists(spark):
+    for seed in range(10_000):  # sketches of a nested pair that differ in more bits than those of equal sizes can
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(1253)]
+        cut, whole = (shingle_hashes(" ".join(w), 4) for w in (words[:1003], words))
+        x, y = (_signature(s[:128]) for s in (cut, whole))
+        if sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) > 68:
+            break
+    assert (len(cut), len(whole)) == (1000, 1250)
+    windows = {int(shingle_hashes(" ".join(words[i : i + 4]), 4)[0]): words[i : i + 4] for i in range(1250)}
+    # 150 others hold what heads the longer list of values, so no list of both is short
+    head = [windows[int(h)] for h in whole[:40]]
+    fillers = [" ".join(w for k, run in enumerate(head) for w in [*run, f"f{i}x{k}"]) for i in range(150)]
+    texts = [" ".join(words[:1003]), " ".join(words), *fillers]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, texts), 4, 80).collect()}
+    assert got == {0: 0, 1: 0} | {i: i for i in range(2, 152)}
+
+
 def test_repeated_rows_nulls_and_other_columns(spark):
     from pyspark.sql import functions as F
 
