@@ -4,8 +4,8 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers as the
 stand.  Then transducers rewrite the text - look-alike letters and digits,
 spelled digits, "at" and "dot" in brackets or words - each output character
 keeping the span of source characters it came from.  Identifiers found in the
-rewritten text are mapped back, and added where they overlap no base span of
-their kind.
+rewritten text are mapped back.  Base spans stay as they are; what such an
+identifier covers outside of the base spans of its kind is added beside them.
 
 Offsets are code points, ends exclusive.  Defined results: a null or empty text
 has no spans and the digest of the empty string; repeated rows give repeated
@@ -154,25 +154,38 @@ def normalised(text: str) -> Mapped | None:
     return None if m.text == text else m
 
 
+def _disguised(text: str) -> dict[str, list[Span]]:
+    """Spans in the text of what is found in the rewritten text; no kinds if nothing was rewritten."""
+    hidden = normalised(text)
+    return {} if hidden is None else {kind: [hidden.source(s) for s in spans] for kind, spans in base_spans(hidden.text).items()}
+
+
+def _outside(found: list[Span], base: list[Span]) -> list[Span]:
+    """The parts of ``found`` that no base span covers; both lists ascend."""
+    out, i = [], 0
+    for s, e in found:
+        while i < len(base) and base[i][1] <= s:
+            i += 1
+        k = i
+        while k < len(base) and base[k][0] < e:
+            if s < base[k][0]:
+                out.append((s, base[k][0]))
+            s = max(s, base[k][1])
+            k += 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
+def _ordered(spans: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
+    return sorted(((k, s, e) for k in KINDS for s, e in spans.get(k, ())), key=lambda y: (y[1], KINDS.index(y[0])))
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, as (kind, start, end) by start and then kind."""
     text = text or ""
-    base = base_spans(text)
-    order = lambda x: sorted(((k, s, e) for k in KINDS for s, e in x[k]), key=lambda y: (y[1], KINDS.index(y[0])))
-    hidden = normalised(text)
-    if hidden is None:
-        return order(base), order(base)
-    more = {k: list(v) for k, v in base.items()}
-    for kind, spans in base_spans(hidden.text).items():
-        found = [hidden.source(s) for s in spans]
-        taken = iter(base[kind])
-        now = next(taken, None)
-        for s, e in found:  # both lists ascend
-            while now and now[1] <= s:
-                now = next(taken, None)
-            if not now or e <= now[0]:
-                more[kind].append((s, e))
-    return order(base), order(more)
+    base, more = base_spans(text), _disguised(text)
+    return _ordered(base), _ordered({k: base[k] + _outside(more.get(k, []), base[k]) for k in KINDS})
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -197,8 +210,8 @@ def masked(docs: DataFrame, column: str = "text") -> DataFrame:
         def one(text: str | None) -> str | None:
             if text is None:
                 return None
-            out, at = [], 0
-            for kind, start, end in find(text)[1]:
+            base, more, out, at = base_spans(text), _disguised(text), [], 0
+            for kind, start, end in _ordered({k: base[k] + more.get(k, []) for k in KINDS}):
                 if start >= at:
                     out += [text[at:start], f"<{kind.upper()}>"]
                 at = max(at, end)  # what overlaps goes with the first

@@ -68,6 +68,16 @@ def test_disguises():
     assert disguised("card four one one one one one one one one one one one one one one one ok")[0][0] == "card"
 
 
+def test_fragments_do_not_hide_the_whole(spark):
+    whole = ["jоhn@example.com", "bob@mail.example [dot] com", "jоhn@mail.example (dot) com"]  # Cyrillic o
+    for text in whole:
+        base, every = find(f"ask {text} now")
+        assert len(base) == 1 and base[0][2] - base[0][1] < len(text) and set(base) < set(every)
+        assert {k for k, _, _ in every} == {"email"} and sorted(i for _, s, e in every for i in range(s, e)) == list(range(4, 4 + len(text)))
+    got = [r.text for r in masked(docs(spark, [f"ask {x} now" for x in whole])).orderBy("doc_id").collect()]
+    assert got == ["ask <EMAIL> now"] * 3
+
+
 def test_prose_stays_clean():
     for text in ("we met at noon on the dot com boom", "one two three four five", "look at example dot", "at at dot dot", "Straße für die Überprüfung", "dot com was at one two"):
         assert disguised(text) == [] and find(text)[0] == []
