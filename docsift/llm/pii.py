@@ -81,15 +81,16 @@ class Mapped:
 
     def rewrite(self, pattern: re.Pattern, to) -> "Mapped":
         """Replace matches; the characters that replace one each stand for all of it."""
+        return self.replace([(*m.span(), new) for m in pattern.finditer(self.text) if (new := to(m)) is not None and m.end() > m.start()])
+
+    def replace(self, edits: list[tuple[int, int, str]]) -> "Mapped":
+        """The same for ascending places and their new texts."""
         out, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new is None or m.end() == m.start():
-                continue
-            out += [self.text[at : m.start()], new]
-            starts += self.starts[at : m.start()] + [self.starts[m.start()]] * len(new)
-            ends += self.ends[at : m.start()] + [self.ends[m.end() - 1]] * len(new)
-            at = m.end()
+        for start, end, new in edits:
+            out += [self.text[at:start], new]
+            starts += self.starts[at:start] + [self.starts[start]] * len(new)
+            ends += self.ends[at:start] + [self.ends[end - 1]] * len(new)
+            at = end
         if not at:
             return self
         return Mapped("".join([*out, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:])
@@ -117,11 +118,48 @@ _PLAIN_DIGITS = re.compile(rf"(?:{_DIGIT_WORD})[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|
 _AT = r"\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?"
 _DOT = r"\x20?[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]\x20?"
 _MARKED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-#: "name at host dot com": whole words, so the ending must be a usual one.
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20(?P<at>at)\x20[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+)*\x20dot\x20(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us)(?![A-Za-z0-9])", re.I)
-_JOINT = re.compile(r"\x20(?:(at)|(dot))\x20", re.I)
-_LAST_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20dot\x20(?=(?:com|org|net|edu)(?![A-Za-z0-9]))", re.I)
-_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|dot|punkt|punto|point|\.)\x20?[\])}>]|\x20dot\x20", re.I)
+_AT_WORD = re.compile(r"\x20at\x20", re.I)
+_DOT_WORD = re.compile(r"\x20dot\x20", re.I)
+#: A host with spoken or literal dots, up to an ending of letters.
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+)*(?:\x20dot\x20|\.)([A-Za-z]{2,})(?![A-Za-z0-9-])", re.I)
+#: Words before "at example.org" that lead to a place rather than name a mailbox.
+_PLACED = frozenset("a about access and are as available be been book buy check contact find found free here hosted is it join learn located look me meet more not now on online or order out page posted published read register see seen shop sign site sold start stay store that them there this today us up visit visited was website were you".split())
+_LAST_DOT = re.compile(r"@[A-Za-z0-9.-]+(?:\x20dot\x20[A-Za-z0-9.-]+)*\x20dot\x20[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
+_SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:(?:\x20dot\x20|\.)[0-9]{1,3}){3}(?![A-Za-z0-9])", re.I)
+_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|dot|punkt|punto|point|\.)\x20?[\])}>]|\x20dot\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
+
+
+def _spoken(text: str) -> list[tuple[int, int, str]]:
+    """Places of "at" and "dot" in "name at host dot ending", "name at host.ending", "name@host dot ending" and IP addresses."""
+    edits, whole = {}, []
+    end = 0
+    for m in _AT_WORD.finditer(text):
+        host = _HOST.match(text, m.end())
+        start = m.start()
+        while host and start > end:
+            while start > end and text[start - 1] in _LOCAL:
+                start -= 1
+            if start == m.start() or not (start - 6 >= end and _DOT_WORD.fullmatch(text, start - 5, start) and text[start - 6] in _LOCAL):
+                break
+            start -= 5
+        if not host or start == m.start():
+            continue
+        local = text[start : m.start()]
+        literal = not _DOT_WORD.search(host[0]) and local.isalpha()
+        if literal and (local.lower() in _PLACED or not (host[1].islower() or host[1].isupper())):
+            continue
+        end = host.end()
+        edits[m.start()] = (*m.span(), "@")
+        whole.append((start, end))
+    whole += [m.span() for m in _LAST_DOT.finditer(text)] + [m.span() for m in _SPOKEN_IP.finditer(text)]
+    for start, stop in whole:
+        edits |= {x.start(): (*x.span(), ".") for x in _DOT_WORD.finditer(text, start, stop)}
+    out, at = [], 0
+    for start, stop, new in sorted(edits.values()):
+        if start >= at:
+            out.append((start, stop, new))
+            at = stop
+    return out
 
 
 class _Inside:
@@ -142,12 +180,7 @@ def normalised(text: str) -> Mapped | None:
         m = m.rewrite(_FOLD, lambda x: _ALIKE[x[0]])
     if _TRIGGER.search(m.text):
         m = m.rewrite(_MARKED, lambda x: "@" if x["at"] else ".")
-        spoken = [(x.span(), x.start("at")) for x in _SPOKEN.finditer(m.text)]
-        if spoken:
-            ats, inside = {at for _, at in spoken}, _Inside([s for s, _ in spoken])
-            m = m.rewrite(_JOINT, lambda x: "@" if x.start(1) in ats else "." if x[2] and inside(x.start(), x.end()) else None)
-        text_now = m.text
-        m = m.rewrite(_LAST_DOT, lambda x: "." if "@" in text_now[max(0, x.start() - 64) : x.start()].rsplit(" ", 1)[-1] else None)
+        m = m.replace(_spoken(m.text))
     if _PLAIN_DIGITS.search(m.text):
         inside = _Inside([x.span() for x in _SPELLED.finditer(m.text)])
         m = m.rewrite(_TOKEN, lambda x: _WORD_DIGITS[(x[1] or x[2]).lower()] if inside(x.start(), x.end()) else None)

@@ -78,6 +78,27 @@ def test_fragments_do_not_hide_the_whole(spark):
     assert got == ["ask <EMAIL> now"] * 3
 
 
+def test_spoken_forms():
+    for text in (
+        *(f"jane at example dot {x}" for x in ("ca", "in", "ch", "jp", "dev", "photography")),
+        "jane at example.org",
+        "jane dot doe at example dot com",
+        "jane dot m dot doe at mail dot example.org",
+        "jane@host dot xx",
+        "jane@mail dot host dot io",
+        "j" * 300 + "@host dot com",
+    ):
+        assert disguised(f"ask {text} now") == [("email", text)]
+    for text in ("10 dot 0 dot 0 dot 1", "192 dot 168.1 dot 20"):
+        assert disguised(f"on {text}, up") == [("ip", text)]
+    for text in ("available at example.org", "we were at home.Then it rained", "300 dot 1 dot 1 dot 1", "stopped at 10.30 sharp"):
+        assert disguised(text) == []
+
+
+def test_long_spoken_texts_take_time_in_proportion():
+    find("a dot " * 40_000 + " at ".join("x" * 40_000) + "a at b dot " * 20_000 + "1 dot " * 40_000 + "x@y dot " * 20_000 + "x@" + "y." * 50_000)
+
+
 def test_prose_stays_clean():
     for text in ("we met at noon on the dot com boom", "one two three four five", "look at example dot", "at at dot dot", "Straße für die Überprüfung", "dot com was at one two"):
         assert disguised(text) == [] and find(text)[0] == []
