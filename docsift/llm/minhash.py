@@ -1,41 +1,53 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-Each text becomes a set of hashed word shingles.  Its ``k`` smallest hashes are
-its sketch.  Inverted lists are keyed by runs of consecutive retained values:
-two sets that are alike at 0.8 keep at least one run of three among their first
-forty values (always where the union has at most forty values, because the few
-differing values cannot cut every run; else but for odds of about one in a
-million).  Candidates from the lists pass an estimate on the sketch of the
-union, and exact Jaccard on full sets has the last word.
+Each text becomes a set of hashed word shingles; its ``k`` smallest hashes are its
+sketch, the values it retains.  Retained values are counted over all sets, and each
+set enters the inverted lists of its *rarest* ones only: two sets alike at J keep
+at least ``needed`` values in common, so of the rarest ``k - needed + 1`` of each
+they share one.  Boilerplate that many texts share sorts last and makes no lists
+as long as a set has enough rarer values.  Candidates pass an estimate on the
+sketch of the union, and exact Jaccard on full sets has the last word.
 
 Large groups never become all pairs.  Equal sets collapse to one node first.  A
-list of up to ``SMALL`` nodes yields its pairs; a longer one compares its
-members with one hub, the links join components, and only pairs of *different*
-components whose signatures are close leave the list afterwards.
+list of up to ``LIST`` nodes yields its pairs, with the number of lists they share.
+A longer one compares its members with one hub, the member whose values are the
+most common; links join components.  Lists that still hold several components
+are compared in blocks: nodes are dealt over blocks of about ``BLOCK`` similar
+ones, two blocks that meet in a list are one unit of work wherever they meet, and
+only links that join components leave it.  Blocks that one component fills are not
+compared with each other, so a group of copies costs as many comparisons as it has
+members; only texts that are alike below the threshold cost more.
+
+Both kinds of lists are complete.  With ``sketch=None`` sets retain all values and
+nothing is lost; else a link of sets larger than the sketch is lost when the
+sketches agree less than expected by SLACK standard errors.
 
 Defined results: a null or blank text has an empty set and no links; fewer words
-than a shingle make one shingle; repeated rows and repeated ids share a node
-when their sets are equal; extra columns play no part.
+than a shingle make one shingle; a null id sorts after all others and is its own
+component when it has no equal or near text; repeated rows and repeated ids share
+a node when their sets are equal; whole texts of any length are read; extra
+columns, whatever their names, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm._spark import staged
+from docsift.llm._spark import small_or_shuffled, staged
 
 SKETCH = 128
-RUN, RUN_POSITIONS = 3, 40
-TINY = 5
-SMALL = 48
-SIGNATURE_WORDS = 8
-#: Standard errors of the sketch that an estimate may lie under the threshold.
+LIST, BLOCK = 16, 512
+#: Shingles of a block, at most about.
+BLOCK_VALUES = 1 << 20
+#: Standard errors of the sketch that two sets may agree less than expected.
 SLACK = 5.0
 
 _SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -62,10 +74,11 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text."""
+    raw = (text or b"") if not isinstance(text, str) else text.encode("utf-8", "surrogatepass")
     # bytes.lower() and bytes.split() know ASCII alone: A-Z, and space with 09-0D
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = raw.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -79,144 +92,141 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _signature(values: np.ndarray) -> np.ndarray:
-    """Parity bits of a set: each value that two sets do not share flips one bit."""
-    bits = np.bincount((_mix(values) % np.uint64(64 * SIGNATURE_WORDS)).astype(np.int64), minlength=64 * SIGNATURE_WORDS)
-    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+def _node(values: np.ndarray) -> int:
+    """One number for a whole set."""
+    return xxhash.xxh64_intdigest(values.tobytes()) - (1 << 63)
 
 
-def _most_bits(n: int, percent: int) -> int:
-    """Bits in which the signature of a set of ``n`` may differ from that of a set alike at ``percent``.
-
-    The sets differ in at most n(1-J)/J values, and in no more bits.  Where so
-    many values flip bits back, the expected number and SLACK standard errors do.
-    """
-    apart, m = n * (100 - percent) / percent, 64 * SIGNATURE_WORDS
-    expected = m / 2 * (1 - np.exp(-2 * apart / m)) + SLACK * np.sqrt(m / 4 * (1 - np.exp(-4 * apart / m)))
-    return int(min(apart, expected + 1))
+def _error(percent: int, union: float, size: int) -> float:
+    """Standard error of the values that two sets alike at ``percent`` share, of the ``size`` smallest of their union."""
+    j = percent / 100
+    left = max(0.0, (union - size) / max(union - 1, 1.0))  # drawn without putting back
+    return math.sqrt(size * j * (1 - j) * left)
 
 
-def _most_sketch_bits(percent: int, n: str, m: str) -> str:
-    """The same for signatures of sketches, in SQL, from the sizes of the two sets.
+def needed(n: int, percent: int, size: int | None) -> int:
+    """Retained values that a set of ``n`` shares at least with any set alike at ``percent``.
 
-    Of k values the larger set's sketch shares a part J(1+r)/(1+J) with the
-    other, where r is the smaller size over the larger; nested sets share least.
+    The other has at least n * J of its values.  Where the union is larger than the
+    sketch, the union's smallest values stand for it; nested sets share least.
     """
-    j = percent / 100
-    apart = f"(1 - {j / (1 + j)!r}D * (1 + least({n}, {m}) / greatest({n}, {m})))"
-    return f"1 + 2 * ({SKETCH} * {apart} + {SLACK!r}D * sqrt({SKETCH} * {apart} * (1 - {apart})))"
+    whole = -(-n * percent // 100)
+    widest = n * 100 / percent  # the largest union
+    if size is None or widest <= size:
+        return whole
+    return max(1, min(whole, math.floor(size * percent / 100 - SLACK * _error(percent, widest, size))))
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set; null if empty), and bytes: the sketch and the set's signature."""
+def sketches(docs: DataFrame, width: int, percent: int, size: int | None) -> DataFrame:
+    """doc_id, text_key, n_shingles, node (hash of the whole set; null if empty), rare (how many of its rarest values it is listed by), sketch."""
+    schema = "doc_id long, text_key long, n_shingles long, node long, rare int, sketch array<long>"
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b["text"]:
+            n, node, rare, kept = [], [], [], []
+            for text in b.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_hashes(text, width)
-                node = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
-                out.append((len(s), node, s[:SKETCH].tobytes(), _signature(s).tobytes()))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [x[0] for x in out], "node": pd.array([x[1] for x in out], dtype="Int64"), "sketch": [x[2] for x in out], "signature": [x[3] for x in out]})
+                own = s[:size].view(np.int64)
+                n.append(len(s))
+                node.append(_node(s) if len(s) else None)
+                rare.append(len(own) - needed(len(s), percent, size) + 1 if len(s) else 0)
+                kept.append(own.copy())
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+            values = np.concatenate(kept) if kept else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rare, pa.int32()), lists], ["doc_id", "text_key", "n_shingles", "node", "rare", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_shingles long, node long, sketch binary, signature binary")
+    return keyed(docs).mapInArrow(rows, schema)
 
 
-def _list_keys(nodes: DataFrame) -> DataFrame:
-    """Inverted lists: a row for each node and run of retained values."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: rows whose text is the same share the key."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, owners = [], []
-            for node, sketch in zip(b["node"], b["sketch"]):
-                v = np.frombuffer(sketch, np.uint64)
-                if len(v) >= RUN:
-                    m = v[:RUN_POSITIONS]
-                    n = len(m) - RUN + 1
-                    run = np.zeros(n, np.uint64)
-                    for i in range(RUN):
-                        run = _mix(run + m[i : i + n] * _SPREAD[i])
-                    keys.append(run)
-                if len(v) <= TINY:  # so few values that one difference can cut every run
-                    keys.append(v)
-                owners += [node] * (sum(map(len, keys)) - len(owners))
-            key = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pd.DataFrame({"key": key, "node": np.array(owners, np.int64)})
-
-    return nodes.select("node", "sketch").mapInPandas(rows, "key long, node long")
-
-
-def _signed(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, n, the signatures of its set and of its sketch, and how many bits of the first may differ."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            whole = [np.frombuffer(x, np.int64) for x in b["signature"]]
-            kept = [_signature(np.frombuffer(x, np.uint64)) for x in b["sketch"]]
-            yield pd.DataFrame({"node": b["node"], "n": b["n_shingles"], "sig": whole, "kept": kept, "most": [_most_bits(n, percent) for n in b["n_shingles"]]})
+def inverted(nodes: DataFrame) -> DataFrame:
+    """value, node, n_shingles, central: the lists of each node's rarest retained values, as far as others retain them, too.
+
+    ``central`` tells how common all of a node's values are.
+    """
+    values = nodes.select("node", F.explode("sketch").alias("value"))
+    common = values.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    shared = values.join(common, "value")
+    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("own"), F.sum("f").alias("f"))  # at most a sketch
+    narrow = nodes.select("node", "n_shingles", "rare", F.size("sketch").alias("k"))
+    # values that no other node retains are the rarest, and need no list
+    left = F.col("rare") - (F.col("k") - F.size("own"))
+    placed = own.join(narrow, "node").where(left > 0).withColumn("central", F.col("f") / F.col("k"))
+    return placed.select("node", "n_shingles", "central", F.explode(F.slice("own", F.lit(1), left)).alias("o")).select(F.col("o.value").alias("value"), "node", "n_shingles", "central")
+
 
-    return nodes.select("node", "n_shingles", "sketch", "signature").mapInPandas(rows, "node long, n long, sig array<long>, kept array<long>, most int")
+def _near_size(percent: int, x: str, y: str) -> F.Column:
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
-def _by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, verdict: 1 alike, null to be verified; pairs whose estimate is too low are gone.
+def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int, size: int | None) -> bool | None:
+    """Whether two sets are alike by their sketches alone: None where only full sets can tell.
 
-    The estimate is the share of the union's bottom-k values that both sets hold.
-    A sketch that holds its whole set makes it exact.
+    The estimate is the share of the union's smallest values that both sets hold.
+    Sketches that hold their whole sets make it exact.
     """
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = np.intersect1d(a, b, assume_unique=True)
+    if size is None or na <= size and nb <= size:
+        return bool(100 * len(both) >= percent * (na + nb - len(both)))
+    # the union's smallest values are known up to the smaller of the two last retained ones
+    last = min(s[-1] for s, n in ((a, na), (b, nb)) if n > size)
+    common = int(np.searchsorted(both, last, side="right"))
+    seen = int(np.searchsorted(a, last, side="right") + np.searchsorted(b, last, side="right")) - common
+    union = (na + nb) / (1 + percent / 100)
+    return None if common >= seen * percent / 100 - SLACK * _error(percent, union, seen) - 1e-9 else False
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int, size: int | None) -> DataFrame:
+    """a, b, sure: pairs whose estimate is not too low."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = staged(nodes.select("node", "n_shingles", "sketch").join(small_or_shuffled(met), "node"), "met")
+    side = lambda c: some.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep, verdict = [], []
-            for na, nb, sa, sb in zip(p["n_a"], p["n_b"], p["s_a"], p["s_b"]):
-                a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                both = np.intersect1d(a, b, assume_unique=True)
-                if na <= SKETCH and nb <= SKETCH:
-                    ok = 100 * len(both) >= percent * (na + nb - len(both))
-                    keep.append(ok)
-                    verdict.append(1)
-                    continue
-                # the union's smallest values are known up to the smaller of the two last retained ones
-                last = min((s[-1] for s, n in ((a, na), (b, nb)) if n > SKETCH))
-                common = int(np.searchsorted(both, last, side="right"))
-                seen = int(np.searchsorted(a, last, side="right") + np.searchsorted(b, last, side="right")) - common
-                j = percent / 100
-                keep.append(common / seen >= j - SLACK * (j * (1 - j) / seen) ** 0.5)
-                verdict.append(None)
-            keep = np.array(keep, bool)
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "verdict": pd.array(verdict, dtype="Int64")})[keep]
-
-    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(rows, "a long, b long, verdict long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links a, b.  Texts of the nodes in doubt are shingled again and compared as full sets."""
-    pairs = staged(pairs, "estimated")
-    doubt = pairs.where("verdict is null").select("a", "b")
-    wanted = doubt.select(F.col("a").alias("node")).union(doubt.select(F.col("b").alias("node"))).distinct()
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = [estimate(a.view(np.uint64), b.view(np.uint64), na, nb, percent, size) for a, b, na, nb in zip(p["s_a"], p["s_b"], p["n_a"], p["n_b"])]
+            keep = np.array([x is not False for x in found], bool)
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "sure": [x is True for x in found]})[keep]
+
+    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(rows, "a long, b long, sure boolean")
+
+
+def full_sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, full: the whole sets of some nodes, from the text of one row of each."""
+    at = reps.join(small_or_shuffled(wanted), "node").select("node", F.col("rep").alias("_rep"), F.col("text_key").alias("_key"))
+    texts = keyed(docs).join(small_or_shuffled(at), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_rep")))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             full = [shingle_hashes(t, width) for t in b["text"]]
-            node = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in full]
-            yield pd.DataFrame({"node": b["node"], "full": [s.tobytes() for s in full]})[np.array(node, object) == b["node"].to_numpy()]
+            same = np.array([_node(s) for s in full], np.int64) == b["node"].to_numpy(np.int64)
+            yield pd.DataFrame({"node": b["node"], "full": [s.tobytes() for s in full]})[same]
+
+    return texts.select("node", "text").mapInPandas(rows, "node long, full binary").dropDuplicates(["node"])
 
-    texts = wanted.join(nodes.select("node", F.col("rep").alias("doc_id")), "node").join(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id")
-    full = staged(texts.select("node", "text").mapInPandas(sets, "node long, full binary").dropDuplicates(["node"]), "sets")
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs a, b that full sets confirm."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = []
-            for x, y in zip(p["f_a"], p["f_b"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(p["f_a"], p["f_b"])]
             yield p[["a", "b"]][np.array(ok, bool)]
 
-    compared = doubt.join(full.select(F.col("node").alias("a"), F.col("full").alias("f_a")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("f_b")), "b")
-    return pairs.where("verdict = 1").select("a", "b").union(compared.select("a", "b", "f_a", "f_b").mapInPandas(exact, "a long, b long"))
+    side = lambda c: full.select(F.col("node").alias(c), F.col("full").alias(f"f_{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "f_a", "f_b").mapInPandas(rows, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,45 +245,148 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, in one row for each row of ``docs``."""
-    rows = staged(sketches(docs, width), "sketches")
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds component; a node without links is its own."""
+    return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``x`` shares with each of ``y``, by products of 0-1 matrices, some columns at a time."""
+    values, of = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    many = np.bincount(of, minlength=len(values)) > 1
+    number = np.cumsum(many) - 1
+    row, of = row[many[of]], number[of[many[of]]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(of, kind="stable")
+    row, of = row[order], of[order]
+    step = 4096
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        lo, hi = np.searchsorted(of, [at, at + step])
+        m = np.zeros((len(x) + len(y), step), np.float32)
+        m[row[lo:hi], of[lo:hi] - at] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def compare_blocks(members: pd.DataFrame, percent: int, size: int | None) -> list[tuple[int, int]]:
+    """Links that join components, of rows (node, component, full, side) of one block (side 0) or two.
+
+    Shared retained values tell which pairs can be alike, the estimate and full sets which are.
+    """
+    x = members[members["side"] == 0].reset_index(drop=True)
+    y = members[members["side"] == 1].reset_index(drop=True)
+    inside = not len(y)
+    y = x if inside else y
+    fx, fy = ([np.frombuffer(f, np.uint64) for f in t["full"]] for t in (x, y))
+    sx, sy = [f[:size] for f in fx], [f[:size] for f in fy]
+    nx, ny = np.array([len(f) for f in fx]), np.array([len(f) for f in fy])
+    mx, my = (np.array([needed(int(i), percent, size) for i in n]) for n in (nx, ny))
+    shared = overlaps(sx, sy)
+    can = (shared >= np.maximum(mx[:, None], my[None, :])) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :])
+    can &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
+    if inside:
+        can = np.triu(can, 1)
+    i, j = np.nonzero(can)
+    order = np.argsort(-shared[i, j], kind="stable")
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    out = []
+    cx, cy = x["component"].tolist(), y["component"].tolist()
+    for k in order:
+        p, q = int(i[k]), int(j[k])
+        a, b = find(cx[p]), find(cy[q])
+        if a != b and (sure := estimate(sx[p], sy[q], len(fx[p]), len(fy[q]), percent, size)) is not False and (sure or alike(fx[p], fy[q], percent)):
+            root[max(a, b)] = min(a, b)
+            out.append((int(x["node"][p]), int(y["node"][q])))
+    return out
+
+
+def _block_links(open_: DataFrame, sets: DataFrame, percent: int, size: int | None) -> DataFrame:
+    """Links a, b between components that meet in open lists (value, size, node, n_shingles, component)."""
+    # a node's home is its longest list, so that those who meet in lists mostly share it
+    home = open_.groupBy("node", "n_shingles", "component").agg(F.max(F.struct("size", "value"))["value"].alias("home"))
+    # components that fill blocks have blocks of their own
+    part = home.groupBy("home", "component").agg(F.count("*").alias("own"))
+    alone = home.join(part, ["home", "component"]).withColumn("family", F.when(F.col("own") >= BLOCK, F.col("component")))
+    many = alone.groupBy("home", "family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_VALUES)).alias("blocks"))
+    many = many.select(F.col("home").alias("h"), F.col("family").alias("g"), "blocks")
+    dealt = alone.join(many, (F.col("home") == F.col("h")) & F.col("family").eqNullSafe(F.col("g")))
+    # a family is part of the number, so blocks are of one component, or of none in particular
+    number = F.xxhash64("home", F.coalesce("family", F.lit(0)), F.col("family").isNull(), F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = staged(dealt.select("node", "component", "family", number.alias("block")), "blocks")
+
+    touch = open_.select("value", "node").join(placed, "node").select("value", "block", "family").distinct()
+    other = touch.select(F.col("value").alias("v"), F.col("block").alias("block_2"), F.col("family").alias("family_2"))
+    apart = F.col("family").isNull() | F.col("family_2").isNull() | (F.col("family") != F.col("family_2"))
+    units = staged(touch.join(other, (F.col("value") == F.col("v")) & (F.col("block") <= F.col("block_2")) & apart).select("block", "block_2").distinct(), "units")
+
+    members = placed.join(sets, "node").select(F.col("block").alias("of"), "node", "component", "full")
+    one = units.join(members, F.col("block") == F.col("of")).withColumn("side", F.lit(0))
+    two = units.where("block != block_2").join(members, F.col("block_2") == F.col("of")).withColumn("side", F.lit(1))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(compare_blocks(rows, percent, size), columns=["a", "b"]).astype("int64")
+
+    return one.union(two).select("block", "block_2", "node", "component", "full", "side").groupBy("block", "block_2").applyInPandas(compare, "a long, b long")
+
+
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, sketch: int | None = SKETCH) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, stays, in one row for each row of ``docs``.
+
+    ``stays`` marks the rows of one id and one text (``keyed``) in each group, and all rows with an empty set.
+    """
+    rows = staged(sketches(docs, width, percent, sketch), "sketches")
     some = rows.where("node is not null")
-    # equal sets are one node: the sketch comes with the least doc_id of the node
-    reps = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    one = some.select("node", "doc_id", "sketch", "signature").join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    nodes = staged(one.dropDuplicates(["node"]).select("node", "rep", "n_shingles", "sketch", "signature"), "nodes")
-
-    keys = _list_keys(nodes)
-    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"), "lists")
-    narrow = nodes.select("node", F.col("n_shingles").alias("n"))
-    members = staged(keys.join(sizes.select("key", "size", "hub"), "key").join(narrow, "node"), "members")
-    near_size = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-
-    small = members.where(F.col("size") <= SMALL).select("key", "node", "n")
-    inside = small.alias("x").join(small.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and {near_size}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    long = members.where(F.col("size") > SMALL)
-    spokes = long.where("node != hub").select("node", "hub", "n").distinct()
-    hubs = spokes.alias("x").join(narrow.alias("y"), F.expr(f"x.hub = y.node and {near_size}")).select(F.least("x.node", "x.hub").alias("a"), F.greatest("x.node", "x.hub").alias("b"))
-    links = staged(_verified(_by_sketch(inside.union(hubs).distinct(), nodes, percent), docs, nodes, width, percent), "verified")
+    # equal sets are one node, whose text is that of its least doc_id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    nodes = some.groupBy("node").agg(first.alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"), F.first("sketch").alias("sketch"))
+    nodes = staged(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key"), "n_shingles", "rare", "sketch"), "nodes")
+    reps = nodes.select("node", "rep", "text_key")
+
+    listed = staged(inverted(nodes), "lists")
+    sizes = listed.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(-F.col("central"), "node"))["node"].alias("hub")).where("size > 1")
+    members = staged(listed.drop("central").join(sizes, "value"), "members")
+    short = members.where(F.col("size") <= LIST).select("value", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+    again = short.select(F.col("value").alias("v"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    inside = short.join(again, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & _near_size(percent, "n_a", "n_b")).select("a", "b")
+    long = members.where(F.col("size") > LIST)
+    spokes = long.where("node != hub").select("node", "hub", "n_shingles")
+    hubs = spokes.join(nodes.select(F.col("node").alias("h"), F.col("n_shingles").alias("n_h")), (F.col("hub") == F.col("h")) & _near_size(percent, "n_shingles", "n_h"))
+    both = inside.union(hubs.select(F.least("node", "hub"), F.greatest("node", "hub")))
+    pairs = staged(both.groupBy("a", "b").agg(F.count("*").alias("overlap")), "pairs")
+
+    checked = staged(_estimated(pairs, nodes, percent, sketch), "estimated")
+    doubt = checked.where("not sure").select("a", "b")
+    wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = staged(full_sets(wanted, reps, docs, width), "sets")
+    links = staged(checked.where("sure").select("a", "b").union(_verified(doubt, sets, percent)), "verified")
     label = components(links)
 
-    # long lists again: pairs of different components with near signatures, each at its first common key
-    placed = long.select("key", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_lists = placed.join(split, "key")
-    own_keys = open_lists.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most RUN_POSITIONS of them
-    rich = staged(open_lists.join(own_keys, "node").join(_signed(nodes, percent), "node"), "open")
-    bits = lambda sig: "+".join(f"bit_count(x.{sig}[{i}] ^ y.{sig}[{i}])" for i in range(SIGNATURE_WORDS))
-    near = f"{near_size} and {bits('sig')} <= least(x.most, y.most) and {bits('kept')} <= {_most_sketch_bits(percent, 'x.n', 'y.n')}"
-    late = rich.alias("x").join(rich.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {near} and x.key = array_min(array_intersect(x.keys, y.keys))"))
-    more = _verified(_by_sketch(late.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, percent), docs, nodes, width, percent)
-    whole = label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    label = components(whole)
-
-    named = nodes.select("node", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
+    # long lists again, as far as they still hold several components
+    placed = _labelled(long.select("value", "size", "node", "n_shingles"), label)
+    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("value")
+    open_ = staged(placed.join(split, "value"), "open")
+    if not open_.isEmpty():
+        sets = staged(full_sets(open_.select("node").distinct(), reps, docs, width), "open-sets")
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_block_links(open_, sets, percent, sketch)))
+
+    named = _labelled(reps, label)
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_key")).alias("r"))
+    named = named.join(least, "component").select("node", F.col("r.rep").alias("component_id"), F.col("r.text_key").alias("_key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("_key"))
+    out = some.select("doc_id", "text_key", "n_shingles", "node").join(named, "node").select("doc_id", "text_key", "n_shingles", "component_id", stays.alias("stays"))
+    # empty sets meet nothing
+    return out.union(rows.where("node is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: int | None = SKETCH) -> DataFrame:
+    """doc_id, n_shingles, component_id (the group's least id), kept, in one row for each row of ``docs``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return groups(docs, width, percent, sketch).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm._spark import staged
-from docsift.llm.minhash import near_duplicates
+from docsift.llm._spark import small_or_shuffled, staged
+from docsift.llm.minhash import groups
 from docsift.llm.mixing import mixed
 from docsift.llm.packing import pack_documents
 from docsift.llm.pii import masked
@@ -30,10 +30,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group of near copies (five-word shingles, 0.8), once; rows without an id all stay."""
-    keep = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies (five-word shingles, 0.8): the least doc_id, its least text if it has several.
+
+    Rows without words all stay.  A row is known by its id and its text, so an id
+    that is given twice keeps both texts where these are not alike.
+    """
+    found = groups(docs).where("stays")
+    # ids and texts that stay, and whether rows repeat them
+    keep = found.groupBy("doc_id", "text_key", "n_shingles").agg(F.count("*").alias("n"))
+    keep = staged(keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), ((F.col("n") > 1) & (F.col("n_shingles") > 0)).alias("_again")), "kept")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    named = whole.join(small_or_shuffled(keep), on).select("_row", "_doc", "_text", "_again")
+    # only repeated rows of what stays meet
+    once = named.where("not _again").select("_row").union(named.where("_again").dropDuplicates(["_doc", "_text"]).select("_row"))
+    return once.select("_row.*")
 
 
 @shipped
