@@ -9,7 +9,9 @@ that readers can start inside it.  Blocks are rows of Parquet files written by
 Spark, whose commit protocol takes care of lost tasks.
 
 Defined results: a null text is empty and has the end id alone; null and repeated
-ids keep their rows, nulls first; an empty table gives no rows.
+ids keep their rows, nulls first, those of one id in the order of a hash of their
+texts; very long texts are documents like others, in blocks of their own; extra
+columns, whatever their names, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,22 +101,45 @@ def write_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     return MAGIC + b"".join(x.tobytes() for x in parts)
 
 
+class Block:
+    """A block as written: documents and lengths at once, values as they are asked for."""
+
+    def __init__(self, block: bytes):
+        if block[:4] != MAGIC:
+            raise ValueError("not a Simple-8b block")
+        docs, self.n, n_words, n_escapes, n_frames = (int(x) for x in np.frombuffer(block, "<u8", 5, 4))
+        at = 44
+        known = np.frombuffer(block, np.uint8, docs, at)
+        at += docs
+        self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(block, "<i8", docs, at), known)]
+        self.ends = np.cumsum(np.frombuffer(block, "<u8", docs, at + 8 * docs).astype(np.int64))
+        at += 16 * docs
+        self.frames = np.frombuffer(block, "<u8", n_frames, at).astype(np.int64)
+        at += 8 * n_frames
+        self.words = np.frombuffer(block, "<u8", n_words, at)
+        self.places = np.frombuffer(block, "<u8", n_escapes, at + 8 * n_words).astype(np.int64)
+        self.escaped = np.frombuffer(block, "<u8", n_escapes, at + 8 * (n_words + n_escapes))
+
+    def values(self, start: int, stop: int) -> np.ndarray:
+        """Values ``start`` to ``stop``, from the frame that holds the first to the one that holds the last."""
+        if start >= stop:
+            return np.empty(0, np.uint64)
+        first = int(np.searchsorted(self.frames, start, side="right")) - 1
+        last = int(np.searchsorted(self.frames, stop, side="left"))
+        at = int(self.frames[first])
+        end = int(self.frames[last]) if last < len(self.frames) else self.n
+        inside = slice(*np.searchsorted(self.places, [at, end]))
+        return unpack(self.words[first * FRAME : last * FRAME], end - at, self.places[inside] - at, self.escaped[inside])[start - at : stop - at]
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the i-th document alone."""
+        return self.values(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
+
+
 def read_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """Document ids and their token ids."""
-    if block[:4] != MAGIC:
-        raise ValueError("not a Simple-8b block")
-    docs, n, n_words, n_escapes, n_frames = (int(x) for x in np.frombuffer(block, "<u8", 5, 4))
-    at = 44
-    known = np.frombuffer(block, np.uint8, docs, at)
-    at += docs
-    doc_ids = np.frombuffer(block, "<i8", docs, at)
-    lengths = np.frombuffer(block, "<u8", docs, at + 8 * docs).astype(np.int64)
-    at += 8 * (2 * docs + n_frames)
-    words = np.frombuffer(block, "<u8", n_words, at)
-    places = np.frombuffer(block, "<u8", n_escapes, at + 8 * n_words).astype(np.int64)
-    escaped = np.frombuffer(block, "<u8", n_escapes, at + 8 * (n_words + n_escapes))
-    values = unpack(words, n, places, escaped)
-    return [int(d) if k else None for d, k in zip(doc_ids, known)], np.split(values, np.cumsum(lengths)[:-1]) if docs else []
+    b = Block(block)
+    return b.doc_ids, np.split(b.values(0, b.n), b.ends[:-1]) if b.doc_ids else []
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, tokenizer: str | None = None) -> None:
@@ -142,8 +167,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, tokenizer: str |
         if doc_ids:
             yield block()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(rows, "part int, seq int, n_ids long, block binary").write.parquet(path)
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = narrow.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInPandas(rows, "part int, seq int, n_ids long, block binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, columns: str = "ids array<long>", each: Callable[[np.ndarray], tuple] = lambda ids: (ids.astype(np.int64),)) -> DataFrame:
@@ -167,5 +194,17 @@ def read_token_files(spark: SparkSession, path: str, columns: str = "ids array<l
     return placed.select("start", "block").mapInPandas(rows, f"doc_id long, start long, n_tokens long, {columns}")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of some documents: only the frames that hold them are decoded."""
+    wanted = frozenset(doc_ids)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(d, block.document(i).astype(np.int64)) for block in map(Block, b["block"]) for i, d in enumerate(block.doc_ids) if d in wanted]
+            yield pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "int64"})
+
+    return spark.read.parquet(path).select("block").mapInPandas(rows, "doc_id long, ids array<long>")
+
+
 def digest(ids: np.ndarray) -> tuple[int]:
     return (zlib.crc32(ids.astype("<u4").tobytes()),)

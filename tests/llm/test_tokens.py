@@ -5,9 +5,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer  # noqa: I001
 
-from docsift.llm.simple8b import digest, pack, read_block, read_token_files, unpack, write_block, write_token_files
+from pyspark.sql import functions as F
+
+from docsift.llm.simple8b import Block, digest, pack, read_block, read_documents, read_token_files, unpack, write_block, write_token_files
 from docsift.llm.tokens import encode
 from tests.llm.helpers import docs
 
@@ -78,3 +80,37 @@ def test_repeated_and_null_ids(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write_token_files(docs(spark, ["a"]).limit(0), str(tmp_path / "t"), 2)
     assert read_token_files(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_values_from_any_frame():
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 50000, n).astype(np.uint64) for n in (1, 3000, 0, 20_000, 7, 4096)]
+    lists[3][[0, 999, 19_999]] = 2**63 + 5
+    b, every = Block(write_block([1, 2, 3, 4, 5, 6], lists)), np.concatenate(lists)
+    assert len(b.frames) > 40
+    for start, stop in [(0, 0), (0, 1), (0, b.n), (b.n - 1, b.n), *map(sorted, rng.integers(0, b.n + 1, (200, 2)).tolist())]:
+        assert b.values(start, stop).tolist() == every[start:stop].tolist()
+    assert [b.document(i).tolist() for i in range(6)] == [x.tolist() for x in lists]
+
+
+def test_reader_starts_at_a_frame(spark, tmp_path, monkeypatch):
+    import docsift.llm.simple8b as m
+
+    texts = [f"number {i} " * (50 * i) for i in range(60)] + ["w " * 300_000]
+    write_token_files(docs(spark, texts).withColumns({"tie": F.lit(1), "block": F.lit("x"), "part": F.lit(2)}), str(tmp_path / "t"), 2)
+    got = {r.doc_id: r.ids for r in read_documents(spark, str(tmp_path / "t"), [3, 59, 60, 77]).collect()}
+    assert got == {i: ids(texts[i], 2) for i in (3, 59, 60)}
+    (block,) = [Block(r.block) for r in spark.read.parquet(str(tmp_path / "t")).collect() if 59 in Block(r.block).doc_ids]
+    decoded, unpack_all = [], m.unpack
+    monkeypatch.setattr(m, "unpack", lambda words, *rest: decoded.append(len(words)) or unpack_all(words, *rest))
+    block.document(block.doc_ids.index(59))
+    assert decoded[0] < len(block.words)
+
+
+def test_rows_of_one_id_have_an_order(spark, tmp_path):
+    d = spark.createDataFrame([(1, f"text {i}" + " x" * i) for i in range(40)], "doc_id long, text string")
+    found = []
+    for n in (1, 7):
+        write_token_files(d.repartition(n), str(tmp_path / f"t{n}"), 2)
+        found.append([(r.start, r.n_tokens) for r in read_token_files(spark, str(tmp_path / f"t{n}")).orderBy("start").collect()])
+    assert found[0] == found[1] and len(found[0]) == 40
