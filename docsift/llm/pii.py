@@ -109,8 +109,11 @@ _FOLD = re.compile("[" + re.escape("".join(_ALIKE)) + "]")
 
 _WORD_DIGITS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789")) | {"plus": "+"}
 _DIGIT_WORD = "|".join(sorted(_WORD_DIGITS.keys() - {"plus"}, key=len, reverse=True))
-#: Seven spelled digits at least, or some beside figures, so that prose about numbers stays as it is.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|{_DIGIT_WORD}|[0-9]+)[\x20,.-]{{1,2}}){{6,}}(?:{_DIGIT_WORD}|[0-9]+)(?![A-Za-z])", re.I)
+#: Digits in words or figures, and "plus".
+_ITEM = re.compile(rf"(?<![A-Za-z0-9])(?:(plus)|{_DIGIT_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
+_BETWEEN = re.compile(r"[\x20,.-]{1,2}")
+#: So many spelled digits at least, or some beside figures, so that prose about numbers stays as it is.
+LEAST_ITEMS = 7
 _TOKEN = re.compile(rf"(?<![A-Za-z])(plus|{_DIGIT_WORD})(?![A-Za-z])[\x20,.-]{{0,2}}(?=(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z]))|(?<![A-Za-z])({_DIGIT_WORD})(?![A-Za-z])", re.I)
 
 _PLAIN_DIGITS = re.compile(rf"(?:{_DIGIT_WORD})[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])", re.I)
@@ -162,6 +165,22 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _spelled(text: str) -> list[Span]:
+    """Runs of LEAST_ITEMS items or more with one or two separators between, in one pass; a run ends with a digit."""
+    out, start, end, last, n, digits = [], 0, 0, 0, 0, 0
+    for m in _ITEM.finditer(text):
+        if not n or not _BETWEEN.fullmatch(text, end, m.start()):
+            if digits >= LEAST_ITEMS:
+                out.append((start, last))
+            start, n, digits = m.start(), 0, 0
+        n, end = n + 1, m.end()
+        if not m[1]:
+            last, digits = end, n  # items up to the last digit
+    if digits >= LEAST_ITEMS:
+        out.append((start, last))
+    return out
+
+
 class _Inside:
     """Whether a place lies in one of some ascending spans."""
 
@@ -182,7 +201,7 @@ def normalised(text: str) -> Mapped | None:
         m = m.rewrite(_MARKED, lambda x: "@" if x["at"] else ".")
         m = m.replace(_spoken(m.text))
     if _PLAIN_DIGITS.search(m.text):
-        inside = _Inside([x.span() for x in _SPELLED.finditer(m.text)])
+        inside = _Inside(_spelled(m.text))
         m = m.rewrite(_TOKEN, lambda x: _WORD_DIGITS[(x[1] or x[2]).lower()] if inside(x.start(), x.end()) else None)
     return None if m.text == text else m
 
