@@ -1,17 +1,21 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 Every line of a file, and every run of three lines, that holds an anchor word is
-a passage.  A passage's sparse TF-IDF vector is compared with those of the
-templates; the inverse document frequency of a template term counts all files,
-and terms of no template weigh as much as the rarest ones.  A file's own licence
-is that of its most similar passage, if that is similar enough.  Files without
+a passage; so is the whole file that has one.  A passage's sparse TF-IDF vector is
+compared with those of the templates: declarations, and whole texts of short
+licences.  The inverse document frequency of a template term counts all files.  No
+term counts as rarer than one file in ``RAREST``, and terms of no template count as
+that rare, so a verdict depends on the shares of words and not on the number of files.
+A file's own licence is that of its most similar passage, if that is similar enough.
+Files without
 one inherit from the nearest ancestor directory that holds a licence file.
 
 Everything is DataFrame functions.  Defined results: a null or empty text has no
 passage; a null path has no directory and inherits nothing; ties go to the
 alphabetically first licence; repeated rows each get their result; several
 licence files in a directory count as its most similar one (ties: first licence);
-an empty table gives no rows; extra columns are carried along.
+an empty table gives no rows; very long texts are read whole; of extra columns,
+whatever their names, none is carried along.
 """
 
 from __future__ import annotations
@@ -22,23 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm._spark import small_or_shuffled, staged
+from docsift.llm.licence_texts import TEMPLATES
 
-#: Sentences by which these licences are declared.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-}
-ANCHOR = r"(?i)licen[cs]e|redistribut|permission is|creative commons|spdx|\bcc by\b"
+ANCHOR = r"(?i)licen[cs]e|redistribut|permission (?:is|to)|creative commons|spdx|\bcc by\b"
 TERM = r"[a-z0-9]+"
 THRESHOLD = 0.6
+RAREST = 1000.0
 #: Names of files that speak for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -54,11 +47,12 @@ def _template_terms(spark) -> DataFrame:
 
 
 def passages(text: F.Column) -> F.Column:
-    """Lines, and runs of three lines, that hold an anchor."""
+    """Lines, and runs of three lines, that hold an anchor; and the whole text, as line 0 and run 0."""
     lines = F.split(F.coalesce(text, F.lit("")), "\r?\n")
     one = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.lit(1).alias("n"), x.alias("passage")))
     three = F.transform(F.filter(one, lambda x: x["passage"].rlike(ANCHOR)), lambda x: F.struct((F.greatest(x["line"] - 1, F.lit(0))).alias("line"), F.lit(3).alias("n"), F.array_join(F.slice(lines, F.greatest(x["line"], F.lit(1)), F.lit(3)), " ").alias("passage")))
-    return F.concat(F.filter(one, lambda x: x["passage"].rlike(ANCHOR)), three)
+    whole = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("n"), F.coalesce(text, F.lit("")).alias("passage")))
+    return F.concat(F.filter(one, lambda x: x["passage"].rlike(ANCHOR)), three, whole)
 
 
 def _similar(files: DataFrame, uid: str) -> DataFrame:
@@ -68,15 +62,15 @@ def _similar(files: DataFrame, uid: str) -> DataFrame:
     vocabulary = [r[0] for r in templates.select("term").distinct().orderBy("term").collect()]  # of fixed templates
     words = F.array(*map(F.lit, vocabulary))
     n = files.count()
-    df = files.select(F.explode(F.array_intersect(_terms(F.col("text")), words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    known = templates.select("term").distinct().join(F.broadcast(df), "term", "left").select("term", (F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    df = files.select(F.explode_outer(F.array_intersect(_terms(F.col("text")), words)).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    known = templates.select("term").distinct().join(F.broadcast(df), "term", "left").select("term", (F.log(F.least(F.lit(RAREST), (1.0 + n) / (1.0 + F.coalesce("df", F.lit(0))))) + 1).alias("idf"))
     known = staged(known, "idf")  # one row for each template term
-    rare = math.log(1.0 + n) + 1
+    rare = math.log(min(RAREST, 1.0 + n)) + 1
     weights = templates.join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = staged(weights.join(F.broadcast(norms), "template").select("licence", F.col("term").alias("t"), "template", (F.col("w") / F.col("norm")).alias("w")), "weights")
 
-    found = files.where(F.col("text").rlike(ANCHOR)).select(uid, F.explode(passages(F.col("text"))).alias("p")).select(uid, "p.line", "p.n", F.explode(_terms(F.col("p.passage"))).alias("term"))
+    found = files.where(F.col("text").rlike(ANCHOR)).select(uid, F.explode_outer(passages(F.col("text"))).alias("p")).select(uid, "p.line", "p.n", F.explode_outer(_terms(F.col("p.passage"))).alias("term")).where("term is not null")
     tf = found.groupBy(uid, "line", "n", "term").agg(F.count("*").alias("tf")).join(F.broadcast(known), "term", "left")
     tf = staged(tf.withColumn("u", F.col("tf") * F.coalesce("idf", F.lit(rare))), "terms")
     lengths = tf.groupBy(uid, "line", "n").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("length"))

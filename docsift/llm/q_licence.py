@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm._spark import table
-from docsift.llm.licence import ANCHOR, TEMPLATES, THRESHOLD, scan_licences
+from docsift.llm.licence import ANCHOR, RAREST, TEMPLATES, THRESHOLD, scan_licences
 
 
 def with_paths(docs: DataFrame) -> DataFrame:
@@ -23,22 +23,23 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(with_paths(table(spark, sf_dir, "documents")), key="doc_id")
 
 
-_ROWS = ", ".join(f"('{name}', '{name} {i}', '{line}')" for name, lines in TEMPLATES.items() for i, line in enumerate(lines))
+_ROWS = ", ".join("('{0}', '{0} {1}', '{2}')".format(name, i, line.replace("'", "''")) for name, lines in TEMPLATES.items() for i, line in enumerate(lines))
 _TERMS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 SQL = f"""
 with tpl(licence, template, line) as (values {_ROWS}),
 tt as (select licence, template, term, count(*) tf from (select licence, template, unnest({_TERMS.format('line')}) term from tpl) group by all),
 n as (select count(*) n from documents),
 df as (select term, count(*) df from (select unnest(list_distinct({_TERMS.format('text')})) term from documents) where term in (select term from tt) group by 1),
-idf as (select term, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 idf from (select distinct term from tt) left join df using (term), n),
+idf as (select term, ln(least({RAREST}, (1.0 + n) / (1.0 + coalesce(df, 0)))) + 1 idf from (select distinct term from tt) left join df using (term), n),
 w as (select licence, template, term, tf * idf w from tt join idf using (term)),
 norms as (select template, sqrt(sum(w * w)) norm from w group by 1),
 split as (select doc_id, string_split_regex(text, '\\r?\\n') l from documents where regexp_matches(text, '{ANCHOR}')),
 anchored as (select doc_id, i - 1 line, l[i] one, array_to_string(list_slice(l, greatest(i - 1, 1), greatest(i - 1, 1) + 2), ' ') three
              from (select doc_id, l, unnest(range(1, len(l) + 1)) i from split) where regexp_matches(l[i], '{ANCHOR}')),
-passages as (select doc_id, line, 1 k, one passage from anchored union all select doc_id, greatest(line - 1, 0), 3, three from anchored),
+passages as (select doc_id, line, 1 k, one passage from anchored union all select doc_id, greatest(line - 1, 0), 3, three from anchored
+             union all select doc_id, 0, 0, text from documents where regexp_matches(text, '{ANCHOR}')),
 tf as (select doc_id, line, k, term, count(*) tf from (select doc_id, line, k, unnest({_TERMS.format('passage')}) term from passages) group by all),
-u as (select doc_id, line, k, term, tf * coalesce(idf, ln(1.0 + n) + 1) u from tf left join idf using (term), n),
+u as (select doc_id, line, k, term, tf * coalesce(idf, ln(least({RAREST}, 1.0 + n)) + 1) u from tf left join idf using (term), n),
 lengths as (select doc_id, line, k, sqrt(sum(u * u)) length from u group by all),
 cosines as (select doc_id, licence, line, round(sum(u * w) / any_value(norm) / any_value(length), 6) similarity
             from u join w using (term) join norms using (template) join lengths using (doc_id, line, k) group by doc_id, licence, line, k, template),
