@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm._spark import numbered, partitions, staged
+from docsift.llm._spark import numbered, staged
+
+#: Parts that a shard is numbered by, whatever the session; fixed, so that slots are the same everywhere.
+BUCKETS = 1024
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -55,5 +58,5 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
     placed = staged(assign_shards(narrow, ["doc_id"], shards), "shards")
-    out = numbered(placed, ["shard"], ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], partitions(docs.sparkSession), "slot")
+    out = numbered(placed, ["shard"], ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], BUCKETS, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

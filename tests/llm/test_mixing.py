@@ -88,3 +88,65 @@ def test_same_every_time_repeated_rows_and_empty_table(spark):
     assert key(M.schedule(d, seed=4, repeats=2.0)) == key(M.schedule(d.repartition(7), seed=4, repeats=2.0))
     assert M.schedule(d.union(d), seed=4, repeats=1.0).count() == 2 * d.count()
     assert M.schedule(d.limit(0), repeats=2.0).count() == 0
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of 32-bit integers, 64-bit ones, texts and nulls, in Python."""
+    import xxhash
+
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            raw = v.encode() if kind == "s" else int(v).to_bytes(4 if kind == "i" else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_schedule(rows, seed, repeats, block_rows):
+    """(doc_id, epoch, block, slot) by the definition, for rows (doc_id, source, tokens)."""
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    full = {s: n for s, n in total.items() if n}
+    every, hi, lo = sum(full.values()), max(full.values()), min(full.values())
+    low, high = 0.0, 1.0
+    for _ in range(M.ROUNDS):
+        grid = [low + (high - low) * i / M.GRID for i in range(M.GRID + 1)]
+        first = next(i for i, a in enumerate(grid) if (hi / lo) ** (1 - a) <= repeats * (1 + 1e-12))
+        low, high = grid[max(0, first - 1)], grid[first]
+        if not first:
+            break
+    a, out = high, []
+    z = sum((n / every) ** a for n in full.values())
+    for source in total:
+        own = [(d, n, spark_hash(("i", seed), ("l", d), ("l", n))) for d, s, n in rows if s == source]
+        blocks, tokens = -(-len(own) // block_rows), total[source]
+        budget = max(tokens, round((tokens / every) ** a / z * every * (hi / every) ** (1 - a) * z)) if tokens else 0
+        epochs = budget // tokens if tokens else 1
+        block_order = lambda e, b: (spark_hash(("i", seed + 1), ("i", e), ("s", source), ("l", b)), b)
+        row_order = lambda e, r: (spark_hash(("i", seed + 2), ("i", e), ("l", r[2])), r[2])
+        rest = budget - epochs * tokens if tokens else 0
+        for e in range(epochs + (rest > 0)):
+            left = rest if e == epochs else None
+            for b in sorted({r[2] % blocks for r in own}, key=lambda b: block_order(e, b)):
+                inside = sorted((r for r in own if r[2] % blocks == b), key=lambda r: row_order(e, r))
+                for slot, r in enumerate(inside):
+                    if left is None or left > 0:
+                        out.append((r[0], e, b, slot))
+                        left = None if left is None else left - r[1]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, repeats, block_rows", [(7, 2.0, 16), (8, 3.5, 4096), (9, 1.0, 7)])
+def test_schedule_equals_brute_force(spark, monkeypatch, seed, repeats, block_rows):
+    monkeypatch.setattr(M, "BLOCK_ROWS", block_rows)
+    d = corpus(spark)
+    rows = [(r.doc_id, r.source, len((r.text or "").split())) for r in d.collect()]
+    got = sorted((r.doc_id, r.epoch, r.block, r.slot) for r in M.schedule(d, seed=seed, repeats=repeats).collect())
+    assert got == brute_schedule(rows, seed, repeats, block_rows)
+
+
+def test_very_long_text_counts_whole(spark):
+    d = docs(spark, ["w " * 400_000, "x " * 10], ["a", "b"])
+    got = {r.doc_id: r.tokens for r in M.schedule(d, repeats=2.0).where("epoch = 0").collect()}
+    assert got == {0: 400_000, 1: 10}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.llm import licence, stages
-from docsift.llm.chat import preference_pairs, preference_turns
+from docsift.llm.chat import preference_pairs, preference_parts, preference_turns
 from docsift.llm.sharding import jump, shard_documents
 from docsift.llm.vafile import top_k
 from tests.llm.helpers import docs
@@ -46,6 +46,24 @@ def test_chat_nulls_repeats_and_empty(spark):
     assert preference_turns(d.limit(0)).count() == 0
 
 
+def test_chat_sides_are_aligned_by_place(spark):
+    rows = [(1, "chosen", 0, "user", "hi"), (1, "chosen", 7, "assistant", "yes"), (1, "rejected", 1, "user", "hi"), (1, "rejected", 2, "assistant", "no")]
+    (r,) = preference_pairs(preference_turns(spark.createDataFrame(rows, TURNS))).collect()
+    assert r.prompt == "<|im_start|>user\nhi<|im_end|>\n" and "yes" in r.chosen and "no" in r.rejected
+
+
+def test_chat_long_conversations_come_in_parts(spark):
+    n, size = 700, 16
+    same = [(1, s, 9 * i - 2000, "user", f"t{i}") for s in ("chosen", "rejected") for i in range(n)]
+    rest = [(1, "chosen", 9 * (n + i), "assistant", f"c{i}" + "x" * 100_000 * (i == 3)) for i in range(40)]
+    d = spark.createDataFrame(same + rest, TURNS).repartition(5)
+    got = preference_parts(preference_turns(d), size).orderBy("part_no").collect()
+    assert [r.part_no for r in got] == list(range(-(-n // size)))
+    assert "".join(r.prompt for r in got) == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(n))
+    assert [len(r.chosen_mask) for r in got[:4]] == [16, 16, 8, 0] and all(not r.rejected for r in got)
+    assert [got[0].chosen[m.start : m.end] for m in got[0].chosen_mask] == [f"c{i}" + "x" * 100_000 * (i == 3) + "<|im_end|>" for i in range(16)]
+
+
 def scalar_jump(key, n):
     b, j = -1, 0
     while j < n:
@@ -78,6 +96,27 @@ def test_shards(spark):
     assert shard_documents(d.limit(0)).count() == 0
 
 
+def test_slots_are_the_same_in_any_session(spark):
+    d = docs(spark, [f"t{i}" for i in range(300)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({(r.doc_id, r.shard, r.slot) for r in shard_documents(d.repartition(int(n)), 16).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_shared_folder_without_a_setting(spark):
+    from docsift.llm._spark import shared_dir
+
+    class Session:
+        conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
+
+    assert shared_dir(Session) == "hdfs://x/warehouse"
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
 def test_exact_top_k(spark, monkeypatch):
     import docsift.llm.vafile as v
 
@@ -121,7 +160,7 @@ def brute_best(texts):
     n = len(texts)
     df = Counter(w for t in texts for w in set(term(t or "")))
     vocabulary = {w for ts in licence.TEMPLATES.values() for t in ts for w in term(t)}
-    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1 if w in vocabulary else math.log(1 + n) + 1
+    idf = lambda w: math.log(min(licence.RAREST, (1 + n) / (1 + df[w]) if w in vocabulary else 1 + n)) + 1
     vec = lambda ws: {w: c * idf(w) for w, c in Counter(ws).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     out = []
@@ -130,7 +169,7 @@ def brute_best(texts):
         for i, x in enumerate(lines):
             if re.search(licence.ANCHOR, x):
                 at = max(i, 1) - 1
-                for passage in (x, " ".join(lines[at : at + 3])):
+                for passage in (x, " ".join(lines[at : at + 3]), t):
                     u = vec(term(passage))
                     for name, ts in licence.TEMPLATES.items():
                         for k in ts:
@@ -159,6 +198,24 @@ def test_licences_of_repeated_rows_and_empty_table(spark):
     assert licence.scan_licences(d.limit(0), "doc_id").count() == 0
 
 
+def test_a_licence_does_not_depend_on_the_number_of_files(spark):
+    headers = ["Acme: Released under the MIT License", "Copyright 2020 Acme. Released under the MIT License"]
+    rng = np.random.default_rng(2)
+    for n in (5_000, 50_000):
+        some = spark.range(n).select((F.col("id") + 100).alias("doc_id"), F.lit("a/b.txt").alias("path"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % int(m)) for k, m in enumerate(rng.integers(3, 900, 6))]).alias("text"))
+        d = some.union(spark.createDataFrame([(i, f"x/{i}.py", h) for i, h in enumerate(headers)], "doc_id long, path string, text string"))
+        got = [(r.own_licence, r.similarity) for r in licence.scan_licences(d, "doc_id").where("doc_id < 100").orderBy("doc_id").collect()]
+        assert got[0][0] == "MIT"
+        first = got if n == 5_000 else first
+        assert all(a == b and abs((x or 0) - (y or 0)) < 0.01 for (a, x), (b, y) in zip(got, first))
+
+
+def test_a_whole_licence_file_is_compared(spark):
+    text = licence.TEMPLATES["ISC"][1].replace(". ", ".\n").replace(", ", ",\n")
+    (r,) = licence.scan_licences(spark.createDataFrame([(1, "a/LICENSE", "Copyright (c) 2019 Jane Doe\n\n" + text)], "doc_id long, path string, text string"), "doc_id").collect()
+    assert r.own_licence == "ISC" and r.similarity > 0.9 and r.line == 0
+
+
 @pytest.mark.parametrize("build", [lambda s: preference_turns(turns(s, {1: ([U], [A])})), lambda s: licence.scan_licences(files(s), "doc_id")])
 def test_native(spark, build):
     plan = build(spark)._jdf.queryExecution().toString()

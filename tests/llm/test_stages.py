@@ -1,0 +1,58 @@
+"""Stages of the pipeline over odd tables: each keeps the columns it is given, whatever they are called."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docsift.llm import stages
+from tests.llm.helpers import docs
+
+CLASH = ["_row", "_id", "node", "kept", "text_key", "uid", "sequence_id", "_deal", "_text", "value", "component"]
+WORDS = "the quick brown fox jumps over a lazy dog while seven wise owls watch from their old oak near the quiet river where small boats drift past green fields and children play until evening comes and lamps are lit along the narrow road home for supper with bread and cheese before everyone sleeps under warm blankets"
+
+
+def odd(spark, texts):
+    return docs(spark, texts).withColumns({c: F.lit("x") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "pii", "mixing", "packing"])
+def test_empty_tables_and_clashing_names(spark, sf, name):
+    stage = getattr(stages, name)
+    empty = stage(spark, odd(spark, ["a"]).limit(0), sf)
+    assert empty.count() == 0
+    full = stage(spark, odd(spark, [WORDS, None, "", "x " * 300_000, "y" * 1_000_000]), sf)
+    kept = {r.doc_id for r in full.select("doc_id").collect()}
+    assert kept == ({0} if name == "quality" else {0, 1, 2, 3, 4})
+    if name != "packing":
+        assert full.columns == odd(spark, []).columns and empty.columns == full.columns
+    else:
+        assert full.where("doc_id = 3").count() == -(-300_001 // 4096)
+
+
+def test_an_id_given_twice_keeps_both_texts(spark, sf):
+    other = "entirely different words about mountains and glaciers that melt in spring when sun returns to high valleys above our village"
+    rows = [(1, WORDS, "a"), (1, other, "b"), (2, WORDS + " end", "c"), (None, WORDS, "d"), (1, WORDS, "a"), (3, "", "e"), (3, "", "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.text) for r in stages.near_dedup(spark, d, sf).collect())
+    assert got == sorted([("1", WORDS), ("1", other), ("3", ""), ("3", "")])
+
+
+def test_pipeline_equals_its_stages_one_by_one(spark, sf):
+    texts = [WORDS, WORDS + " more", None, "spam " * 200, WORDS.replace("fox", "cat").replace("owls", "birds").replace("boats", "ships").replace("lamps", "fires") + " call +1 (285) 555-0658"]
+    d = docs(spark, texts)
+    d.write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    got = {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()}
+    kept = [t for t in (0, 4)]
+    assert {x[0] for x in got} == set(kept)
+    from docsift.llm.packing import pieces
+    from docsift.llm.pii import masked
+
+    want = pieces(masked(d.where(F.col("doc_id").isin(kept))), 4096, 1).select("doc_id", "piece", "length", "ids_crc32").collect()
+    assert got == {tuple(r) for r in want}
