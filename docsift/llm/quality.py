@@ -29,11 +29,12 @@ THRESHOLD = -0.06
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """Adds _text (null: empty) and _hashes, a hash for each word."""
+    """Adds _text (null: empty), _words and _hashes, a hash for each word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     inner = F.btrim("_text", F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(F.length(inner) > 0, F.split(inner, SPACE + "+"))
-    return docs.withColumn("_text", text).withColumn("_hashes", F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")))
+    split = docs.withColumn("_text", text).withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
+    return split.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
 def _bucket(h: F.Column) -> F.Column:
@@ -49,17 +50,18 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows of ``with_words``."""
     h = F.col("_hashes")
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
-    windows = F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 2), F.get(h, i - 1), x))
-    first = docs.withColumns({"_lines": lines, "_windows": F.slice(windows, F.lit(3), F.greatest(F.size(h) - 2, F.lit(0)))})
+    # each word with the two before it; the first two have fewer, so they are like none
+    windows = F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 2), F.get(h, i - 1), x, F.least(i, F.lit(2))))
+    first = docs.withColumns({"_lines": lines, "_windows": windows})
     placed = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
     # most texts repeat no window; only the others are sorted to find where
     second = first.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed))
     s = F.col("_sorted")
     again = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < F.size(s) - 1) & (F.get(s, i + 1)["h"] == x["h"])))
-    covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2))))
+    covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["at"] - 2, x["at"] - 1, x["at"]))))
     out = second.withColumns({
         "n_words": F.size("_hashes").cast("long"),
-        "word_chars": (F.length("_text") - F.regexp_count("_text", F.lit(SPACE))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.when(s.isNull(), 0).otherwise(F.size(covered)).cast("long"),
@@ -77,7 +79,7 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left")
     h = F.col("_hashes")
     both = F.concat(F.transform(h, _bucket), F.transform(h, lambda x, i: _bucket(_pair(h, x, i))))
-    grams = with_words(marked).select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(both).alias("bucket"))
+    grams = with_words(marked).select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode_outer(both).alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left").na.fill(0)
     a = F.lit(smoothing)
@@ -99,7 +101,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD
     total = F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc + x)
     llr = F.when(F.size(h) > 0, total / (2 * F.size(h)) / SCALE).otherwise(0.0)
     rows = base_counts(with_words(docs)).withColumn("llr", llr)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_hashes")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_words", "_hashes")
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
