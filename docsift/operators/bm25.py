@@ -18,27 +18,31 @@ def query_tokens(query: str) -> list[str]:
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
     """term, df: distinct inside the row first, so only one row for a term and document is shuffled."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def _equals(word: str):
     return lambda x: x == F.lit(word)
 
 
-def scores(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+def scores(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B, counts_at: str | None = None) -> DataFrame:
     """key, score of every document; query words count as often as they occur.
 
     The query's words are known, so one scan counts them in each row and no
-    postings are shuffled; the statistics are one row.
+    postings are shuffled; the statistics are one row.  With a folder ``counts_at``
+    the counts are written there, so texts are split once for both.
     """
     words = query_tokens(query)
     distinct = sorted(set(words))
     counted = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(distinct)])
+    if counts_at:
+        counted.write.parquet(counts_at)
+        counted = docs.sparkSession.read.schema(counted.schema).parquet(counts_at)
     stats = counted.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     row = stats.first()  # one row
     if not distinct or not row["n"]:
@@ -52,9 +56,9 @@ def scores(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b:
     return counted.select(key, total.alias("score"))
 
 
-def top_k(docs: DataFrame, key: str, text: str, query: str, k: int = 30) -> DataFrame:
+def top_k(docs: DataFrame, key: str, text: str, query: str, k: int = 30, counts_at: str | None = None) -> DataFrame:
     """The k best, ties to the smaller key; scores rounded to 6 places."""
-    s = scores(docs, key, text, query).select(key, F.round("score", 6).alias("score"))
+    s = scores(docs, key, text, query, counts_at=counts_at).select(key, F.round("score", 6).alias("score"))
     return s.orderBy(F.desc("score"), key).limit(k)
 
 
@@ -64,7 +68,7 @@ def build_index(docs: DataFrame, key: str, text: str, path: str) -> None:
     Row groups then hold few terms each, and a search reads only those of its words.
     """
     counted = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    rows = counted.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    rows = counted.select(key, "dl", F.explode_outer("_t").alias("term")).where("term is not null").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     # a common word is as many rows as documents, so the key breaks its range up
     rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
     counted.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import extension, file_name, file_type, size_mb
+from docsift.functions.text import extension, file_name, file_type, natural_key, size_mb
 
 
 def listing(files: DataFrame, path: str, size: str, mtime: str) -> DataFrame:
@@ -13,6 +13,42 @@ def listing(files: DataFrame, path: str, size: str, mtime: str) -> DataFrame:
     return files.select(file_name(F.col(path)).alias("file_name"), F.date_format(mtime, "yyyy-MM-dd HH:mm").alias("date_modified"), file_type(F.col(path)).alias("type"), size_mb(F.col(size)).alias("size_mb"), F.col(path).alias("path"))
 
 
+def sort_keys(files: DataFrame, path: str, size: str, mtime: str) -> DataFrame:
+    """``files`` with a typed key for each column of a listing: names in natural order, dates and sizes as numbers."""
+    return files.withColumns({
+        "name_key": natural_key(file_name(F.col(path))),
+        "date_key": F.col(mtime).cast("timestamp").cast("long"),
+        "type_key": F.lower(file_type(F.col(path))),
+        "size_key": F.col(size).cast("long"),
+        "path_key": F.lower(path),
+    })
+
+
+def sorted_listing(files: DataFrame, path: str, size: str, mtime: str, by: str = "name", descending: bool = False) -> DataFrame:
+    """The listing's columns, sorted by one of name, date, type, size and path; ties by path."""
+    key = F.col(f"{by}_key")
+    keyed = sort_keys(files, path, size, mtime).orderBy(key.desc() if descending else key.asc(), path)
+    return listing(keyed, path, size, mtime)
+
+
+def export_lines(files: DataFrame, path: str) -> DataFrame:
+    """tsv (file name and folder) and formula (a spreadsheet link) of each file."""
+    name = file_name(F.col(path))
+    folder = F.rtrim(F.substr(F.col(path), F.lit(1), F.length(path) - F.length(name)), F.lit("/"))
+    link = F.concat(F.lit('=HYPERLINK("'), F.replace(F.col(path), F.lit('"'), F.lit('""')), F.lit('","Open File")'))
+    return files.select(F.col(path).alias("path"), F.concat_ws("\t", name, folder).alias("tsv"), link.alias("formula"))
+
+
+def write_lines(lines: DataFrame, column: str, to: str) -> None:
+    """A list for copying: one line for each row."""
+    lines.select(column).write.text(to)
+
+
+def content_search(files: DataFrame, keyword: str, extensions: tuple[str, ...] = (".pdf", ".docx")) -> DataFrame:
+    """Files (path, text) of some kinds whose text contains the keyword, ignoring case."""
+    return files.where(extension(F.col("path")).isin(*extensions) & F.coalesce(F.lower("text").contains(keyword.lower()), F.lit(False)))
+
+
 def extension_facets(files: DataFrame, path: str) -> DataFrame:
     return files.groupBy(extension(F.col(path)).alias("ext")).agg(F.count("*").alias("n"))
 
@@ -53,6 +89,30 @@ def add_entries(table: DataFrame, new: DataFrame) -> DataFrame:
     return table.select("container", "pos", "path", "note").unionByName(added.select("container", (F.coalesce("_end", F.lit(-1)) + F.col("_n")).cast("int").alias("pos"), "path", "note"))
 
 
+def create_containers(names: DataFrame, new: DataFrame) -> DataFrame:
+    """Container names with those of ``new`` that are not taken."""
+    return names.select("container").union(new.select("container").where("container is not null").distinct().join(names.select("container"), "container", "left_anti"))
+
+
+def delete_container(table: DataFrame, container: str) -> DataFrame:
+    """Names or entries without those of one container."""
+    return table.where(F.col("container") != container)
+
+
+def filter_containers(table: DataFrame, text: str) -> DataFrame:
+    return table.where(F.lower("container").contains(text.lower()))
+
+
+def containers_json(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """container, entries: its list of [path, note] as JSON, in order; a container without entries has an empty one.
+
+    A container is a user's list of files, so it fits in a row.
+    """
+    note = F.to_json(F.struct(F.coalesce("note", F.lit("")).alias("text")))
+    lists = entries.groupBy("container").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path", note.alias("note")))), lambda e: F.array(e["path"], e["note"])).alias("l"))
+    return names.select("container").join(lists, "container", "left").select("container", F.coalesce(F.to_json("l"), F.lit("[]")).alias("entries"))
+
+
 def delete_first(table: DataFrame, container: str, name: str) -> DataFrame:
     """Without the container's first entry of that file name."""
     hit = table.where((F.col("container") == container) & (file_name(F.col("path")) == name)).agg(F.min("pos").alias("_gone"))

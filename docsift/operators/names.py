@@ -6,10 +6,12 @@ not B, ``@words`` fuzzy with synonyms.  Matching ignores case.
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,24 +92,44 @@ def partial_ratio(one: str, other: str) -> float:
 
 
 def fuzzy(query: str, c: Column, synonyms: dict[str, list[str]] | None = None, threshold: float = 70.0, mode: str = "all", ci_keys: bool = False) -> Column:
-    """Every term (``mode="any"``: one of them) fits the name at ``threshold`` or better."""
+    """Every term (``mode="any"``: one of them) fits the name at ``threshold`` or better.
+
+    Names that plain containment settles need no Python; of the others, each batch
+    scores a distinct name once, for all terms in one call.
+    """
     terms = [t.lower() for t in expand_terms(query, synonyms or {}, ci_keys)]
     if not terms:
         return F.lit(True)
+    settle = all if mode == "all" else any
+    name = F.lower(c)
+    inside = [name.contains(t) for t in terms]
+    whole = inside[0]
+    for x in inside[1:]:
+        whole = (whole & x) if mode == "all" else (whole | x)
 
-    def fits(term: str) -> Column:
-        @F.pandas_udf("boolean")
-        def far(names: pd.Series) -> pd.Series:
-            return names.map(lambda n: n is not None and partial_ratio(n, term) >= threshold)
+    @F.pandas_udf("boolean")
+    def far(names: pd.Series) -> pd.Series:
+        found = {n: settle(partial_ratio(n, t) >= threshold for t in terms) for n in names.dropna().unique()}
+        return names.map(lambda n: found.get(n, False))
 
-        name = F.lower(c)
-        # a name that contains the term needs no Python
-        return F.when(name.contains(term), True).otherwise(far(F.when(~name.contains(term), name)))
+    return F.coalesce(F.when(whole, True).otherwise(far(F.when(~whole, name))), F.lit(False))
 
-    out = fits(terms[0])
-    for t in terms[1:]:
-        out = (out & fits(t)) if mode == "all" else (out | fits(t))
-    return out
+
+class EditSynonyms(ValueError):
+    """The query asks for the synonym table instead of a search."""
+
+
+def route(query: str, c: Column, synonyms: dict[str, list[str]] | None = None, threshold: float = 70.0) -> Column:
+    """The condition of any query: ``@`` leads to the fuzzy search, where ``%`` and ``*`` are plain; others are compiled.
+
+    An empty query is refused; ``$synonym`` raises EditSynonyms.
+    """
+    query = query.strip()
+    if not query:
+        raise ValueError("an empty query")
+    if query.lower() == "$synonym":
+        raise EditSynonyms(query)
+    return fuzzy(query, c, synonyms, threshold) if query.startswith("@") else compile_query(query, c)
 
 
 def parse_synonyms(text: str) -> dict[str, list[str]]:
@@ -118,3 +140,23 @@ def parse_synonyms(text: str) -> dict[str, list[str]]:
             key, values = line.split("==", 1)
             out[key.strip()] = [v.strip() for v in values.split(",")]
     return out
+
+
+def synonym_table(lines: DataFrame, line: str) -> DataFrame:
+    """key, synonyms from lines ``key == v1, v2``; lines without ``==`` are ignored, empty values kept."""
+    cut = F.split(F.col(line), "==", 2)
+    values = F.transform(F.split(F.get(cut, 1), ","), lambda v: F.btrim(v))
+    return lines.where(F.col(line).contains("==")).select(F.btrim(F.get(cut, 0)).alias("key"), values.alias("synonyms"))
+
+
+def load_synonyms(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The driver's table of synonyms from a JSON object; none where the file is missing."""
+    try:
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    except AnalysisException:
+        return {}
+    return json.loads(text) if text.strip() else {}
+
+
+def save_synonyms(spark: SparkSession, synonyms: dict[str, list[str]], path: str) -> None:
+    spark.createDataFrame([(json.dumps(synonyms, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)

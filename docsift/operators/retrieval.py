@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsift.functions.text import cited
+from docsift.operators import bm25
 
 
 def dot(vector: Column, query: list[float]) -> Column:
@@ -80,6 +83,41 @@ def with_context(hits: DataFrame, order: str, text: str, label: Column, budget:
     return out.withColumn("used", F.sum(F.length("block")).over(by.rowsBetween(W.unboundedPreceding, 0))).where(F.col("used") <= budget)
 
 
+def context_label(file: Column, chunk: Column, score: Column) -> Column:
+    """``file | chunk c | score=0.000``: what the header of a context block says after its number."""
+    return F.concat(file, F.lit(" | chunk "), chunk.cast("string"), F.lit(" | score="), F.bround(score.cast("decimal(20,10)"), 3).cast("decimal(20,3)").cast("string"))
+
+
+def filled(template: str, context_: Column, question: str) -> Column:
+    """A prompt with {context} and {question} in their places, and braces of what is put in left alone."""
+    head, _, tail = template.partition("{context}")
+    put = lambda t: F.lit(t.replace("{question}", question))
+    return F.concat(put(head), context_, put(tail)) if "{context}" in template else put(template)
+
+
+def load_prompts(spark: SparkSession, path: str) -> dict[str, str]:
+    """Prompt templates from a JSON object, with or without a byte-order mark; none if it cannot be read."""
+    try:
+        text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
+        return json.loads(text.lstrip("\ufeff"))
+    except (AnalysisException, ValueError):
+        return {}
+
+
+def search(chunks: DataFrame, key: str, file: str, text: str, vector: str, query: str, query_vector: list[float], dim: int, score: Callable[[pd.Series], pd.Series] | None = None, k: int = 30, top_k: int = 8, min_score: float = 0.15, per_file: int = 2, w_dense: float = 0.65, w_sparse: float = 0.35) -> DataFrame:
+    """Dense and BM25 candidates of a store's chunks, mixed, reranked by ``score`` if given, and gated.
+
+    ``dim`` is what the store's configuration says of its vectors; a query vector of another size is refused.
+    """
+    if len(query_vector) != dim:
+        raise ValueError(f"the store has vectors of {dim} numbers, the query {len(query_vector)}")
+    dense = dense_top_k(chunks, key, vector, query_vector, k)
+    found = hybrid(dense, bm25.top_k(chunks, key, text, query, k), key, w_dense, w_sparse).withColumn("mix", F.round("mix", 6))
+    # at most 2k candidates
+    hits = rerank(chunks.drop(vector).join(F.broadcast(found), key), key, text, score)
+    return gated(hits.withColumn("final", F.round("final", 8)), key, file, text, top_k, min_score, per_file, "final")
+
+
 def context(blocks: DataFrame) -> DataFrame:
     """One row: the blocks joined by blank lines."""
     return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n").alias("context"))

@@ -21,19 +21,23 @@ def with_blocks(df: DataFrame, text: str = "text", to: str = "blocks") -> DataFr
     begins = F.filter(F.transform(k, lambda x, i: F.when((x["kind"] != "") | (i == 0), i)), lambda i: i.isNotNull())
     step2 = step1.withColumn("_begins", F.concat(begins, F.array(F.size(k))))
     b = F.col("_begins")
-    heads = F.filter(b, lambda i: F.get(k, i)["kind"] == "h")
-    step3 = step2.withColumn("_heads", heads)
+    # the heading that holds at each block: each heading is repeated up to the next one
+    at_head = F.filter(F.transform(b, lambda i, at: F.when(F.get(k, i)["kind"] == "h", at)), lambda at: at.isNotNull())
+    step3 = step2.withColumn("_at", at_head)
+    p, n = F.col("_at"), F.size(b)
+    before = F.array_repeat(F.lit(None).cast("int"), F.coalesce(F.get(p, 0), n))
+    step3 = step3.withColumn("_heads", F.concat(before, F.flatten(F.transform(p, lambda x, j: F.array_repeat(F.get(b, x), F.coalesce(F.get(p, j + 1), n) - x)))))
     h = F.col("_heads")
 
     def block(i: Column, at: Column) -> Column:
         first = F.get(k, i)
-        section = F.coalesce(F.get(k, F.array_max(F.filter(h, lambda x: x <= i)))["line"], F.lit(""))
+        section = F.coalesce(F.get(k, F.get(h, at))["line"], F.lit(""))
         sub = F.when(first["kind"] == "s", F.regexp_replace(first["line"], ":+$", "")).otherwise("")
         body = F.array_join(F.transform(F.slice(k, i + 1, F.get(b, at + 1) - i), lambda x: x["line"]), "\n")
         return F.struct(section.alias("section"), sub.alias("subsection"), body.alias("text"))
 
     made = F.filter(F.transform(b, lambda i, at: F.when(i < F.size(k), block(i, at))), lambda x: x.isNotNull())
-    return step3.withColumn(to, made).drop("_kinds", "_begins", "_heads")
+    return step3.withColumn(to, made).drop("_kinds", "_begins", "_heads", "_at")
 
 
 def packed(blocks: Column, target: int = 900, most: int = 1300) -> Column:
@@ -57,7 +61,8 @@ def packed(blocks: Column, target: int = 900, most: int = 1300) -> Column:
 
 def chunks(df: DataFrame, keys: list[str], text: str = "text", target: int = 900, most: int = 1300, least: int = 80) -> DataFrame:
     """``keys``, chunk_id, section, subsection, chunk: chunk_id counts before short chunks go."""
-    rows = with_blocks(df.select(*keys, text), text).select(*keys, F.posexplode(packed(F.col("blocks"), target, most)).alias("chunk_id", "c"))
+    # outer, because the filter that Spark infers for an inner one computes all chunks a second time
+    rows = with_blocks(df.select(*keys, text), text).select(*keys, F.posexplode_outer(packed(F.col("blocks"), target, most)).alias("chunk_id", "c"))
     return rows.where(F.length("c.text") >= least).select(*keys, "chunk_id", "c.section", "c.subsection", F.col("c.text").alias("chunk"))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
-from docsift.operators import bm25, dedup, inventory, names, retrieval, sections
+from docsift.operators import bm25, dedup, inventory, metadata, names, retrieval, sections
+from docsift.sources import store
 from docsift.sources.files import html_text
 
 QUERY = "the with of nation ing"
@@ -50,7 +53,7 @@ sparse as (select doc_id, score from scored order by score desc, doc_id limit 30
 
 @query(f"with {_BM25} select * from sparse")
 def bm25_topk(spark, d):
-    return bm25.top_k(table(spark, d, "documents"), "doc_id", "text", QUERY, 30)
+    return bm25.top_k(table(spark, d, "documents"), "doc_id", "text", QUERY, 30, counts_at=scratch(spark, "bm25-counts"))
 
 
 @query(f"with {_BM25} select * from sparse where score > 0")
@@ -100,11 +103,14 @@ def fuzzy_all_terms(spark, d):
     return rows.where(names.fuzzy("@smoll ring", F.col("p_name"), {"smoll": ["small"]})).select("p_partkey", "p_name")
 
 
-@query("""select octet_length(encode(text)) size, sha256(text) hash, count(*) n, string_agg(doc_id, ',' order by doc_id) members
-          from documents group by 1, 2 having count(*) > 1""")
+@query("""select * from (select octet_length(encode(text)) size, sha256(text) hash, doc_id as "member", count(*) over (partition by sha256(text), octet_length(encode(text))) n from documents) where n > 1""")
 def dup_groups(spark, d):
-    docs = table(spark, d, "documents").withColumn("size", F.octet_length("text").cast("long"))
-    return dedup.duplicate_groups(docs, "size", "text", "doc_id")
+    return dedup.duplicate_groups(table(spark, d, "documents").withColumn("size", F.octet_length("text").cast("long")), "size", "text", "doc_id")
+
+
+@query("select count(*) n_groups, sum(n)::bigint n_files, max(n) most from (select count(*) n from documents group by text having count(*) > 1)")
+def dup_totals(spark, d):
+    return dedup.duplicate_totals(table(spark, d, "documents").withColumn("size", F.octet_length("text").cast("long")), "size", "text")
 
 
 _FOLD = r"lower(regexp_replace(regexp_replace(text, '^[\s\v\x1c-\x1f\x{85}\x{a0}]+|[\s\v\x1c-\x1f\x{85}\x{a0}]+$', '', 'g'), '[\s\v\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g'))"
@@ -130,8 +136,6 @@ def normalize_text(spark, d):
 
 
 _BLOCKS = r"""
-lines as (select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x != '')) line from documents),
-numbered as (select doc_id, line, row_number() over (partition by doc_id) pos from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x != '') l from documents), unnest(l) u(line)),
 placed as (select doc_id, i pos, l[i] line from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x != '') l from documents), range(1, 100000) r(i) where i <= len(l)),
 kinds as (select *, case when regexp_matches(line, '^\s*(\d+(\.\d+)*)\s*[.)-]?\s+(.+)$') or (regexp_matches(line, '\p{Lu}') and not regexp_matches(line, '[\p{Ll}\p{Lt}]') and length(line) between 6 and 120) then 'h'
   when line like '%:' and length(line) <= 120 then 's' else '' end kind from placed),
@@ -139,13 +143,13 @@ marked as (select *, sum(case when kind != '' or pos = 1 then 1 else 0 end) over
 grouped as (select doc_id, blk, min(pos) pos, string_agg(line, chr(10) order by pos) text, arg_min(kind, pos) kind, arg_min(line, pos) line from marked group by 1, 2),
 blocks as (select doc_id, (blk - 1)::int block, coalesce(last_value(case when kind = 'h' then line end ignore nulls) over (partition by doc_id order by pos), '') section,
   case when kind = 's' then regexp_replace(line, ':+$', '') else '' end subsection, text from grouped)"""
-_BLOCKS = "\n".join(x for x in _BLOCKS.split("\n") if not x.startswith(("lines as", "numbered as")))
 
 
 @query(f"with {_BLOCKS} select * from blocks")
 def section_blocks(spark, d):
     rows = sections.with_blocks(table(spark, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.section", "b.subsection", "b.text")
+    # outer, because the filter that Spark infers for an inner one computes all blocks a second time
+    return rows.select("doc_id", F.posexplode_outer("blocks").alias("block", "b")).where("block is not null").select("doc_id", "block", "b.section", "b.subsection", "b.text")
 
 
 @query(f"""with recursive {_BLOCKS},
@@ -170,7 +174,7 @@ def packed_chunks(spark, d):
   from documents, range(0, 100000) r(s) where s <= greatest(ceil((length(text) - 900) / 750.0), 0) and length(text) > 0) where piece != ''""")
 def fixed_overlap_chunks(spark, d):
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", F.posexplode(sections.fixed_windows(F.col("text"))).alias("window_id", "piece"))
+    return rows.select("doc_id", F.posexplode_outer(sections.fixed_windows(F.col("text"))).alias("window_id", "piece")).where("window_id is not null")
 
 
 def _query_vector(spark, d) -> list[float]:
@@ -221,34 +225,55 @@ def gated_search(spark, d):
     return _hits(spark, d).select("doc_id", "source", "mix")
 
 
-@query(f"""with {_GATED},
-b as (select row_number() over (order by mix desc, doc_id) n, source, case when length(text) > 1600 then substr(text, 1, 1600) || ' ...' else text end body from gated),
-c as (select n::int n, '[' || n || '] ' || source || chr(10) || body || chr(10) block from b),
-e as (select n, case when n = 1 then substr(block, 1, 8000) else block end block from c)
-select * from (select n, block, sum(length(block)) over (order by n)::bigint used from e) where used <= 8000""")
-def context_budget(spark, d):
+_CONTEXT = f"""{_GATED},
+b as (select row_number() over (order by mix desc, doc_id) n, source, doc_id, mix, case when length(text) > 1600 then substr(text, 1, 1600) || ' ...' else text end body from gated),
+c as (select n::int n, '[' || n || '] ' || source || ' | chunk ' || doc_id || ' | score=' || printf('%.3f', mix) || chr(10) || body || chr(10) block from b),
+e as (select n, case when n = 1 then substr(block, 1, 8000) else block end block from c),
+used as (select * from (select n, block, sum(length(block)) over (order by n)::bigint used from e) where used <= 8000)"""
+
+
+def _context_blocks(spark, d):
     hits = _hits(spark, d).withColumn("_place", -F.col("mix")).withColumn("_order", F.struct("_place", "doc_id"))
-    return retrieval.with_context(hits, "_order", "text", F.col("source")).select("n", "block", "used")
+    return retrieval.with_context(hits, "_order", "text", retrieval.context_label(F.col("source"), F.col("doc_id"), F.col("mix")))
+
+
+@query(f"with {_CONTEXT} select * from used")
+def context_budget(spark, d):
+    return _context_blocks(spark, d).select("n", "block", "used")
+
+
+PROMPT = "Answer from this alone:\n{context}\n\nQuestion: {question}"
+
 
+@query(f"""with {_CONTEXT}, x as (select string_agg(block, chr(10) || chr(10) order by n) context from used)
+select context, 'Answer from this alone:' || chr(10) || context || chr(10) || chr(10) || 'Question: what {{x}}?' prompt from x""")
+def context_text(spark, d):
+    one = retrieval.context(_context_blocks(spark, d))
+    return one.select("context", retrieval.filled(PROMPT, F.col("context"), "what {x}?").alias("prompt"))
 
-@query("""with a as (select conv_id, turn, 'see [' || (turn + 1) || '] and [' || (conv_id % 7) || '], again [' || (turn + 1) || '] or [99]' answer from conversations)
-select conv_id, turn, list_filter(list_distinct_ordered, lambda x: x is not null)::varchar cited from (
-  select conv_id, turn, case when conv_id % 7 between 1 and 5 and conv_id % 7 != turn + 1 then (case when turn + 1 <= 5 then [turn, conv_id % 7 - 1] else [conv_id % 7 - 1] end)
-  when turn + 1 <= 5 then [turn] else [] end list_distinct_ordered from a)""")
+
+@query(r"""with a as (select conv_id, turn, list_transform(regexp_extract_all(text || ' [' || (turn + 1) || '] [1] [' || (conv_id % 9) || ']', '\[(\d+)\]', 1), lambda x: try_cast(x as bigint)) c from conversations),
+u as (select conv_id, turn, c[i] n, i from a, range(1, 100000) r(i) where i <= len(c)),
+k as (select conv_id, turn, n, min(i) i from u where n between 1 and 5 group by all)
+select conv_id, turn, '[' || coalesce(string_agg((n - 1)::varchar, ', ' order by i), '') || ']' cited from a left join k using (conv_id, turn) group by 1, 2""")
 def citations(spark, d):
     t = table(spark, d, "conversations")
-    answer = F.concat(F.lit("see ["), F.col("turn") + 1, F.lit("] and ["), F.col("conv_id") % 7, F.lit("], again ["), F.col("turn") + 1, F.lit("] or [99]"))
+    answer = F.concat("text", F.lit(" ["), F.col("turn") + 1, F.lit("] [1] ["), F.col("conv_id") % 9, F.lit("]"))
     return t.select("conv_id", "turn", F.concat(F.lit("["), F.array_join(X.cited(answer, F.lit(5)), ", "), F.lit("]")).alias("cited"))
 
 
-@query("""with h as (select doc_id, source, row_number() over (order by doc_id) - 1 place from documents where doc_id < 6),
-a as (select conv_id, turn, unnest(case when turn < 6 then [turn, 0] else [0, 1, 2, 3, 4] end) place, generate_subscripts(case when turn < 6 then [turn, 0] else [0, 1, 2, 3, 4] end, 1) r from conversations)
-select conv_id, turn, (min(r) - 1)::int "rank", doc_id from a join h using (place) group by conv_id, turn, doc_id""")
+@query(f"""with {_GATED},
+h as (select doc_id, row_number() over (order by mix desc, doc_id) - 1 place, count(*) over () n from gated),
+t as (select conv_id, turn, case when role = 'assistant' then [turn + 1, 1] else [] end c, (select count(*) from gated) n from conversations),
+a as (select conv_id, turn, case when len(list_filter(c, lambda x: x <= n)) = 0 then range(0, least(5, n)) else list_transform(list_filter(c, lambda x: x <= n), lambda x: x - 1) end p from t),
+x as (select conv_id, turn, p[i] place, i from a, range(1, 100) r(i) where i <= len(p))
+select conv_id, turn, (row_number() over (partition by conv_id, turn order by i) - 1)::int as "rank", doc_id from (select conv_id, turn, place, min(i) i from x group by all) join h using (place)""")
 def answer_sources(spark, d):
-    hits = table(spark, d, "documents").where("doc_id < 6").select("doc_id").withColumn("place", F.col("doc_id"))
-    answer = F.when(F.col("turn") < 6, F.concat(F.lit("by ["), F.col("turn") + 1, F.lit("] and [1], not [7]"))).otherwise("nothing [0] [99]")
+    hits = _hits(spark, d).select("doc_id", "mix")
+    place = F.row_number().over(W.orderBy(F.desc("mix"), "doc_id")) - 1  # of a result list
+    answer = F.when(F.col("role") == "assistant", F.concat(F.lit("by ["), F.col("turn") + 1, F.lit("] and [1], not [0] or [99]"))).otherwise("nothing")
     rows = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), answer.alias("answer"))
-    return retrieval.answer_sources(rows, "k", "answer", hits, "place").select("k.conv_id", "k.turn", "rank", "doc_id")
+    return retrieval.answer_sources(rows, "k", "answer", hits.withColumn("place", place).select("doc_id", "place"), "place").select("k.conv_id", "k.turn", "rank", "doc_id")
 
 
 @query("select page_id, url from pages where url ilike '%/fr/%' or html ilike '%nation%'")
@@ -276,9 +301,9 @@ def ext_facets(spark, d):
 
 
 @query("""select 'f' || p_partkey || '.PDF' file_name, strftime(o_orderdate, '%Y-%m-%d %H:%M') date_modified, 'PDF' as "type",
-printf('%.2f', round(p_size * 131072 / 1048576.0, 2)) size_mb, '/r/f' || p_partkey || '.PDF' path from part join orders on o_orderkey = p_partkey where p_size % 2 = 0""")
+printf('%.2f', p_size / 8.0) size_mb, '/r/f' || p_partkey || '.PDF' path from part join orders on o_orderkey = p_partkey""")
 def file_listing(spark, d):
-    joined = table(spark, d, "part").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("p_partkey")).where("p_size % 2 = 0")
+    joined = table(spark, d, "part").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("p_partkey"))
     rows = joined.select(F.concat(F.lit("/r/f"), F.col("p_partkey"), F.lit(".PDF")).alias("path"), (F.col("p_size").cast("long") * 131072).alias("size"), F.col("o_orderdate").alias("mtime"))
     return inventory.listing(rows, "path", "size", "mtime")
 
@@ -320,12 +345,191 @@ def html_pages_text(spark, d):
     return table(spark, d, "pages").select("page_id", visible("html").alias("text"))
 
 
-_NOTES = """{"a": [["/x/1.pdf", "plain"], ["/x/2.pdf", "{\\"text\\": \\"rich\\"}"]], "b": [["/y/1.pdf", ""]]}"""
+_CONTAINERS = """
+raw as (select conv_id, 'c' || conv_id container, turn, '/x/' || conv_id || '/' || turn || '.pdf' path, text note from conversations),
+old as (select container, (row_number() over (partition by container order by turn) - 1)::int pos, path, note from raw)"""
 
 
-@query("select * from (values ('a', 0, '/x/1.pdf', 'plain'), ('a', 1, '/x/2.pdf', 'new'), ('b', 0, '/y/1.pdf', ''), ('b', 1, '/z', 'n')) t(container, pos, path, note)")
+def _entries(spark, d):
+    """Conversations as containers: each turn is a noted file, kept as JSON lists in the way containers are saved."""
+    t = table(spark, d, "conversations")
+    note = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("text")))).otherwise(F.col("text"))
+    entry = F.struct("turn", F.concat(F.lit("/x/"), "conv_id", F.lit("/"), "turn", F.lit(".pdf")).alias("path"), note.alias("note"))
+    lists = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.array(e["path"], e["note"])).alias("l"))
+    raw = lists.select(F.to_json(F.create_map(F.concat(F.lit("c"), "conv_id"), F.col("l"))).alias("j"))
+    return inventory.containers_table(raw, "j")
+
+
+@query(f"""with {_CONTAINERS},
+more as (select container, '/z' path, 'n' note from old where pos = 0 union all select container, path, 'again' from old where pos = 0 union all select 'new', '/n', ''),
+added as (select * from more m where not exists (from old o where o.container = m.container and o.path = m.path)),
+every as (select * from old union all select a.container, coalesce((select max(pos) + 1 from old o where o.container = a.container), 0)::int, path, note from added a)
+select container, pos, path, case when container = 'c1' and path = '/x/1/0.pdf' then 'mine' else note end note from every""")
 def container_notes(spark, d):
-    raw = spark.createDataFrame([(_NOTES,)], "j string")
-    rows = inventory.containers_table(raw, "j")
-    more = spark.createDataFrame([("b", "/z", "n"), ("a", "/x/1.pdf", "again")], "container string, path string, note string")
-    return inventory.save_note(inventory.add_entries(rows, more), "a", "/x/2.pdf", "new")
+    rows = _entries(spark, d)
+    first = rows.where("pos = 0").select("container", "path")
+    more = first.select("container", F.lit("/z").alias("path"), F.lit("n").alias("note")).union(first.withColumn("note", F.lit("again"))).union(spark.createDataFrame([("new", "/n", "")], "container string, path string, note string"))
+    return inventory.save_note(inventory.add_entries(rows, more), "c1", "/x/1/0.pdf", "mine")
+
+
+@query(f"""with {_CONTAINERS}, kept as (select * from old where container != 'c2' and not (container = 'c1' and pos = (select min(pos) from old where container = 'c1' and path like '%/1.pdf')))
+select container, pos, path, note from kept where contains(container, '1')""")
+def container_filter(spark, d):
+    rows = inventory.delete_first(inventory.delete_container(_entries(spark, d), "c2"), "c1", "1.pdf")
+    return inventory.filter_containers(rows, "C").where(F.col("container").contains("1"))
+
+
+@query("select container from (select distinct 'c' || conv_id container from conversations union select 'b' || user_id from events) where container != 'c3'")
+def container_names(spark, d):
+    names = table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("container")).distinct()
+    users = table(spark, d, "events").select(F.concat(F.lit("b"), "user_id").alias("container"))
+    return inventory.delete_container(inventory.create_containers(names, users.union(names.limit(3))), "c3")
+
+
+@query(f"""with {_CONTAINERS} select container, count(*) n, count(*) filter (where note is not null) noted from old group by 1 union all select 'empty', 0, 0""")
+def container_save(spark, d):
+    entries = _entries(spark, d)
+    names = inventory.create_containers(entries.select("container").distinct(), spark.createDataFrame([("empty",)], "container string"))
+    saved = inventory.containers_json(names, entries)
+    back = inventory.containers_table(saved.select(F.concat(F.lit("{\""), "container", F.lit("\":"), "entries", F.lit("}")).alias("j")), "j")
+    counts = back.groupBy("container").agg(F.count("*").alias("n"), F.count("note").alias("noted"))
+    return saved.select("container").join(counts, "container", "left").na.fill(0)
+
+
+@query("""select p_partkey, 'file' || lpad(p_partkey::varchar, 20, '0') || 'x.pdf' name_key, epoch(o_orderdate)::bigint date_key, 'pdf' type_key, p_size * 1024::bigint size_key, '/r/file' || p_partkey || 'x.pdf' path_key
+from part join orders on o_orderkey = p_partkey""")
+def typed_sort_keys(spark, d):
+    joined = table(spark, d, "part").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("p_partkey"))
+    rows = joined.select("p_partkey", F.concat(F.lit("/R/File"), "p_partkey", F.lit("X.PDF")).alias("path"), (F.col("p_size").cast("long") * 1024).alias("size"), F.col("o_orderdate").alias("mtime"))
+    return inventory.sort_keys(rows, "path", "size", "mtime").drop("path", "size", "mtime")
+
+
+@query("""select '/a "b"/' || p_name || '.pdf' path, p_name || '.pdf' || chr(9) || '/a "b"' tsv, '=HYPERLINK("/a ""b""/' || p_name || '.pdf","Open File")' formula from part""")
+def export_lines(spark, d):
+    return inventory.export_lines(table(spark, d, "part").select(F.concat(F.lit('/a "b"/'), "p_name", F.lit(".pdf")).alias("path")), "path")
+
+
+_TYPED = "case when doc_id % 3 = 0 then '.PDF' when doc_id % 3 = 1 then '.docx' else '.txt' end"
+
+
+@query(f"select doc_id from documents where {_TYPED} in ('.PDF', '.docx') and contains(lower(text), 'the')")
+def content_search(spark, d):
+    ext = F.when(F.col("doc_id") % 3 == 0, ".PDF").when(F.col("doc_id") % 3 == 1, ".docx").otherwise(".txt")
+    return inventory.content_search(table(spark, d, "documents").select("doc_id", F.concat(F.lit("/f/"), "doc_id", ext).alias("path"), "text"), "The").select("doc_id")
+
+
+@query(f"select doc_id, {_TYPED} = '.docx' exact, {_TYPED} = '.PDF' folded from documents where {_TYPED} != '.txt'")
+def ext_filter(spark, d):
+    ext = F.when(F.col("doc_id") % 3 == 0, ".PDF").when(F.col("doc_id") % 3 == 1, ".docx").otherwise(".txt")
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/f/"), "doc_id", ext).alias("path"))
+    one = inventory.with_extension(files, "path", ".docx").select("doc_id", F.lit(True).alias("exact"), F.lit(False).alias("folded"))
+    none = inventory.with_extension(files, "path", ".pdf")  # the facet is lower-cased, the paths are not
+    return one.union(none.select("doc_id", F.lit(True), F.lit(True))).union(inventory.with_extension(files, "path", ".pdf", any_case=True).select("doc_id", F.lit(False), F.lit(True)))
+
+
+@query("""select p_partkey, 'plain' how from part where contains(lower(p_name), 'ring') union all
+select p_partkey, 'star' from part where regexp_matches(p_name, 'ring.*small|small.*ring', 'i') union all
+select p_partkey, 'fuzzy' from part where contains(lower(p_name), 'ring') and contains(lower(p_name), 'small') union all
+select p_partkey, 'literal' from part where contains(lower(p_name), 'ring*')""")
+def query_router(spark, d):
+    rows, c = table(spark, d, "part"), F.col("p_name")
+    found = [rows.where(names.route(q, c, threshold=100.0)).select("p_partkey", F.lit(how).alias("how")) for how, q in (("plain", " Ring "), ("star", "small*RING"), ("fuzzy", "@Ring SMALL"), ("literal", "@ring*"))]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query("""select trim(p_name) as "key", trim(p_brand) || '|' || trim(p_type) || '|' synonyms from part where p_size % 2 = 0""")
+def synonym_table(spark, d):
+    rows = table(spark, d, "part")
+    line = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, F.lit(" == ")).otherwise(" = "), "p_brand", F.lit(" , "), "p_type", F.lit(","))
+    return names.synonym_table(rows.select(line.alias("line")), "line").select("key", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+@query("""select 's' || p_partkey as "name", p_size % 3 != 0 valid from part""")
+def store_catalog(spark, d):
+    at = F.concat(F.lit("s"), "p_partkey", F.lit("/"))
+    rows = table(spark, d, "part").select(F.explode(F.when(F.col("p_size") % 3 != 0, F.array(F.concat(at, F.lit("chunks/part-0")), F.concat(at, F.lit("config/part-0")))).otherwise(F.array(F.concat(at, F.lit("chunks/part-0"))))).alias("path"))
+    return store.catalog(rows, "path")
+
+
+_PIECES = r"""pieces as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int chunk_id, piece, lang, source, n_chars from (
+  select doc_id, lang, source, n_chars, s, regexp_replace(substr(text, s * 750 + 1, 900), '^[\s\v\x1c-\x1f\x{85}\x{a0}]+|[\s\v\x1c-\x1f\x{85}\x{a0}]+$', '', 'g') piece
+  from documents, range(0, 100000) r(s) where s <= greatest(ceil((length(text) - 900) / 750.0), 0) and length(text) > 0) where piece != '')"""
+
+
+@query(f"""with {_PIECES}, f as (select 'd' || doc_id || '.MD' file_name, lang || '/' || source || '/d' || doc_id || '.MD' rel_path, chunk_id, length(piece) chunk_len, n_chars // 1024 size_kb from pieces)
+select row_number() over (order by rel_path, chunk_id) + 6 id, file_name, rel_path, 'lib' source_folder, 'md' file_type, chunk_id, chunk_len, size_kb from f""")
+def chunk_metadata(spark, d):
+    docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("/srv/lib/"), "lang", F.lit("/"), "source", F.lit("/d"), "doc_id", F.lit(".MD")))
+    cut = docs.select("path", "n_chars", F.posexplode_outer(sections.fixed_windows(F.col("text"))).alias("chunk_id", "piece")).where("chunk_id is not null")
+    root = metadata.common_root(docs, "path").first()[0]  # one row
+    rows = metadata.with_source(cut, "path", "n_chars", root).withColumn("chunk_len", F.length("piece"))
+    return metadata.with_running_id(rows, ["rel_path", "chunk_id"], scratch(spark, "ids"), first=7).select("id", "file_name", "rel_path", "source_folder", "file_type", "chunk_id", "chunk_len", "size_kb")
+
+
+@query("select lower(case when doc_id % 4 = 0 then 'd' || doc_id % 50 || '.txt' else 'F' || doc_id % 20 end) as \"name\", count(*) n from documents group by 1")
+def name_counter(spark, d):
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("F"), F.col("doc_id") % 20)).otherwise("").alias("file_name"), F.concat(F.lit("/a/D"), F.col("doc_id") % 50, F.lit(".TXT")).alias("path"))
+    return dedup.name_counts(rows, "file_name", "path")
+
+
+@query("select p_partkey, contains(lower(p_name), 'small') as \"known\" from part")
+def known_names(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.initcap("p_name").alias("p_name"))
+    some = table(spark, d, "part").where(F.lower("p_name").contains("small")).select("p_name", F.lit("/").alias("path"))
+    return dedup.with_known_name(rows, dedup.name_counts(some, "p_name", "path"), "p_name").select("p_partkey", "known")
+
+
+@query("select max(doc_id) + 1 next_id from documents where doc_id % 2 = 0")
+def next_chunk_id(spark, d):
+    return dedup.next_id(table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("x"), "doc_id")).alias("id")), "id")
+
+
+@query(f"""with h as (select sha1({_FOLD}) h, {_FOLD} = '' blank from documents)
+select count(distinct h) filter (where not blank) n_unique, count(*) filter (where not blank) - count(distinct h) filter (where not blank) n_dup,
+round((count(*) filter (where not blank) - count(distinct h) filter (where not blank)) / count(*), 6) ratio from h""")
+def dup_summary(spark, d):
+    return dedup.duplicate_summary(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+@query(f"""with h as (select doc_id, sha1({_FOLD}) h, {_FOLD} = '' blank from documents)
+select h chunk_hash, min(doc_id) doc_id from h where not blank and h not in (select h from h where doc_id % 3 = 0 and not blank) group by 1""")
+def append_new_chunks(spark, d):
+    docs = table(spark, d, "documents")
+    known = docs.where("doc_id % 3 = 0").select(X.text_sha1(F.col("text")).alias("chunk_hash"))
+    return dedup.first_seen(docs, "text", ["doc_id"], known)
+
+
+_RERANKED = """p as (select *, row_number() over (order by mix desc, doc_id) place from {0}),
+r as (select *, case when place <= 40 and text != '' then (length(text) % 97)::double end raw from p),
+n as (select *, case when raw is null then null when max(raw) over () = min(raw) over () then 0.0 else (raw - min(raw) over ()) / (max(raw) over () - min(raw) over ()) end rerank from r),
+f as (select *, round(coalesce(0.7 * rerank + 0.3 * mix, mix), 8) final from n)"""
+
+
+def _model(texts):
+    """Stands for a cross-encoder, which is not at hand."""
+    return (texts.str.len() % 97).astype("float64")
+
+
+@query(f"""with {_HYBRID}, j as (select doc_id, text, round(mix, 6) mix from mixed join documents using (doc_id)), {_RERANKED.format('j')}
+select doc_id, mix, round(rerank, 6) rerank, final from f""")
+def rerank_mix(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = docs.join(F.broadcast(_candidates(spark, d).withColumn("mix", F.round("mix", 6))), "doc_id")  # at most 60 candidates
+    return retrieval.rerank(found, "doc_id", "text", _model).select("doc_id", "mix", F.round("rerank", 6).alias("rerank"), F.round("final", 8).alias("final"))
+
+
+_STORED = _HYBRID.replace("from documents", "from stored").replace("from embeddings, qv", "from embeddings, qv where vec_id in (select doc_id from stored)")
+
+
+@query(f"""with stored as (select doc_id, source, text from documents where doc_id in (select vec_id from embeddings)), {_STORED},
+j as (select doc_id, source, text, round(mix, 6) mix from mixed join stored using (doc_id)), {_RERANKED.format('j')},
+t as (select *, row_number() over (partition by source order by final desc, doc_id) turn from f where final >= 0.15 and text != '')
+select doc_id, source, final from t where turn <= 2 order by final desc, doc_id limit 8""")
+def store_search(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = table(spark, d, "documents").select("doc_id", "source", "text").join(vectors, "doc_id")
+    at = scratch(spark, "store")
+    chunks.write.parquet(f"{at}/chunks")
+    spark.createDataFrame([asdict(store.StoreConfig(model_name="given", dim=64))]).write.parquet(f"{at}/config")
+    dim = store.config_of(spark, at).dim
+    return retrieval.search(store.read(spark, at, dim), "doc_id", "source", "text", "embedding", QUERY, _query_vector(spark, d), dim, _model).select("doc_id", "source", "final")

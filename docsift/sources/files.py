@@ -27,6 +27,14 @@ def scan(spark: SparkSession, paths: str | list[str], admitted: tuple[str, ...]
     return out.where(F.col("ext").isin(*admitted)) if admitted else out
 
 
+def listed(spark: SparkSession, paths: list[str], admitted: tuple[str, ...] = ADMITTED) -> DataFrame:
+    """``scan`` of files that are named one by one: each once, in order of paths; a missing one, or none left, is an error."""
+    wanted = sorted({p for p in paths if any(p.lower().endswith(e) for e in admitted)})
+    if not wanted:
+        raise ValueError("no file of an admitted kind")
+    return scan(spark, wanted, admitted).orderBy("path")
+
+
 class _Visible(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

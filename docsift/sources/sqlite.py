@@ -10,8 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], table: str):
-        self.paths, self.table = paths, table
+    def __init__(self, paths: list[str], table: str, keyword: str | None):
+        self.paths, self.table, self.keyword = paths, table, keyword
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
@@ -20,12 +20,13 @@ class _Reader(DataSourceReader):
         import sqlite3
 
         with sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True) as db:
-            for name, path, content in db.execute(f'SELECT name, path, content FROM "{self.table}"'):  # noqa: S608
+            like = " WHERE name LIKE ? OR content LIKE ?" if self.keyword is not None else ""
+            for name, path, content in db.execute(f'SELECT name, path, content FROM "{self.table}"{like}', (f"%{self.keyword}%",) * 2 if like else ()):  # noqa: S608
                 yield name, path, content, partition.value
 
 
 class SqliteFiles(DataSource):
-    """Options: ``paths`` (joined by line feeds) and ``table`` (letters, digits, underscores)."""
+    """Options: ``paths`` (joined by line feeds), ``table`` (letters, digits, underscores), and ``keyword``, which the database itself looks for."""
 
     @classmethod
     def name(cls) -> str:
@@ -38,7 +39,7 @@ class SqliteFiles(DataSource):
         table = self.options.get("table", "files")
         if not table.replace("_", "").isalnum():
             raise ValueError("table must be a plain name")
-        return _Reader([p for p in self.options["paths"].split("\n") if p], table)
+        return _Reader([p for p in self.options["paths"].split("\n") if p], table, self.options.get("keyword"))
 
 
 def read(spark: SparkSession, paths: list[str], table: str = "files") -> DataFrame:
@@ -47,6 +48,12 @@ def read(spark: SparkSession, paths: list[str], table: str = "files") -> DataFra
     return spark.read.format("sqlite_files").option("paths", "\n".join(paths)).option("table", table).load()
 
 
+def search(spark: SparkSession, paths: list[str], keyword: str, table: str = "files") -> DataFrame:
+    """Rows whose name or content is like %keyword%; the condition is evaluated by SQLite, so other rows never leave it."""
+    spark.dataSource.register(SqliteFiles)
+    return spark.read.format("sqlite_files").option("paths", "\n".join(paths)).option("table", table).option("keyword", keyword).load()
+
+
 def absolute(rows: DataFrame) -> DataFrame:
     """Adds abs_path: relative paths start at their database's BASE_PATH row."""
     base = rows.where("name = 'BASE_PATH'").groupBy("db_path").agg(F.min("path").alias("_base"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.text import normalize_text, text_sha1, tokens
 from docsift.operators.dedup import duplicate_ratio, first_seen, new_files
+from docsift.operators.metadata import common_root
 from docsift.operators.sections import chunks
 
 
@@ -25,6 +28,11 @@ class StoreConfig:
     hard_max: int = 1300
     min_chunk_len: int = 80
     max_dup_ratio: float = 0.8
+    normalize_embeddings: bool = True
+    index_type: str = "exact"
+    overlap: int = 0
+    created_at: float = 0.0
+    base_path: str = ""
 
 
 def hashing_embedder(dim: int) -> Callable[[pd.Series], pd.Series]:
@@ -58,15 +66,43 @@ def _chunked(files: DataFrame, config: StoreConfig) -> DataFrame:
 def build(files: DataFrame, store: str, config: StoreConfig = StoreConfig(), embed=None) -> None:
     """Write a store for files (path, mtime, size, text)."""
     spark = files.sparkSession
+    root = config.base_path or common_root(files, "path").first()[0] or ""
+    config = replace(config, base_path=root, created_at=config.created_at or time.time())
     embedded(_chunked(files, config), "chunk", config, embed).write.parquet(f"{store}/chunks")
+    # the configuration comes last: a store is valid once it has one
     spark.createDataFrame([asdict(config)]).write.mode("overwrite").parquet(f"{store}/config")
 
 
+#: What a folder must hold to be a store.
+PARTS = ("chunks", "config")
+
+
+def catalog(paths: DataFrame, path: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """name, valid for each folder of a listing (paths folder/part or folder/part/...), in order of names."""
+    cut = F.split(F.col(path), "/")
+    held = [F.max(F.col("_part") == p) for p in parts]
+    valid = held[0]
+    for x in held[1:]:
+        valid = valid & x
+    rows = paths.select(F.get(cut, 0).alias("name"), F.get(cut, 1).alias("_part")).where("_part is not null")
+    return rows.groupBy("name").agg(valid.alias("valid")).orderBy("name")
+
+
+def stores_in(spark: SparkSession, folder: str) -> DataFrame:
+    """The stores and other folders directly below ``folder``."""
+    at = folder.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).select("path")
+    return catalog(found.select(F.substring_index("path", f"{at.removeprefix('file://')}/", -1).alias("path")), "path")
+
+
 def config_of(spark: SparkSession, store: str) -> StoreConfig:
     return StoreConfig(**spark.read.parquet(f"{store}/config").first().asDict())
 
 
-def read(spark: SparkSession, store: str) -> DataFrame:
+def read(spark: SparkSession, store: str, dim: int | None = None) -> DataFrame:
+    """The chunks of a store; ValueError if its vectors are not of the size expected."""
+    if dim is not None and (own := config_of(spark, store).dim) != dim:
+        raise ValueError(f"the store has vectors of {own} numbers, not {dim}")
     return spark.read.parquet(f"{store}/chunks")
 
 
@@ -81,16 +117,17 @@ def manifest(spark: SparkSession, store: str) -> DataFrame:
 def append(files: DataFrame, store: str, embed=None) -> int:
     """Add new files' new chunks; files that mostly repeat others are left out.  Returns the chunks added.
 
-    A second append of the same files adds nothing.
+    A chunk repeats if the store or an earlier chunk of the batch has its folded text.
+    Texts are cut once and written beside the store.  Chunks are committed before the
+    manifest, so an append that ended between the two adds nothing twice when it is tried again.
     """
     spark, config = files.sparkSession, config_of(files.sparkSession, store)
     known = read(spark, store).select("chunk_hash")
     fresh = new_files(files, manifest(spark, store)).dropDuplicates(["path"])
-    cut = _chunked(fresh, config)
-    old = cut.join(known.distinct().withColumn("_old", F.lit(1)), "chunk_hash", "left")
-    again = old.groupBy("path").agg(F.count_if(F.col("_old") == 1).alias("o"), F.count("*").alias("n"))
-    inner = duplicate_ratio(cut, "path", "chunk", ["path", "chunk_id"]).select("path", "n_dup")
-    accepted = again.join(inner, "path").where(F.greatest("o", "n_dup") < config.max_dup_ratio * F.col("n")).select("path")
+    staging = f"{store}/staging/{uuid.uuid4().hex}"
+    _chunked(fresh, config).write.parquet(staging)
+    cut = spark.read.parquet(staging)
+    accepted = duplicate_ratio(cut, "path", "chunk", ["path", "chunk_id"], config.max_dup_ratio, known).where("not skipped").select("path")
     new = first_seen(cut.join(accepted, "path", "left_semi"), "chunk", ["path", "chunk_id"], known)
     rows = cut.join(new.select("path", "chunk_id"), ["path", "chunk_id"], "left_semi")
     before = read(spark, store).count()

@@ -3,7 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docsift.operators.names import compile_query, expand_terms, fuzzy, parse_synonyms, partial_ratio
+from docsift.operators.names import EditSynonyms, compile_query, expand_terms, fuzzy, load_synonyms, parse_synonyms, partial_ratio, route, save_synonyms
 
 NAMES = ["UAT_Trip.pdf", "Trip_UAT.pdf", "UAT_drawing.pdf", "uat notes.TXT", "boiler.docx"]
 
@@ -46,3 +46,14 @@ def test_ratio_cases():
 @given(st.text("abc", max_size=8), st.text("abc", max_size=8))
 def test_ratio_bounds(a, b):
     assert 0 <= partial_ratio(a, b) <= 100 and partial_ratio(a, b) == partial_ratio(b, a)
+
+
+def test_route(spark, names, tmp_path):
+    find = lambda q: sorted(r.i for r in names.where(route(q, F.col("name"))).collect())
+    assert find("@trip") == [1, 2] and find(" *UAT*Trip* ") == [1, 2]
+    with pytest.raises(ValueError):
+        route("  ", F.col("name"))
+    with pytest.raises(EditSynonyms):
+        route("$synonym", F.col("name"))
+    save_synonyms(spark, {"é": ["x", "y"]}, str(tmp_path / "s"))
+    assert load_synonyms(spark, str(tmp_path / "s")) == {"é": ["x", "y"]} and load_synonyms(spark, str(tmp_path / "none")) == {}

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.operators import bm25, dedup, inventory, retrieval, sections
+from docsift.operators import bm25, dedup, inventory, metadata, retrieval, sections
 
 
 def test_sections_and_packing(spark):
@@ -73,7 +73,7 @@ def test_bm25_by_hand(spark):
 
 def test_duplicates(spark):
     files = spark.createDataFrame([("a", "xx"), ("b", "xx"), ("c", "yy"), ("d", "zzz")], "p string, c string").withColumn("n", F.length("c"))
-    assert [(r.n, r.members) for r in dedup.duplicate_groups(files, "n", "c", "p").collect()] == [(2, "a,b")]
+    assert sorted((r.n, r.member) for r in dedup.duplicate_groups(files, "n", "c", "p").collect()) == [(2, "a"), (2, "b")]
     chunks = spark.createDataFrame([("f", 0, "A b"), ("f", 1, "a  B "), ("g", 0, "a b"), ("g", 1, "new"), ("g", 2, " ")], "f string, i int, t string")
     assert sorted((r.f, r.i) for r in dedup.first_seen(chunks, "t", ["f", "i"]).collect()) == [("f", 0), ("g", 1)]
     assert sorted((r.f, r.n_chunks, r.n_dup) for r in dedup.duplicate_ratio(chunks, "f", "t", ["f", "i"]).collect()) == [("f", 2, 1), ("g", 3, 1)]
@@ -127,3 +127,49 @@ def test_containers(spark):
 def test_like(spark):
     rows = spark.createDataFrame([("Abc", "x"), ("q", "aBcd"), ("z", None)], "name string, content string")
     assert sorted(r.name for r in inventory.like_search(rows, "a_c").collect()) == ["Abc", "q"]
+
+
+def test_headings_hold_until_the_next_one(spark):
+    text = "a\nFIRST PART\nb\nsub:\nc\nother:\nd\n2. Second\ne\nTHIRD PART\nlast:\nf"
+    rows = sections.with_blocks(spark.createDataFrame([(text,), ("only text",)], "text string")).collect()
+    assert [(b.section, b.subsection) for b in rows[0].blocks] == [("", ""), ("FIRST PART", ""), ("FIRST PART", "sub"), ("FIRST PART", "other"), ("2. Second", ""), ("THIRD PART", ""), ("THIRD PART", "last")]
+    assert [tuple(b) for b in rows[1].blocks] == [("", "", "only text")]
+
+
+def test_common_root(spark):
+    root = lambda *p: metadata.common_root(spark.createDataFrame([(x,) for x in p], "p string"), "p").first()[0]
+    assert root("/a/b/c.txt", "/a/b/d/e.txt", "/a/bc/f") == "/a"
+    assert root("/a/b/c.txt", "/a/b/d/e.txt") == "/a/b"
+    assert root("/a/one.txt") == "/a/one.txt"
+    one = metadata.with_source(spark.createDataFrame([("/a/one.txt", 2048)], "p string, s long"), "p", "s", "/a/one.txt").first()
+    assert (one.rel_path, one.source_folder, one.size_kb) == (".", "one.txt", 2)
+
+
+def test_running_ids(spark, tmp_path):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k")).repartition(5)
+    got = metadata.with_running_id(rows, ["k"], str(tmp_path / "ids")).collect()
+    assert sorted((r.id, r.k) for r in got) == [(i, i) for i in range(500)]
+    assert metadata.with_running_id(rows.limit(0), ["k"], str(tmp_path / "none")).count() == 0
+
+
+def test_search_refuses_vectors_of_another_size(spark):
+    chunks = spark.createDataFrame([(1, "f", "red fox", [1.0, 0.0])], "id long, file string, text string, v array<double>")
+    with pytest.raises(ValueError):
+        retrieval.search(chunks, "id", "file", "text", "v", "fox", [1.0], 2)
+    (hit,) = retrieval.search(chunks, "id", "file", "text", "v", "fox", [1.0, 0.0], 2).collect()
+    assert hit.id == 1 and abs(hit.final - 0.35) < 1e-9
+
+
+def test_prompts(spark, tmp_path):
+    (tmp_path / "p.json").write_bytes("\ufeff{\"sop_prompt\": \"{context} ? {question}\"}".encode())
+    (tmp_path / "bad.json").write_text("{")
+    template = retrieval.load_prompts(spark, str(tmp_path / "p.json"))["sop_prompt"]
+    assert spark.range(1).select(retrieval.filled(template, F.lit("a {b}"), "q")).first()[0] == "a {b} ? q"
+    assert retrieval.load_prompts(spark, str(tmp_path / "bad.json")) == retrieval.load_prompts(spark, str(tmp_path / "none.json")) == {}
+
+
+def test_known_chunks_and_blanks_in_ratios(spark):
+    rows = spark.createDataFrame([("f", 0, "A  b"), ("f", 1, "a b"), ("f", 2, " "), ("g", 0, "x"), ("g", 1, None)], "f string, i int, t string")
+    known = spark.createDataFrame([("x",)], "t string").select(F.sha1(F.col("t").cast("binary")).alias("chunk_hash"))
+    assert sorted((r.f, r.n_dup) for r in dedup.duplicate_ratio(rows, "f", "t", ["f", "i"], known=known).collect()) == [("f", 1), ("g", 1)]
+    assert tuple(dedup.duplicate_summary(rows, "t", ["f", "i"], known).first()) == (1, 2, 0.4)

@@ -2,6 +2,7 @@ import json
 import sqlite3
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsift.sources import files, sqlite, store
@@ -45,6 +46,26 @@ def test_sqlite(spark, tmp_path):
     assert got == [("m", "/abs/m"), ("m", "/abs/m"), ("n", "/root1/d/n"), ("n", "/root2/d/n")]
 
 
+def test_sqlite_looks_for_the_keyword_itself(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "1.db") as db:
+        db.execute("CREATE TABLE files (name, path, content)")
+        db.executemany("INSERT INTO files VALUES (?, ?, ?)", [("Pump", "a", None), ("n", "b", "the PUMP"), ("m", "c", "fan")])
+    got = sqlite.search(spark, [str(tmp_path / "1.db")] * 2, "pump")
+    assert sorted(r.path for r in got.collect()) == ["a", "a", "b", "b"]
+    assert sqlite.search(spark, [str(tmp_path / "1.db")], "").count() == 3
+
+
+def test_listed_files(spark, tmp_path):
+    for n in ("b.txt", "a.MD", "c.bin"):
+        (tmp_path / n).write_text(n)
+    at = [str(tmp_path / n) for n in ("b.txt", "a.MD", "b.txt", "c.bin")]
+    assert [r.name for r in files.listed(spark, at).collect()] == ["a.MD", "b.txt"]
+    with pytest.raises(ValueError):
+        files.listed(spark, [str(tmp_path / "c.bin")])
+    with pytest.raises(Exception):  # noqa: B017  Spark's own, for a missing path
+        files.listed(spark, [str(tmp_path / "none.txt")]).collect()
+
+
 LONG = "This paragraph is long enough to be kept as a chunk of its own, because it has more than eighty characters. {}"
 
 
@@ -64,6 +85,22 @@ def test_store_append_adds_once(spark, tmp_path):
     assert all(abs(r[0] - 1) < 1e-5 for r in norms)
 
 
+def test_repeats_in_the_store_and_in_the_batch_count_together(spark, tmp_path):
+    at = str(tmp_path / "s")
+    para = lambda i: (f"Paragraph {i} has words " + f"number{i} " * 120).strip()  # noqa: E731  a chunk of its own
+    text = lambda *i: "\n".join(f"PART NUMBER {k} OF THIS\n{para(k)}" for k in i)
+    store.build(table(spark, ("/old", text(*range(10)))), at)
+    assert store.read(spark, at).count() == 10
+    # ten chunks of the store, eight of a file before it, two that are new
+    batch = table(spark, ("/a", text(*range(20, 28))), ("/b", text(*range(10), *range(20, 28), 30, 31)))
+    assert store.append(batch, at) == 8
+    assert {r.path for r in store.read(spark, at).collect()} == {"/old", "/a"}
+    assert store.config_of(spark, at).base_path == "/old"
+    with pytest.raises(ValueError):
+        store.read(spark, at, 64)
+    assert [tuple(r) for r in store.stores_in(spark, str(tmp_path)).collect()] == [("s", True)]
+
+
 def test_watched_folder(spark, tmp_path):
     at, folder = str(tmp_path / "s"), tmp_path / "in"
     folder.mkdir()
