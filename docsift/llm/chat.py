@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docsift.llm._spark import small_or_shuffled
+from docsift.llm._spark import small_or_shuffled, staged
 
 #: Marks of the chat markup; a fixed public convention.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -60,7 +60,7 @@ def preference_turns(turns: DataFrame, trained_role: str = "assistant") -> DataF
     ``side`` is "chosen" or "rejected", ``part`` also "prompt"; ``at`` counts the rows of a part from 0.
     """
     t = _clean(turns)
-    steps = _steps(t)
+    steps = staged(_steps(t), "steps")  # narrow: a row for each turn, without its text
     of = lambda side, h: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(h))), F.lit(0))
     differ = F.lit(False)
     for h in ("rows", "h1", "h2"):
