@@ -456,7 +456,7 @@ _PIECES = r"""pieces as (select doc_id, (row_number() over (partition by doc_id
   from documents, range(0, 100000) r(s) where s <= greatest(ceil((length(text) - 900) / 750.0), 0) and length(text) > 0) where piece != '')"""
 
 
-@query(f"""with {_PIECES}, f as (select 'd' || doc_id || '.MD' file_name, lang || '/' || source || '/d' || doc_id || '.MD' rel_path, chunk_id, length(piece) chunk_len, n_chars // 1024 size_kb from pieces)
+@query(f"""with {_PIECES}, f as (select 'd' || doc_id || '.MD' file_name, lang || '/' || source || '/d' || doc_id || '.MD' rel_path, chunk_id, length(piece)::int chunk_len, n_chars // 1024 size_kb from pieces)
 select row_number() over (order by rel_path, chunk_id) + 6 id, file_name, rel_path, 'lib' source_folder, 'md' file_type, chunk_id, chunk_len, size_kb from f""")
 def chunk_metadata(spark, d):
     docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("/srv/lib/"), "lang", F.lit("/"), "source", F.lit("/d"), "doc_id", F.lit(".MD")))
