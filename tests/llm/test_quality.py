@@ -5,7 +5,7 @@ from math import log
 import xxhash
 from pyspark.sql import functions as F
 
-from docsift.llm.quality import BUCKETS, SCALE, log_ratios, quality_rules
+from docsift.llm.quality import BUCKETS, SCALE, buckets_for, log_ratios, quality_rules, ratio_table
 from tests.llm.helpers import docs
 
 GOOD = "the quick brown fox jumps over the lazy dog and then it runs far away into the green wood " * 1
@@ -81,3 +81,24 @@ def test_repeated_rows_and_empty_table(spark):
 def test_native(spark):
     plan = quality_rules(docs(spark, TEXTS), spark.createDataFrame([(0,)], "doc_id long"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    sizes = [buckets_for(spark.range(n).selectExpr("repeat('x', 1000000) text")) for n in (0, 1, 400, 1600)]
+    assert sizes == [BUCKETS, BUCKETS, 1 << 16, 1 << 17]
+    d, t = docs(spark, TEXTS), spark.createDataFrame([(0,)], "doc_id long")
+    assert len(log_ratios(d, t, buckets=1 << 16)) == ratio_table(d, t, 1 << 16).count() == 1 << 16
+
+
+def test_ratios_joined_as_a_table_give_equal_results(spark):
+    d = docs(spark, TEXTS + TEXTS[:3])
+    for trusted in ([(0,), (1,)], []):
+        t = spark.createDataFrame(trusted, "doc_id long")
+        by_literal, by_join = (sorted(map(tuple, quality_rules(d, t, literal_buckets=n).collect())) for n in (1 << 20, 0))
+        assert by_literal == by_join and len(by_join) == len(TEXTS) + 3
+    assert quality_rules(d.limit(0), t, literal_buckets=0).count() == 0
+
+
+def test_native_by_join(spark):
+    plan = quality_rules(docs(spark, TEXTS), spark.createDataFrame([(0,)], "doc_id long"), literal_buckets=0)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
