@@ -383,7 +383,7 @@ def container_filter(spark, d):
 def container_names(spark, d):
     names = table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("container")).distinct()
     users = table(spark, d, "events").select(F.concat(F.lit("b"), "user_id").alias("container"))
-    return inventory.delete_container(inventory.create_containers(names, users.union(names.limit(3))), "c3")
+    return inventory.delete_container(inventory.create_containers(names, users.union(names)), "c3")
 
 
 @query(f"""with {_CONTAINERS} select container, count(*) n, count(*) filter (where note is not null) noted from old group by 1 union all select 'empty', 0, 0""")
