@@ -1,6 +1,7 @@
 """Queries of this package, and their SQL where DuckDB can express them."""
 
 from docsift.llm import q_chat, q_licence, q_vafile
+from docsift.llm.q_alignment import op13_token_alignment
 from docsift.llm.q_chat import op1_preference_format
 from docsift.llm.q_licence import op4_license_scan
 from docsift.llm.q_minhash import op2_minhash_near_dedup
@@ -25,6 +26,7 @@ QUERIES = {
         op8_llr_quality,
         op9_va_file_topk,
         op10_best_fit_packing,
+        op13_token_alignment,
     )
 }
 SQL = {"op1_preference_format": q_chat.SQL, "op4_license_scan": q_licence.SQL, "op9_va_file_topk": q_vafile.SQL}
