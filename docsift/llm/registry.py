@@ -12,6 +12,7 @@ from docsift.llm.q_quality import op8_llr_quality
 from docsift.llm.q_sharding import op7_jump_sharding
 from docsift.llm.q_simple8b import op3_simple8b_tokens
 from docsift.llm.q_vafile import op9_va_file_topk
+from docsift.llm.q_whitening import op12_jacobi_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op8_llr_quality,
         op9_va_file_topk,
         op10_best_fit_packing,
+        op12_jacobi_whitening,
         op13_token_alignment,
     )
 }
