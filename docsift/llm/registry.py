@@ -3,6 +3,7 @@
 from docsift.llm import q_chat, q_licence, q_vafile
 from docsift.llm.q_alignment import op13_token_alignment
 from docsift.llm.q_chat import op1_preference_format
+from docsift.llm.q_jaccard import op11_ngram_jaccard_join
 from docsift.llm.q_licence import op4_license_scan
 from docsift.llm.q_minhash import op2_minhash_near_dedup
 from docsift.llm.q_mixing import op5_temperature_mix
@@ -27,6 +28,7 @@ QUERIES = {
         op8_llr_quality,
         op9_va_file_topk,
         op10_best_fit_packing,
+        op11_ngram_jaccard_join,
         op12_jacobi_whitening,
         op13_token_alignment,
     )
