@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
-from docsift.operators import bm25, dedup, inventory, metadata, names, retrieval, sections
-from docsift.sources import store
+from docsift.operators import bm25, dedup, inventory, ivf, membership, metadata, names, postings, retrieval, sections
+from docsift.sources import store, versions
 from docsift.sources.files import html_text
 
 QUERY = "the with of nation ing"
@@ -526,10 +526,51 @@ j as (select doc_id, source, text, round(mix, 6) mix from mixed join stored usin
 t as (select *, row_number() over (partition by source order by final desc, doc_id) turn from f where final >= 0.15 and text != '')
 select doc_id, source, final from t where turn <= 2 order by final desc, doc_id limit 8""")
 def store_search(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chunks = table(spark, d, "documents").select("doc_id", "source", "text").join(vectors, "doc_id")
-    at = scratch(spark, "store")
-    chunks.write.parquet(f"{at}/chunks")
-    spark.createDataFrame([asdict(store.StoreConfig(model_name="given", dim=64))]).write.parquet(f"{at}/config")
-    dim = store.config_of(spark, at).dim
-    return retrieval.search(store.read(spark, at, dim), "doc_id", "source", "text", "embedding", QUERY, _query_vector(spark, d), dim, _model).select("doc_id", "source", "final")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("chunk"), X.text_sha1(F.col("text")).alias("chunk_hash")).join(vectors, "id")
+    at, config = scratch(spark, "store"), store.StoreConfig(model_name="given", dim=64)
+    state = versions.snapshot(spark, at)
+    for i in range(3):  # a build and two appends
+        state = store.add_chunks(chunks.where(F.col("id") % 3 == i), at, state, f"b{i}", config)
+    spark.createDataFrame([asdict(config)]).write.parquet(f"{at}/config")
+    return store.search(spark, at, QUERY, _query_vector(spark, d), "source", _model).select(F.col("id").alias("doc_id"), "source", "final")
+
+
+@query(f"with {_BM25} select * from sparse where score > 0")
+def store_bm25_topk(spark, d):
+    """Postings of a build and two appends, whose statistics add up."""
+    docs, at, stats = table(spark, d, "documents"), scratch(spark, "postings"), postings.Statistics(0, 0)
+    for i in range(3):
+        stats += postings.write(docs.where(F.col("doc_id") % 3 == i), "doc_id", "text", f"{at}/batch={i}")
+    return postings.top_k(spark.read.parquet(at), stats, QUERY, 30).select(F.col("key").alias("doc_id"), "score")
+
+
+def _vector_index(spark, d):
+    vectors, at = table(spark, d, "embeddings"), scratch(spark, "ivf")
+    centres = ivf.centroids(vectors, "vec_id", "embedding", 64)
+    ivf.write(vectors, "vec_id", "embedding", centres, at)
+    return spark.read.parquet(at), centres
+
+
+@query(f"with {_DENSE} select doc_id vec_id, score from dense")
+def ivf_exact_topk(spark, d):
+    index, centres = _vector_index(spark, d)
+    return ivf.top_k(index, centres, _query_vector(spark, d), 30, probes=None).withColumnRenamed("key", "vec_id")
+
+
+@query()
+def ivf_topk(spark, d):
+    """The approximate search; its recall is measured in tests/test_ivf.py."""
+    index, centres = _vector_index(spark, d)
+    return ivf.top_k(index, centres, _query_vector(spark, d), 30, ivf.probes_for(index, centres)).withColumnRenamed("key", "vec_id")
+
+
+@query(SQL["append_new_chunks"])
+def append_filtered_chunks(spark, d):
+    """``append_new_chunks`` with a filter of the store's hashes asked first."""
+    docs = table(spark, d, "documents").withColumn("chunk_hash", X.text_sha1(F.col("text")))
+    known = docs.where("doc_id % 3 = 0").select("chunk_hash")
+    at = scratch(spark, "filters")
+    membership.filter_of(known, "chunk_hash", known.count()).write.parquet(at)
+    some = membership.known_among(docs, "chunk_hash", known, spark.read.parquet(at))
+    return dedup.first_seen(docs.drop("chunk_hash"), "text", ["doc_id"], some)

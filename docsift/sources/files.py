@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def listed(spark: SparkSession, paths: list[str], admitted: tuple[str, ...] = AD
     return scan(spark, wanted, admitted).orderBy("path")
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths, files or folders, that are there, in order, each once."""
+
+    def there(path: str) -> bool:
+        try:
+            spark.read.format("binaryFile").load(path)
+            return True
+        except AnalysisException:
+            return False
+
+    return [p for p in sorted(set(paths)) if there(p)]
+
+
 class _Visible(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

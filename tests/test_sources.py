@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.sources import files, sqlite, store
+from docsift.sources import files, sqlite, store, versions
 from docsift.streaming.ingest import watch
 
 
@@ -112,3 +112,78 @@ def test_watched_folder(spark, tmp_path):
     (folder / "y.txt").write_text(LONG.format("y"))
     watch(spark, str(folder), at, str(tmp_path / "c")).awaitTermination(120)
     assert store.read(spark, at).count() == 3
+
+
+def test_store_search_and_versions(spark, tmp_path):
+    at = str(tmp_path / "s")
+    files_of = lambda *names: table(spark, *[(f"/lib/{n}.txt", LONG.format(f"{n} pump " * i)) for i, n in enumerate(names, 1)])
+    store.build(files_of("a", "b"), at, store.StoreConfig(dim=16))
+    assert store.append(files_of("c", "d", "e"), at) == 3
+    got = store.read(spark, at).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(5)) and [r.file_name for r in got] == ["a.txt", "b.txt", "c.txt", "d.txt", "e.txt"]
+    assert {(r.source_folder, r.file_type, r.size_kb, r.chunk_len == len(r.chunk), r.abs_path == f"/lib/{r.rel_path}") for r in got} == {("lib", "txt", 0, True, True)}
+    # a reader may stay with an older version
+    assert store.read(spark, at, version=1).count() == 2 and store.manifest(spark, at, version=1).count() == 0 and store.manifest(spark, at).count() == 3
+    with pytest.raises(ValueError):
+        store.read(spark, at, version=7)
+    vector = got[4].embedding
+    best = store.search(spark, at, "pump", list(vector), min_score=0.0).collect()
+    assert best[0].file_name == "e.txt"
+    old = store.search(spark, at, "pump", list(vector), min_score=0.0, version=1).collect()
+    assert {r.file_name for r in old} <= {"a.txt", "b.txt"}
+    with pytest.raises(ValueError):
+        store.search(spark, at, "pump", [1.0])
+
+
+def test_a_batch_that_ends_between_its_parts_is_not_seen(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "s")
+    store.build(table(spark, ("/a", LONG.format("a"))), at)
+    more = table(spark, ("/b", LONG.format("b")))
+    write = store.membership.filter_of
+    monkeypatch.setattr(store.membership, "filter_of", lambda *a: (_ for _ in ()).throw(OSError("ended")))
+    with pytest.raises(OSError):
+        store.append(more, at, batch="x1")
+    assert (tmp_path / "s/chunks/batch=x1").exists() and store.read(spark, at).count() == 1 and store.manifest(spark, at).count() == 0
+    monkeypatch.setattr(store.membership, "filter_of", write)
+    assert store.append(more, at, batch="x1") == 1 and store.append(more, at, batch="x1") == 0
+    assert store.read(spark, at).count() == 2 and store.manifest(spark, at).count() == 1
+
+
+def test_two_writers_and_a_version_without_its_row(spark, tmp_path):
+    at = str(tmp_path / "s")
+    first = versions.snapshot(spark, at)
+    one = versions.commit(spark, first, "one", ["chunks"], {"chunks": 2})
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, first, "two", ["chunks"], {"chunks": 3})
+    (tmp_path / "s/commits/version=2/_temporary").mkdir(parents=True)
+    assert versions.snapshot(spark, at).version == 1
+    two = versions.commit(spark, one, "two", ["chunks"], {"chunks": 3})
+    assert two.batches == ("one", "two") and two.total("chunks") == 5
+    with pytest.raises(ValueError):
+        versions.commit(spark, two, "a/b", [], {})
+
+
+def test_store_with_lists(spark, tmp_path):
+    at = str(tmp_path / "s")
+    texts = [(f"/lib/f{i}.txt", LONG.format(f"word{i % 5} " * (5 + i))) for i in range(40)]
+    store.build(table(spark, *texts[:30]), at, store.StoreConfig(dim=16, index_type="ivf", lists=4))
+    assert store.append(table(spark, *texts[30:]), at) == 10
+    assert 1 <= store.config_of(spark, at).probes <= 4
+    q = list(store.read(spark, at).where("file_name = 'f33.txt'").first().embedding)
+    plain = [(r.id, r.final) for r in store.search(spark, at, "word3", q, exact=True).collect()]
+    near = [(r.id, r.final) for r in store.search(spark, at, "word3", q).collect()]
+    assert near[0] == plain[0] and len(near) == len(plain) == 8
+    centres = store.ivf.load(spark, f"{at}/centres")
+    assert len(centres) == 4
+
+
+def test_append_paths_takes_what_is_there_and_of_its_kinds(spark, tmp_path):
+    at, folder = str(tmp_path / "s"), tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    store.build(table(spark, ("/a", LONG.format("a"))), at)
+    for n in ("x.txt", "y.md", "z.csv", "sub/w.TXT"):
+        (folder / n).write_text(LONG.format(n))
+    assert store.append_paths(spark, [str(folder / "x.txt"), str(folder / "none.txt"), str(folder / "z.csv"), str(folder / "sub"), str(folder / "x.txt")], at) == 2
+    assert store.append_paths(spark, [str(folder / "none.txt")], at) == 0
+    assert store.append_paths(spark, [str(folder)], at) == 1
+    assert sorted(r.file_name for r in store.read(spark, at).where("file_type is not null and path != '/a'").collect()) == ["w.TXT", "x.txt", "y.md"]
