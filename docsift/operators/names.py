@@ -91,11 +91,23 @@ def partial_ratio(one: str, other: str) -> float:
     return best
 
 
+def letters_allow(name: Column, term: str, threshold: float) -> Column:
+    """Whether a name shares enough letters with a term to fit it at ``threshold``; both are in lower case.
+
+    The common subsequence l of a text of s letters and a window of m is no longer than either, and 200 * l / (s + m)
+    reaches the threshold t, so l >= t * s / (200 - t); s is the shorter text, and l letters are in both.
+    """
+    shared = F.lit(0)
+    for letter in sorted(set(term)):
+        shared = shared + F.least(F.lit(term.count(letter)), F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit(""))))
+    return shared * (200 - threshold) >= threshold * F.least(F.length(name), F.lit(len(term))) - 1e-6
+
+
 def fuzzy(query: str, c: Column, synonyms: dict[str, list[str]] | None = None, threshold: float = 70.0, mode: str = "all", ci_keys: bool = False) -> Column:
     """Every term (``mode="any"``: one of them) fits the name at ``threshold`` or better.
 
-    Names that plain containment settles need no Python; of the others, each batch
-    scores a distinct name once, for all terms in one call.
+    Names that plain containment settles, or that share too few letters with a term, need no
+    Python; of the others, each batch scores a distinct name once, for all terms in one call.
     """
     terms = [t.lower() for t in expand_terms(query, synonyms or {}, ci_keys)]
     if not terms:
@@ -112,7 +124,11 @@ def fuzzy(query: str, c: Column, synonyms: dict[str, list[str]] | None = None, t
         found = {n: settle(partial_ratio(n, t) >= threshold for t in terms) for n in names.dropna().unique()}
         return names.map(lambda n: found.get(n, False))
 
-    return F.coalesce(F.when(whole, True).otherwise(far(F.when(~whole, name))), F.lit(False))
+    near = [letters_allow(name, t, threshold) for t in terms]
+    can = near[0]
+    for x in near[1:]:
+        can = (can & x) if mode == "all" else (can | x)
+    return F.coalesce(F.when(whole, True).otherwise(far(F.when(~whole & can, name))), F.lit(False))
 
 
 class EditSynonyms(ValueError):

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
-from docsift.operators import bm25, dedup, inventory, ivf, membership, metadata, names, postings, retrieval, sections
+from docsift.operators import bm25, dedup, inventory, ivf, membership, metadata, name_index, names, postings, retrieval, sections
 from docsift.sources import store, versions
 from docsift.sources.files import html_text
 
@@ -97,12 +97,45 @@ def name_percent_exclude(spark, d):
     return _names(spark, d, "r % w*t")
 
 
-@query()
+_FUZZY = """with terms as (select unnest(['ring', 'small', 'smoll']) term),
+n as (select distinct lower(p_name) fit from part),
+p as (select fit, term, case when length(term) <= length(fit) then term else fit end s, case when length(term) <= length(fit) then fit else term end t from n, terms
+      union all select fit, term, fit, term from n, terms where length(fit) = length(term)),
+w as (select fit, term, s, substr(t, greatest(0, g)::bigint + 1, (g + length(s) - greatest(0, g))::bigint) w from p, range(-60, 200) r(g) where g >= 1 - length(s) and g < length(t)),
+l as (select fit, term, length(s) n, length(w) m, list_reduce(list_transform(string_split(w, ''), lambda a: list_transform(string_split(s, ''), lambda b: (a = b)::int)),
+      lambda old, x: list_transform(range(1, len(x) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(old[i], case when x[i] = 1 then coalesce(old[i - 1], 0) + 1 else 0 end)))),
+      list_transform(range(length(s)), lambda z: 0::int))[-1] common from w),
+fits as (select fit from (select fit, term, max(200.0 * common / (n + m)) ratio from l group by 1, 2) group by 1 having min(ratio) >= 70)
+select p_partkey, p_name from part where lower(p_name) in (select fit from fits)"""
+
+
+@query(_FUZZY)
 def fuzzy_all_terms(spark, d):
     rows = table(spark, d, "part")
     return rows.where(names.fuzzy("@smoll ring", F.col("p_name"), {"smoll": ["small"]})).select("p_partkey", "p_name")
 
 
+def _indexed(spark, d, q, synonyms=None):
+    at = scratch(spark, "names")
+    name_index.build(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", at)
+    return name_index.load(spark, at).search(q, synonyms).select(F.col("key").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
+@query(_FUZZY)
+def fuzzy_indexed(spark, d):
+    return _indexed(spark, d, "@smoll ring", {"smoll": ["small"]})
+
+
+@query(SQL["name_star_unordered"])
+def name_star_indexed(spark, d):
+    return _indexed(spark, d, "ring*small")
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'ring') and not regexp_matches(p_name, 'w.*t|t.*w', 'i')")
+def name_percent_indexed(spark, d):
+    return _indexed(spark, d, "ring % w*t")
+
+
 @query("""select * from (select octet_length(encode(text)) size, sha256(text) hash, doc_id as "member", count(*) over (partition by sha256(text), octet_length(encode(text))) n from documents) where n > 1""")
 def dup_groups(spark, d):
     return dedup.duplicate_groups(table(spark, d, "documents").withColumn("size", F.octet_length("text").cast("long")), "size", "text", "doc_id")
