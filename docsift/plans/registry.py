@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
-from docsift.operators import bm25, dedup, inventory, ivf, membership, metadata, name_index, names, postings, retrieval, sections
+from docsift.operators import bm25, dedup, inventory, ivf, membership, metadata, name_index, names, postings, retrieval, sections, segments
 from docsift.sources import store, versions
 from docsift.sources.files import html_text
 
@@ -202,6 +202,17 @@ def packed_chunks(spark, d):
     return sections.chunks(table(spark, d, "documents"), ["doc_id"])
 
 
+@query(SQL["section_blocks"])
+def segmented_sections(spark, d):
+    """``section_blocks`` by ranges of ten lines, the way of files that no row holds."""
+    return segments.blocks(segments.lines_of(table(spark, d, "documents"), ["doc_id"]), ["doc_id"], 10)
+
+
+@query(SQL["packed_chunks"])
+def segmented_chunks(spark, d):
+    return segments.chunks(segments.lines_of(table(spark, d, "documents"), ["doc_id"]), ["doc_id"], length=10)
+
+
 @query(r"""select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int window_id, piece from (
   select doc_id, s, regexp_replace(substr(text, s * 750 + 1, 900), '^[\s\v\x1c-\x1f\x{85}\x{a0}]+|[\s\v\x1c-\x1f\x{85}\x{a0}]+$', '', 'g') piece
   from documents, range(0, 100000) r(s) where s <= greatest(ceil((length(text) - 900) / 750.0), 0) and length(text) > 0) where piece != ''""")

@@ -8,6 +8,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -100,24 +101,67 @@ def _number(name: str) -> int:
     return int(re.search(r"(\d+)\.xml$", name)[1])
 
 
-def _pptx(content: bytes) -> str:
+def _slides(content: bytes) -> Iterator[tuple[str, str]]:
     z = zipfile.ZipFile(io.BytesIO(content))
-    out = []
     for name in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_number):
-        for shape in ElementTree.fromstring(z.read(name)).iter():
-            if _local(shape.tag) == "txBody":
-                out.append("\n".join("".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in shape if _local(p.tag) == "p"))
-    return "\n".join(out)
-
-
-def _xlsx_rows(content: bytes) -> list[list[str]]:
-    z = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in s.iter() if _local(t.tag) == "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(s.tag) == "si"]
-    rows = []
-    for name in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number):
-        for row in (e for e in ElementTree.fromstring(z.read(name)).iter() if _local(e.tag) == "row"):
+        shapes = [s for s in ElementTree.fromstring(z.read(name)).iter() if _local(s.tag) == "txBody"]
+        if shapes:
+            yield "slide", "\n".join("\n".join("".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in s if _local(p.tag) == "p") for s in shapes)
+
+
+#: Number formats of dates and of times that every workbook has; fixed values.
+DATES, TIMES = frozenset([*range(14, 18), 22, *range(27, 37), *range(50, 59)]), frozenset([*range(18, 22), 45, 46, 47])
+
+
+class Workbook:
+    """The sheets of a workbook in its own order, with cells as text the way Python prints their values."""
+
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.names = set(self.zip.namelist())
+        self.shared = ["".join(t.text or "" for t in s.iter() if _local(t.tag) == "t") for s in self._xml("xl/sharedStrings.xml") if _local(s.tag) == "si"]
+        book = self._xml("xl/workbook.xml")
+        base = any(e.get("date1904") in ("1", "true") for e in book if _local(e.tag) == "workbookPr")
+        self.first_day = datetime(1904, 1, 1) if base else datetime(1899, 12, 30)
+        self.kinds = self._kinds()
+        target = {e.get("Id"): e.get("Target", "") for e in self._xml("xl/_rels/workbook.xml.rels")}
+        listed = [next((v for k, v in e.attrib.items() if _local(k) == "id"), None) for part in book if _local(part.tag) == "sheets" for e in part]
+        places = [t.removeprefix("/") if t.startswith("/") else f"xl/{t}" for t in (target.get(i, "") for i in listed)]
+        # a part that no sheet of the workbook names is not shown; without a workbook, parts go by number
+        self.sheets = [p for p in places if p in self.names and "worksheets" in p] if listed else sorted((n for n in self.names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number)
+
+    def _xml(self, name: str) -> ElementTree.Element | list:
+        return ElementTree.fromstring(self.zip.read(name)) if name in self.names else []
+
+    def _kinds(self) -> list[str]:
+        """For each cell style: date, time, or nothing."""
+        styles = self._xml("xl/styles.xml")
+        own = {}
+        for e in (e for part in styles if _local(part.tag) == "numFmts" for e in part):
+            code = re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", e.get("formatCode", "").lower())
+            own[int(e.get("numFmtId", 0))] = "date" if re.search("[yd]", code) else "time" if re.search("[hs]", code) else "date" if "m" in code else ""
+        ids = [int(e.get("numFmtId", 0)) for part in styles if _local(part.tag) == "cellXfs" for e in part]
+        return [own.get(i, "date" if i in DATES else "time" if i in TIMES else "") for i in ids]
+
+    def _text(self, cell: ElementTree.Element) -> str:
+        kind = cell.get("t", "n")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
+        raw = next((v.text or "" for v in cell.iter() if _local(v.tag) == "v"), "")
+        if kind == "s" and raw:
+            return self.shared[int(raw)]
+        if kind == "b" and raw:
+            return str(raw != "0")
+        style = int(cell.get("s", -1))
+        as_ = self.kinds[style] if 0 <= style < len(self.kinds) and kind == "n" and raw else ""
+        if as_:
+            days = float(raw)
+            at = self.first_day + timedelta(milliseconds=round(days * 86_400_000))
+            return str(at.time() if as_ == "time" and days < 1 else at)
+        return raw
+
+    def rows(self, sheet: str) -> Iterator[list[str]]:
+        for row in (e for e in self._xml(sheet).iter() if _local(e.tag) == "row"):
             cells: dict[int, str] = {}
             for i, c in enumerate(row):
                 letters = re.match(r"[A-Z]+", c.get("r", ""))
@@ -127,19 +171,26 @@ def _xlsx_rows(content: bytes) -> list[list[str]]:
                     for ch in letters[0]:
                         at = at * 26 + ord(ch) - 64
                     at -= 1
-                text = next((v.text or "" for v in c.iter() if _local(v.tag) in ("v", "t")), "")
-                cells[at] = shared[int(text)] if c.get("t") == "s" and text else text
-            rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-    return rows
+                cells[at] = self._text(c)
+            yield [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, str]]:
+    book = Workbook(content)
+    for sheet in book.sheets:
+        lines = ["\t".join(r) for r in book.rows(sheet)]
+        if lines:
+            yield "sheet", "\n".join(lines)
 
 
-def _pdf(content: bytes) -> str:
+def _pages(content: bytes) -> Iterator[tuple[str, str]]:
     try:
         import fitz
     except ImportError as e:
         raise ValueError("PDF texts need the optional package PyMuPDF") from e
     with fitz.open(stream=content, filetype="pdf") as pages:
-        return "\n".join(p.get_text() for p in pages)
+        for p in pages:
+            yield "page", p.get_text()
 
 
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {
@@ -151,11 +202,56 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     ".html": lambda b: html_text(_utf8(b)),
     ".htm": lambda b: html_text(_utf8(b)),
     ".docx": _docx,
-    ".pptx": _pptx,
-    ".xlsx": lambda b: "\n".join("\t".join(r) for r in _xlsx_rows(b)),
-    ".pdf": _pdf,
 }
 
+#: Kinds whose text comes in parts: pages, sheets or slides.
+PARTED: dict[str, Callable[[bytes], Iterator[tuple[str, str]]]] = {".pptx": _slides, ".xlsx": _sheets, ".pdf": _pages}
+
+
+def parts(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """path, unit (page, sheet, slide or text), number (from 0), text, error: a row for each part of a file, as it is read.
+
+    What cannot be read is a row with its cause, after the parts before it; a file of an unknown kind
+    is one, too.  ``extractors`` add kinds, or take the place of others.
+    """
+    own = extractors or {}
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = lambda *x: pd.DataFrame([x], columns=["path", "unit", "number", "text", "error"])
+        for b in batches:
+            for path, ext, content in zip(b["path"], b["ext"], b["content"]):
+                n = 0
+                try:
+                    if ext in PARTED and ext not in own:
+                        found = PARTED[ext](content)
+                    elif ext in own or ext in EXTRACTORS:
+                        found = [("text", (own.get(ext) or EXTRACTORS[ext])(content))]
+                    else:
+                        raise ValueError(f"no extractor for {ext or 'files without an extension'}")
+                    for unit, text in found:
+                        yield row(path, unit, n, text, None)
+                        n += 1
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a file is one row of its own
+                    yield row(path, None, n, None, f"{type(e).__name__}: {e}")
+
+    return files.select("path", "ext", "content").mapInPandas(rows, "path string, unit string, number int, text string, error string")
+
+
+def errors(parts_: DataFrame) -> DataFrame:
+    """path, number, error of what could not be read."""
+    return parts_.where("error is not null").select("path", "number", "error")
+
+
+def joined_text(parts_: DataFrame) -> DataFrame:
+    """path, text of files that were read to their ends: parts in order, a line feed between two."""
+    each = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("number", "text"))))
+    whole = parts_.groupBy("path").agg(each.alias("p"), F.bool_or(F.col("error").isNotNull()).alias("bad")).where("not bad")
+    return whole.select("path", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+
+def _whole(ext: str, content: bytes, table: dict[str, Callable[[bytes], str]]) -> str:
+    return "\n".join(t for _, t in PARTED[ext](content)) if ext in PARTED and ext not in table else table[ext](content)
+
 
 def with_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """Adds text in place of content: empty for unknown kinds and for files that cannot be read."""
@@ -165,7 +261,7 @@ def with_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
     def extract(ext: pd.Series, content: pd.Series) -> pd.Series:
         def one(e: str, b: bytes) -> str:
             try:
-                return table[e](b) if e in table and b is not None else ""
+                return _whole(e, b, table) if (e in table or e in PARTED) and b is not None else ""
             except Exception:  # noqa: BLE001  a broken file has no text
                 return ""
 
@@ -179,7 +275,7 @@ def sheet_rows(files: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, i, r) for p, c in zip(b["path"], b["content"]) for i, r in enumerate(_xlsx_rows(c))]
+            out = [(p, i, r) for p, c in zip(b["path"], b["content"]) for w in [Workbook(c)] for i, r in enumerate(x for sheet in w.sheets for x in w.rows(sheet))]
             yield pd.DataFrame(out, columns=["path", "row", "cells"])
 
     return files.where("ext = '.xlsx'").select("path", "content").mapInPandas(rows, "path string, row int, cells array<string>")

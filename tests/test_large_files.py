@@ -1,0 +1,91 @@
+"""Files by ranges: duplicates and sections; and models held by workers."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from docsift.operators import file_hash, models, sections, segments
+from docsift.sources import files
+
+
+def test_duplicate_files_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_hash, "RANGE", 100)
+    rng = random.Random(1)
+    big = rng.randbytes(1050)
+    for name, content in {"a": big, "sub/b b": big, "c": big[:-1] + b"x", "d": b"12", "e": b"12", "f": b"13", "g": b"", "h": b"", "i": b"once"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = files.scan(spark, str(tmp_path)).drop("content")
+    got = [(r.size, r.n, r.name) for r in file_hash.duplicate_files(found).collect()]
+    assert sorted(got) == [(2, 2, "d"), (2, 2, "e"), (1050, 2, "a"), (1050, 2, "b b")]
+    # Spark's file readers do not list empty files; named ones are duplicates of each other
+    empty = spark.createDataFrame([(str(tmp_path / x), 0) for x in "gh"], "path string, size long")
+    assert [(r.size, r.n, r.name) for r in file_hash.duplicate_files(empty).collect()] == [(0, 2, "g"), (0, 2, "h")]
+    ranges = file_hash.range_digests(file_hash.same_sized(found, "size"), "path", "size")
+    assert ranges.where("size = 1050").count() == 3 * 11 and ranges.agg(F.sum("read")).first()[0] == 3 * 1050 + 3 * 2
+
+
+def test_distinct_sizes_are_never_read(spark, tmp_path):
+    for i in range(1, 6):
+        (tmp_path / f"f{i}").write_bytes(b"x" * i)
+    found = files.scan(spark, str(tmp_path)).drop("content")
+    ranges = file_hash.range_digests(file_hash.same_sized(found, "size"), "path", "size")
+    assert ranges.count() == 0 and file_hash.duplicate_files(found).count() == 0
+
+
+def test_files_that_cannot_be_read_are_no_duplicates(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"xy")
+    rows = spark.createDataFrame([(str(tmp_path / "a"), 2), (str(tmp_path / "none"), 2), (str(tmp_path / "a"), 5), ("/no/where", 5)], "path string, size long")
+    errors = {(r.path, r.size): r.error for r in file_hash.range_digests(rows, "path", "size").collect()}
+    assert errors[str(tmp_path / "a"), 2] is None and "FileNotFound" in errors[str(tmp_path / "none"), 2] and errors[str(tmp_path / "a"), 5] == "shorter than listed"
+    assert file_hash.duplicate_files(rows).count() == 0
+
+
+TEXTS = [
+    "Intro line\n\n1. START UP\nOpen valve:\n- V1\n- V2\nCHECK LIST\nstep a",
+    "",
+    None,
+    "  \n\t\n",
+    "HEADING ONE\n" + "\n".join(f"line {i} of the text" for i in range(60)) + "\nPART TWO OF IT\nsub:\n" + "x" * 1500 + "\nend",
+    "sub only:\nbody\n\x0cNEXT PAGE HERE\r\nmore",
+    "\n".join(f"{i}. step number {i}" if i % 7 == 0 else f"text {i} " * (i % 5) for i in range(150)),
+]
+
+
+@pytest.mark.parametrize("length", [1, 3, 10, 10_000])
+def test_segmented_scan_equals_the_one_in_a_row(spark, length):
+    rows = spark.createDataFrame([(i, "k", t) for i, t in enumerate(TEXTS)] + [(None, "k", TEXTS[0])], "i int, range string, text string").withColumnRenamed("range", "r")
+    want = sections.with_blocks(rows).select("i", "r", F.posexplode_outer("blocks").alias("block", "b")).where("block is not null").select("i", "r", "block", "b.section", "b.subsection", "b.text")
+    got = segments.blocks(segments.lines_of(rows, ["i", "r"]), ["i", "r"], length)
+    key = lambda df: sorted(map(str, (tuple(x) for x in df.collect())))
+    assert key(got) == key(want)
+    cut = segments.chunks(segments.lines_of(rows, ["i", "r"]), ["i", "r"], 200, 300, 10, length)
+    assert key(cut) == key(sections.chunks(rows, ["i", "r"], "text", 200, 300, 10))
+
+
+def test_models_are_loaded_once_a_worker_and_asked_by_length(spark, tmp_path):
+    loads, batches = tmp_path / "loads", tmp_path / "batches"
+
+    def load():
+        import os
+
+        with open(loads, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+        def score(texts):
+            with open(batches, "a") as f:
+                f.write(",".join(str(len(t)) for t in texts) + "\n")
+            return [float(len(t)) for t in texts]
+
+        return score
+
+    model = models.Model(f"length {tmp_path}", load, batch=4)
+    rows = spark.createDataFrame([(i, "x" * (i * 7 % 23) if i % 10 else None) for i in range(60)], "i int, t string").repartition(6)
+    got = {r.i: r.score for r in models.with_result(rows, "t", model, "score").collect()}
+    assert got == {i: float(i * 7 % 23) if i % 10 else None for i in range(60)}
+    pids = loads.read_text().split()
+    assert len(pids) == len(set(pids)) <= 6
+    for line in batches.read_text().split():
+        sizes = list(map(int, line.split(",")))
+        assert sizes == sorted(sizes) and len(sizes) <= 4

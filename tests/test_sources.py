@@ -187,3 +187,39 @@ def test_append_paths_takes_what_is_there_and_of_its_kinds(spark, tmp_path):
     assert store.append_paths(spark, [str(folder / "none.txt")], at) == 0
     assert store.append_paths(spark, [str(folder)], at) == 1
     assert sorted(r.file_name for r in store.read(spark, at).where("file_type is not null and path != '/a'").collect()) == ["w.TXT", "x.txt", "y.md"]
+
+
+BOOK = {
+    "xl/workbook.xml": "<workbook xmlns:r='r'><sheets><sheet name='B' r:id='rId2'/><sheet name='A' r:id='rId1'/></sheets></workbook>",
+    "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Id='rId1' Target='worksheets/sheet1.xml'/><Relationship Id='rId2' Target='/xl/worksheets/sheet2.xml'/></Relationships>",
+    "xl/styles.xml": "<styleSheet><numFmts><numFmt numFmtId='164' formatCode='yyyy\\-mm\\-dd'/><numFmt numFmtId='165' formatCode='0.00\" days\"'/></numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/><xf numFmtId='164'/><xf numFmtId='165'/><xf numFmtId='20'/></cellXfs></styleSheet>",
+    "xl/worksheets/sheet1.xml": "<worksheet><sheetData><row><c r='A1'><v>1</v></c></row></sheetData></worksheet>",
+    "xl/worksheets/sheet2.xml": "<worksheet><sheetData><row><c r='A1' t='b'><v>1</v></c><c r='B1' s='1'><v>45322</v></c><c r='C1' s='2'><v>45322.5</v></c><c r='D1' s='3'><v>2.5</v></c><c r='E1' s='4'><v>0.25</v></c><c r='F1' t='inlineStr'><is><t>in</t></is></c><c r='G1' t='b'><v>0</v></c></row></sheetData></worksheet>",
+    "xl/worksheets/sheet9.xml": "<worksheet><sheetData><row><c r='A1'><v>9</v></c></row></sheetData></worksheet>",
+}
+
+
+def test_workbook_order_and_typed_cells(spark, tmp_path):
+    office(tmp_path / "b.xlsx", BOOK)
+    found = files.scan(spark, str(tmp_path))
+    want = "True\t2024-01-31 00:00:00\t2024-01-31 12:00:00\t2.5\t06:00:00\tin\tFalse\n1"
+    assert files.with_text(found).first().text == want
+    assert [(r.unit, r.number) for r in files.parts(found).orderBy("number").collect()] == [("sheet", 0), ("sheet", 1)]
+    assert files.joined_text(files.parts(found)).first().text == want
+
+
+def test_files_that_cannot_be_read_are_rows_of_their_own(spark, tmp_path):
+    office(tmp_path / "ok.xlsx", BOOK)
+    office(tmp_path / "half.xlsx", BOOK | {"xl/worksheets/sheet1.xml": "<worksheet"})
+    (tmp_path / "bad.docx").write_bytes(b"no archive")
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "e.bin").write_bytes(b"1")
+    (tmp_path / "t.txt").write_text("text")
+    (tmp_path / "own.bin2").write_text("x")
+    p = files.parts(files.scan(spark, str(tmp_path)), {".bin2": lambda b: b.decode() * 2})
+    name = lambda path: path.rsplit("/", 1)[1]
+    bad = {(name(r.path), r.number, r.error.split(":")[0]) for r in files.errors(p).collect()}
+    assert bad == {("half.xlsx", 1, "ParseError"), ("bad.docx", 0, "BadZipFile"), ("bad.json", 0, "JSONDecodeError"), ("e.bin", 0, "ValueError")}
+    assert {name(r.path): r.text for r in files.joined_text(p).collect()}.keys() == {"ok.xlsx", "t.txt", "own.bin2"}
+    # what was read before the fault is there
+    assert p.where("path like '%half.xlsx' and text is not null").count() == 1
