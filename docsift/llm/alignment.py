@@ -25,7 +25,9 @@ extra columns, whatever their names, play no part; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,11 @@ ADDED_PARTS = 256
 #: Documents' sums held by a task before it sends them.
 HELD = 1 << 21
 
+#: The byte-level pre-tokenizer's pattern; a fixed value.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose class no edition of Unicode has changed: ASCII without most controls, and Latin letters.
+_SETTLED = re.compile("[\t-\r -~\u00a1-\u024f]*")
+
 LINKS = "part long, stripe int, pairs binary, totals binary, runs binary, docs binary, times binary"
 DOCS = "place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -85,13 +92,33 @@ class Vocabularies:
         self.side_a = Side([bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t in entries], (",", "|"))
         b = self.b
         pieces = [(b.id_to_piece(i), b.is_byte(i)) for i in range(b.vocab_size())]
+        self.fast = self._ranked(a_path)
         self.side_b = Side([bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces], (",", ";"))
 
+    def _ranked(self, path: str):
+        """The A vocabulary for the tiktoken library, several times as fast, if its ids are the order of its merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"].get("merges", [])]
+        own = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        plain = spec["normalizer"] is None and own.items() <= (spec["pre_tokenizer"] or {}).items()
+        if not plain or [spec["model"]["vocab"].get(t) for t in merged] != list(range(256, 256 + len(merged))):
+            return None
+        return tiktoken.Encoding("side_a", pat_str=WORDS, mergeable_ranks={self.side_a.table[i]: i for i in range(256 + len(merged))}, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text; texts of settled characters alone take the fast way."""
+        fast = [self.fast is not None and _SETTLED.fullmatch(t) is not None for t in texts]
+        slow = iter(self.a.encode_batch_fast([" " + t for t, f in zip(texts, fast) if not f], add_special_tokens=False))
+        return [self.fast.encode_ordinary(" " + t) if f else next(slow).ids for t, f in zip(texts, fast)]
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         out_a, out_b, some, held = [], [], [], 0
         for t in [*texts, None]:
             if some and (t is None or held + len(t) > ENCODE_CHARS):
-                out_a += [e.ids for e in self.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)]
+                out_a += self.encode_a(some)
                 out_b += self.b.encode(some, num_threads=1)
                 some, held = [], 0
             if t is not None:

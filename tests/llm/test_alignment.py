@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -113,6 +115,23 @@ def test_odd_tables(spark):
     assert len(got) == 3 and got.count(got[-1]) + got.count(got[0]) >= 3 and (5, 0, 0, 0, 0, 0, 0, "") in got
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=0, max_codepoint=0x300)) | st.text("ab 1'\n\t,.é\xa0s"), max_size=5))
+def test_the_fast_way_equals_the_tokenizer(texts):
+    v = alignment.vocabularies(*alignment.paths(None, None))
+    assert v.fast is not None
+    assert v.encode_a(texts) == [A.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_settled_characters_equal_the_tokenizer():
+    v = alignment.vocabularies(*alignment.paths(None, None))
+    ranges = [*range(9, 14), *range(32, 127), *range(0xA1, 0x250)]
+    for a in ("x", "7", " ", "!"):
+        texts = [f"{a}{chr(c)}{b}" for c in ranges for b in ("x", "7", " ", "!")]
+        assert all(alignment._SETTLED.fullmatch(t) for t in texts)
+        assert v.encode_a(texts) == [e.ids for e in A.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_a_very_long_text(spark):
     text = "boiler feed pump 12; " * 20_000
     (got,) = document_alignment(docs(spark, [text])).collect()
