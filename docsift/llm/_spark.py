@@ -16,8 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; the warehouse, which is shared, too, where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The cluster's shared folder; the warehouse, which is shared, too, where none is set.
+
+    A warehouse on local disks is refused on a cluster, where each executor would write to its own.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    at = given or spark.conf.get("spark.sql.warehouse.dir")
+    if not given and not spark.sparkContext.master.startswith("local") and (at.startswith("file:") or ":" not in at):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -32,8 +39,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast where a count shows at most ``limit`` rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Hint a broadcast where a count shows at most ``limit`` rows; else leave the join to a shuffle.
+
+    Tasks count by themselves, so no rows meet for it.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def partitions(spark: SparkSession) -> int:
