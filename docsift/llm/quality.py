@@ -1,10 +1,11 @@
 """Quality rules: simple counts, and a hashed n-gram log-likelihood ratio.
 
-Word unigrams and bigrams are hashed into buckets, whose number grows with the
-square root of the corpus, as vocabularies do.  Two multinomials over the buckets are counted - one over trusted documents, one over
+Word unigrams and bigrams are hashed into buckets, of which there are the same number at
+every size of the corpus, since the threshold holds for one number only.  Two multinomials over the buckets are counted - one over trusted documents, one over
 all - and a document's score is the mean over its n-grams of the log ratio of the
 two, each smoothed by one count a bucket at the size of the trusted part.  Log ratios are held in fixed-point, so sums come out the same in any order.
-The threshold is a constant: equal documents always get equal verdicts.
+Number of buckets and threshold are constants, so a verdict depends on how words are distributed in
+the corpus and in its trusted part, not on how large these are; equal documents of a run get equal verdicts.
 
 Defined results: a null, empty or blank text has no words and fails the base
 rules; without trusted documents the ratio is 0 everywhere and only base rules
@@ -23,7 +24,7 @@ from docsift.llm._spark import small_or_shuffled, staged
 
 WORD, SPACE = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: The least number of buckets.
+#: The number of buckets that THRESHOLD was read off with.
 BUCKETS = 1 << 14
 #: Buckets up to which the ratios travel as a literal array (some 25 MB); more are joined as a table, with equal results.
 LITERAL_BUCKETS = 1 << 20
@@ -42,7 +43,7 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """The power of two at or above twice the root of all characters, at least BUCKETS: 2^16 at 0.5 GB, 2^25 at 100 TB."""
+    """A number of buckets for callers with a threshold of their own: the power of two at or above twice the root of all characters, at least BUCKETS: 2^16 at 0.5 GB, 2^25 at 100 TB."""
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     return max(BUCKETS, 1 << (math.isqrt(4 * chars) - 1).bit_length()) if chars else BUCKETS
 
@@ -107,7 +108,7 @@ def ratio_table(docs: DataFrame, trusted_ids: DataFrame, buckets: int, smoothing
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0, buckets: int | None = None) -> list[int]:
     """The ratios of ``ratio_table`` in a list, of at most LITERAL_BUCKETS numbers where ``judged`` calls it."""
-    return [r[0] for r in ratio_table(docs, trusted_ids, buckets or buckets_for(docs), smoothing).orderBy("bucket").select("ratio").collect()]
+    return [r[0] for r in ratio_table(docs, trusted_ids, buckets or BUCKETS, smoothing).orderBy("bucket").select("ratio").collect()]
 
 
 def _totals_by_literal(rows: DataFrame, ratios: list[int]) -> DataFrame:
@@ -138,9 +139,12 @@ def _totals_by_join(rows: DataFrame, ratios: DataFrame, buckets: int) -> DataFra
     return found.withColumns({"_total": F.coalesce("_total", F.lit(0).cast("long")), "_n": F.coalesce("_n", F.lit(0).cast("long"))})
 
 
-def judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, literal_buckets: int = LITERAL_BUCKETS) -> DataFrame:
-    """``docs`` with the counts, base_failed, llr (mean log ratio) and kept."""
-    buckets, rows = buckets_for(docs), with_words(docs)
+def judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, literal_buckets: int = LITERAL_BUCKETS, buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with the counts, base_failed, llr (mean log ratio) and kept.
+
+    Another number of ``buckets`` (a power of two) needs another threshold; beyond ``literal_buckets`` of them, ratios are joined as a table.
+    """
+    rows = with_words(docs)
     if buckets <= literal_buckets:
         scored = _totals_by_literal(rows, log_ratios(docs, trusted_ids, buckets=buckets))
     else:
@@ -150,6 +154,6 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_words", "_hashes", "_total", "_n")
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, literal_buckets: int = LITERAL_BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, literal_buckets: int = LITERAL_BUCKETS, buckets: int = BUCKETS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judged(rows, trusted_ids, threshold, literal_buckets).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    return judged(rows, trusted_ids, threshold, literal_buckets, buckets).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")

@@ -102,3 +102,17 @@ def test_ratios_joined_as_a_table_give_equal_results(spark):
 def test_native_by_join(spark):
     plan = quality_rules(docs(spark, TEXTS), spark.createDataFrame([(0,)], "doc_id long"), literal_buckets=0)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_verdicts_do_not_hang_on_the_size_of_the_corpus(spark):
+    """1,000 documents by themselves, and among 10,000 others: nineteen in twenty verdicts agree, and those of labelled documents nearly all."""
+    data = "/root/testdata"
+    own, labels = (spark.read.parquet(f"{data}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    others = spark.read.parquet(f"{data}/sf0.1/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10**9)
+    trusted = labels.where("quality = 1").select("doc_id")
+    small, large = ({r.doc_id: (r.kept, r.base_failed) for r in quality_rules(d, trusted).where("doc_id < 1000000000").collect()} for d in (own, own.union(others)))
+    assert sum(small[i] == large[i] for i in small) >= 0.95 * len(small)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    for verdicts in (small, large):
+        good = [verdicts[i][0] for i in label if label[i] == 1 and not verdicts[i][1]]
+        assert sum(good) >= 0.98 * len(good) and not any(verdicts[i][0] for i in label if label[i] == 0)
