@@ -2,8 +2,9 @@
 
 A source's share of all tokens is raised to an exponent and normalised.  The
 exponent is bisected (a grid at a time, in one aggregation) to the flattest
-mixture that keeps a target entropy and a repetition limit.  With no budget
-given, the budget is the least that shows every row once, so nothing is lost.
+mixture that keeps a target entropy and a repetition limit; above 1 it sharpens the
+mixture.  Targets that no exponent meets, or that rule each other out, are refused with what
+could be met.  With no budget given, the budget is the least that shows every row once, so nothing is lost.
 
 A source's rows are dealt over blocks by hash.  Each epoch permutes the blocks,
 and the rows in each block.  Full epochs show all rows; the last one stops where
@@ -13,7 +14,7 @@ source.
 
 Defined results: a null source is a source; null and blank texts have 0 tokens
 and are shown as often as their place says; repeated rows are scheduled row by
-row; an empty table gives no rows; extra columns are carried along.
+row; whole texts of any length are counted; an empty table gives no rows; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from docsift.llm._spark import small_or_shuffled, staged
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 4096
 GRID, ROUNDS = 64, 5
+#: The largest exponent that is tried.
+STEEPEST = 64.0
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -44,37 +47,70 @@ def _sums(shares: DataFrame, exponents: list[float]) -> list:
     return shares.agg(*out, F.min(p).alias("lo"), F.max(p).alias("hi")).first()
 
 
-def solve_exponent(shares: DataFrame, entropy: float | None, repeats: float | None, budget_share: float | None) -> float:
-    """The least exponent in [0, 1] with an entropy of at most ``entropy`` (as a fraction of the
-    largest possible one) and no source shown more than ``repeats`` times.
+class Unmet(ValueError):
+    """No exponent meets the targets."""
+
+
+def _entropy(r, i: int, a: float) -> float:
+    return math.log(r[f"z{i}"]) - a * r[f"l{i}"] / r[f"z{i}"]
 
-    ``shares`` has a row for each source with tokens; ``budget_share`` is the budget over all tokens.
-    """
-    n = shares.count()
-    if n < 2:
-        return 1.0
 
-    def holds(r, i: int, a: float) -> bool:
-        z, l = r[f"z{i}"], r[f"l{i}"]
-        if entropy is not None and math.log(z) - a * l / z > entropy * math.log(n) + 1e-12:
-            return False
-        if repeats is not None:
-            # the smallest source is shown most; without a budget the largest is shown once
-            most = budget_share * r["lo"] ** (a - 1) / z if budget_share else (r["hi"] / r["lo"]) ** (1 - a)
-            return most <= repeats * (1 + 1e-12)
-        return True
-
-    low, high = 0.0, 1.0
+def _most_shown(r, i: int, a: float, budget_share: float | None) -> float:
+    """How often the source is shown that is shown most: the smallest below an exponent of 1, the largest above."""
+    if budget_share:
+        return budget_share * max(r["lo"] ** (a - 1), r["hi"] ** (a - 1)) / r[f"z{i}"]
+    # every row is shown once at least
+    return (r["hi"] / r["lo"]) ** abs(1 - a)
+
+
+def _bisected(shares: DataFrame, low: float, high: float, holds) -> float | None:
+    """The least exponent from ``low`` to ``high`` that holds; None if not even ``high`` does."""
     for _ in range(ROUNDS):
         grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
         r = _sums(shares, grid)
-        first = next((i for i, a in enumerate(grid) if holds(r, i, a)), GRID)
+        first = next((i for i, a in enumerate(grid) if holds(r, i, a)), None)
+        if first is None:
+            return None
         low, high = grid[max(0, first - 1)], grid[first]
         if first == 0:
             break
     return high
 
 
+def solve_exponent(shares: DataFrame, entropy: float | None, repeats: float | None, budget_share: float | None) -> float:
+    """The least exponent with an entropy of at most ``entropy`` (as a fraction of the
+    largest possible one) and no source shown more than ``repeats`` times.
+
+    ``shares`` has a row for each source with tokens; ``budget_share`` is the budget over all tokens.
+    Raises Unmet if there is none up to STEEPEST.
+    """
+    limit = None if repeats is None else repeats * (1 + 1e-12)
+    if limit is not None and budget_share and budget_share > limit:
+        raise Unmet(f"a budget of {budget_share:.3f} times all tokens shows some source more than {repeats} times; at most {repeats} times all tokens fit the limit")
+    n = shares.count()
+    if n < 2:
+        return 1.0
+
+    def low_enough(r, i: int, a: float) -> bool:
+        return entropy is None or _entropy(r, i, a) <= entropy * math.log(n) + 1e-12
+
+    def seldom_enough(r, i: int, a: float) -> bool:
+        return limit is None or _most_shown(r, i, a, budget_share) <= limit
+
+    found = _bisected(shares, 0.0, 1.0, lambda r, i, a: low_enough(r, i, a) and seldom_enough(r, i, a))
+    if found is not None:
+        return found
+    # the repetition limit holds at 1, so it is the entropy that does not; shares by the largest one, since powers get small
+    top = shares.agg(F.max("share")).first()[0]
+    steep = _bisected(shares.select((F.col("share") / F.lit(top)).alias("share")), 1.0, STEEPEST, low_enough)
+    if steep is None:
+        least = _entropy(_sums(shares.select((F.col("share") / F.lit(top)).alias("share")), [STEEPEST]), 0, STEEPEST) / math.log(n)
+        raise Unmet(f"no exponent up to {STEEPEST} has an entropy of {entropy} of the largest; the least is {least:.4f}")
+    if not seldom_enough(_sums(shares, [steep]), 0, steep):
+        raise Unmet(f"an entropy of {entropy} of the largest needs an exponent of {steep:.4f}, which shows some source more than {repeats} times")
+    return steep
+
+
 def _seeded(seed: int, *what) -> F.Column:
     return F.xxhash64(F.lit(seed), *what)
 
@@ -104,10 +140,10 @@ def plan(rows: DataFrame, seed: int, entropy: float | None = None, repeats: floa
     sources = staged(sources.withColumn("share", F.col("tokens") / F.lit(float(total or 1))).withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("long")), "mix-sources")
     shares = sources.where("tokens > 0").select("share")
     a = solve_exponent(shares, entropy, repeats, budget / total if budget and total else None)
-    z, hi = (lambda r: (r["z0"] or 1.0, r["hi"] or 1.0))(_sums(shares, [a]))
+    z, lo, hi = (lambda r: (r["z0"] or 1.0, r["lo"] or 1.0, r["hi"] or 1.0))(_sums(shares, [a]))
     # a source without tokens has no weight; its rows are shown once
     sources = sources.withColumn("exponent", F.lit(a)).withColumn("weight", F.when(F.col("tokens") > 0, F.pow("share", F.lit(a)) / z).otherwise(0.0))
-    whole = float(budget) if budget else total * hi ** (1 - a) * z
+    whole = float(budget) if budget else total * max(lo ** (1 - a), hi ** (1 - a)) * z
     sources = sources.withColumn("budget", F.round(F.col("weight") * whole).cast("long"))
     if not budget:
         sources = sources.withColumn("budget", F.greatest("budget", "tokens"))  # rounding takes no row away

@@ -150,3 +150,53 @@ def test_very_long_text_counts_whole(spark):
     d = docs(spark, ["w " * 400_000, "x " * 10], ["a", "b"])
     got = {r.doc_id: r.tokens for r in M.schedule(d, repeats=2.0).where("epoch = 0").collect()}
     assert got == {0: 400_000, 1: 10}
+
+
+def _weights(shares, a):
+    z = sum(p**a for p in shares)
+    return [p**a / z for p in shares]
+
+
+@pytest.mark.parametrize("target", [0.9, 0.5, 0.2, 0.05])
+def test_entropy_by_brute_force(spark, target):
+    """Exponents below and above 1; the least that meets the target, found by halving alone."""
+    shares = [0.5, 0.3, 0.15, 0.05]
+    got = M.solve_exponent(spark.createDataFrame([(x,) for x in shares], "share double"), target, None, None)
+    entropy = lambda a: -sum(w * log(w) for w in _weights(shares, a) if w) / log(4)
+    low, high = 0.0, 64.0
+    for _ in range(200):
+        low, high = (low, (low + high) / 2) if entropy((low + high) / 2) <= target else ((low + high) / 2, high)
+    assert abs(got - high) < 1e-6 and (got > 1) == (target < entropy(1))
+
+
+def test_targets_that_cannot_be_met_are_refused(spark):
+    frame = lambda *x: spark.createDataFrame([(v,) for v in x], "share double")
+    with pytest.raises(M.Unmet, match="entropy of 0.2"):
+        M.solve_exponent(frame(0.5, 0.5), 0.2, None, None)
+    with pytest.raises(M.Unmet, match="at most 2.0 times"):
+        M.schedule(corpus(spark), repeats=2.0, budget=5 * 1000)
+    with pytest.raises(M.Unmet, match="more than 1.5 times"):
+        M.solve_exponent(frame(0.7, 0.3), 0.3, 1.5, None)
+
+
+@pytest.mark.parametrize(("entropy", "budget"), [(0.6, None), (0.2, None), (0.2, 900), (0.9, 500), (0.5, 2000)])
+def test_tokens_by_entropy_and_budget_by_brute_force(spark, entropy, budget):
+    d = corpus(spark)
+    total = {s: sum(1 + i % 7 for i in range(n)) for s, n in SIZES.items()}
+    every = sum(total.values())
+    shares = [n / every for n in total.values()]
+    low, high = 0.0, 64.0
+    for _ in range(200):
+        a = (low + high) / 2
+        e = -sum(w * log(w) for w in _weights(shares, a) if w) / log(len(shares))
+        low, high = (low, a) if e <= entropy else (a, high)
+    w = dict(zip(total, _weights(shares, high)))
+    whole = budget or max(total[s] / w[s] for s in total)
+    got = M.schedule(d, seed=6, entropy=entropy, budget=budget).collect()
+    shown = tokens(got)
+    for s in total:
+        # the row that crosses the budget's end is in; exponents agree to a billionth
+        want = w[s] * whole
+        assert want - 1 - 1e-4 * want <= shown[s] <= want + 8 + 1e-4 * want, s
+    if not budget:
+        assert {r.doc_id for r in got} == {r.doc_id for r in d.collect()}
