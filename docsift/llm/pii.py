@@ -122,14 +122,20 @@ _AT = r"\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?"
 _DOT = r"\x20?[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]\x20?"
 _MARKED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _AT_WORD = re.compile(r"\x20at\x20", re.I)
-_DOT_WORD = re.compile(r"\x20dot\x20", re.I)
+_DOT_WORD = re.compile(r"\x20(?:dot|punkt|punto)\x20", re.I)
 #: A host with spoken or literal dots, up to an ending of letters.
-_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+)*(?:\x20dot\x20|\.)([A-Za-z]{2,})(?![A-Za-z0-9-])", re.I)
-#: Words before "at example.org" that lead to a place rather than name a mailbox.
-_PLACED = frozenset("a about access and are as available be been book buy check contact find found free here hosted is it join learn located look me meet more not now on online or order out page posted published read register see seen shop sign site sold start stay store that them there this today us up visit visited was website were you".split())
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20(?:dot|punkt|punto)\x20|\.)[A-Za-z0-9-]+)*(?:\x20(?:dot|punkt|punto)\x20|\.)([A-Za-z]{2,})(?![A-Za-z0-9-])", re.I)
+#: "name @ host . ending", with blanks on both sides of the at sign and on both or neither of each dot.
+_SPACED = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20@\x20(?P<host>[A-Za-z0-9-]+(?:(?:\x20\.\x20|\.)[A-Za-z0-9-]+)*(?:\x20\.\x20|\.)[A-Za-z]{2,})(?![A-Za-z0-9-])")
+#: Words that name no mailbox before "at": pronouns, small words, and what is done at a place.  Fixed values.
+_PLACED = frozenset("a about access and are as available be been buy find found free here hosted is it learn located look me meet more not now on online or out posted published read see seen sold start that them there this today us up visited was website were you".split())
 _LAST_DOT = re.compile(r"@[A-Za-z0-9.-]+(?:\x20dot\x20[A-Za-z0-9.-]+)*\x20dot\x20[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
 _SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:(?:\x20dot\x20|\.)[0-9]{1,3}){3}(?![A-Za-z0-9])", re.I)
-_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|dot|punkt|punto|point|\.)\x20?[\])}>]|\x20dot\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
+#: An address of four numbers whose digits may be spelled.
+_NUMBER = rf"(?:{_DIGIT_WORD}|[0-9])(?:[\x20-]?(?:{_DIGIT_WORD}|[0-9])){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![A-Za-z0-9.]){_NUMBER}(?:\x20(?:dot|punkt|punto)\x20{_NUMBER}){{3}}(?![A-Za-z0-9])", re.I)
+_SPELLED_DIGIT = re.compile(rf"[\x20-]?({_DIGIT_WORD}|[0-9])", re.I)
+_TRIGGER = re.compile(r"\x20@\x20|\x20(?:punkt|punto)\x20|[\[({<]\x20?(?:at|@|dot|punkt|punto|point|\.)\x20?[\])}>]|\x20dot\x20|\x20at\x20[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 
 
 def _spoken(text: str) -> list[tuple[int, int, str]]:
@@ -149,7 +155,7 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
             continue
         local = text[start : m.start()]
         literal = not _DOT_WORD.search(host[0]) and local.isalpha()
-        if literal and (local.lower() in _PLACED or not (host[1].islower() or host[1].isupper())):
+        if local.lower() in _PLACED or literal and not (host[1].islower() or host[1].isupper()):
             continue
         end = host.end()
         edits[m.start()] = (*m.span(), "@")
@@ -165,6 +171,28 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _spaced(text: str) -> list[tuple[int, int, str]]:
+    """Places of " @ " and " . " in addresses written with blanks."""
+    out = []
+    for m in _SPACED.finditer(text):
+        out.append((m.start(), m.start("host"), "@"))
+        out += [(x.start(), x.end(), ".") for x in re.compile(r"\x20\.\x20").finditer(text, *m.span("host"))]
+    return out
+
+
+def _spelled_ips(text: str) -> list[tuple[int, int, str]]:
+    """Digits and dots of addresses of four numbers, some of whose digits are spelled."""
+    out = []
+    for m in _SPELLED_IP.finditer(text):
+        at = m.start()
+        while at < m.end():
+            dot = _DOT_WORD.match(text, at, m.end())
+            x = dot or _SPELLED_DIGIT.match(text, at, m.end())
+            out.append((*x.span(), "." if dot else _WORD_DIGITS.get(x[1].lower(), x[1])))
+            at = x.end()
+    return out
+
+
 def _spelled(text: str) -> list[Span]:
     """Runs of LEAST_ITEMS items or more with one or two separators between, in one pass; a run ends with a digit."""
     out, start, end, last, n, digits = [], 0, 0, 0, 0, 0
@@ -199,6 +227,7 @@ def normalised(text: str) -> Mapped | None:
         m = m.rewrite(_FOLD, lambda x: _ALIKE[x[0]])
     if _TRIGGER.search(m.text):
         m = m.rewrite(_MARKED, lambda x: "@" if x["at"] else ".")
+        m = m.replace(_spaced(m.text)).replace(_spelled_ips(m.text))
         m = m.replace(_spoken(m.text))
     if _PLAIN_DIGITS.search(m.text):
         inside = _Inside(_spelled(m.text))

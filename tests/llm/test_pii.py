@@ -188,3 +188,35 @@ def test_operator(spark):
 def test_masking(spark):
     got = {r.doc_id: r.text for r in masked(docs(spark, [None, "call +1 (285) 555-0658!", "bob [at] example [dot] com.", "clean"])).collect()}
     assert got == {0: None, 1: "call <PHONE>!", 2: "<EMAIL>.", 3: "clean"}
+
+
+def test_mailboxes_before_literal_hosts():
+    """Common mailboxes are found; of what leads to a place, nothing is."""
+    for local in ("contact", "order", "orders", "shop", "store", "join", "sales", "info", "support", "hello", "press", "jobs"):
+        for host in ("example.org", "mail.example.com", "example dot com", "example punkt de", "example punto es"):
+            assert disguised(f"write {local} at {host} today") == [("email", f"{local} at {host}")]
+    clean = ["see you at home dot com", "it is available at example.org", "found at example.org and read at example.com", "we meet at example.org", "posted at blog.example.org", "more at example.net", "they were at example dot com"]
+    assert [disguised(t) for t in clean] == [[]] * len(clean)
+
+
+def test_blanks_around_signs():
+    for text in ("jane @ example . com", "jane.doe @ mail . example . org", "jane @ example.com"):
+        assert disguised(f"ask {text} now") == [("email", text)]
+    for text in ("5 apples @ 3 each . Then", "we @ home. Then go", "a @ b", "price @ 10 . 50 today"):
+        assert disguised(text) == []
+
+
+def test_spelled_addresses_of_four_numbers():
+    for text in ("one nine two dot one six eight dot zero dot one", "1 0 dot zero dot 0 dot two five", "one-two dot 3 dot 4 dot 5", "ONE DOT ONE DOT ONE DOT ONE"):
+        assert disguised(f"on {text}, up") == [("ip", text)]
+    for text in ("nine nine nine dot one dot one dot one", "one dot two dot three", "someone dot one dot one dot ones"):
+        assert disguised(f"on {text}, up") == []
+
+
+def test_precision_on_prose():
+    """Sentences about places, prices and numbers, in many combinations: nothing is added."""
+    rng = random.Random(12)
+    parts = ["we met at noon", "look at this", "the price is 3.50 at most", "one of them said no", "two dot three is five", "at the end . There", "available at example.org", "on the dot com boom", "call at ten thirty", "go to section 4 . 2", "e.g. at home", "he stood at Main St. Then", "three or four at once", "sold @ 5 each"]
+    for _ in range(500):
+        text = ", ".join(rng.choices(parts, k=6)) + "."
+        assert disguised(text) == [], text
