@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from docsift.functions.text import file_name, fold_for_hash, text_sha1
 
 
+#: Sizes that may be broadcast.
+SIZES = 1_000_000
+
+
 def duplicate_groups(files: DataFrame, size: str, content: str, member: str) -> DataFrame:
     """size, hash, n and member, in a row for each file whose content occurs twice or more.
 
-    Contents are hashed where they are read; only sizes and hashes are shuffled, and
-    counted before, so a content that a third of all files share is one row of each task.
+    Only contents of a size that is met twice are hashed, where they are read; only sizes and hashes are
+    shuffled, and counted before, so a content that a third of all files share is one row of each task.
+    Where more than SIZES sizes are met twice, all contents are hashed, since no shuffle of contents is worth less.
     """
+    often = files.groupBy(F.col(size).alias("_size")).agg(F.count("*").alias("_n")).where("_n > 1").select("_size")
+    if often.count() <= SIZES:
+        files = files.join(F.broadcast(often), F.col(size) == F.col("_size"), "left_semi")
     hashed = files.select(F.col(size).alias("size"), F.sha2(F.col(content).cast("binary"), 256).alias("hash"), F.col(member).alias("member"))
     groups = hashed.groupBy("size", "hash").agg(F.count("*").alias("n")).where("n > 1")
     return hashed.join(groups, ["size", "hash"])
 
 
+def largest_first(members: DataFrame) -> DataFrame:
+    """Rows of ``duplicate_groups`` in the order of a report: the largest groups first."""
+    return members.orderBy(F.desc("n"), "size", "hash", "member")
+
+
 def duplicate_totals(files: DataFrame, size: str, content: str) -> DataFrame:
     """One row: n_groups, n_files in them, and the most files of one group."""
     hashed = files.select(F.col(size).alias("size"), F.sha2(F.col(content).cast("binary"), 256).alias("hash"))

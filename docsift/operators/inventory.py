@@ -39,6 +39,11 @@ def export_lines(files: DataFrame, path: str) -> DataFrame:
     return files.select(F.col(path).alias("path"), F.concat_ws("\t", name, folder).alias("tsv"), link.alias("formula"))
 
 
+def copied_lists(files: DataFrame, path: str) -> DataFrame:
+    """name and path of some files, the two lists that ``write_lines`` copies, in order of paths."""
+    return files.select(file_name(F.col(path)).alias("name"), F.col(path).alias("path")).orderBy("path")
+
+
 def write_lines(lines: DataFrame, column: str, to: str) -> None:
     """A list for copying: one line for each row."""
     lines.select(column).write.text(to)
@@ -50,7 +55,8 @@ def content_search(files: DataFrame, keyword: str, extensions: tuple[str, ...] =
 
 
 def extension_facets(files: DataFrame, path: str) -> DataFrame:
-    return files.groupBy(extension(F.col(path)).alias("ext")).agg(F.count("*").alias("n"))
+    """ext, n, in order of extensions."""
+    return files.groupBy(extension(F.col(path)).alias("ext")).agg(F.count("*").alias("n")).orderBy("ext")
 
 
 def with_extension(files: DataFrame, path: str, ext: str, any_case: bool = False) -> DataFrame:
@@ -62,6 +68,23 @@ def in_size_range(files: DataFrame, size: str, low_mb: float = 0.0, high_mb: flo
     return files.where((F.col(size) / 1048576).between(low_mb, high_mb))
 
 
+def inventory_list(files: DataFrame, path: str, size: str, kinds: tuple[str, ...] | None = None, low_mb: float = 0.0, high_mb: float = float("inf")) -> DataFrame:
+    """file_name, folder, ext, size, size_mb, path of files of some kinds (lower-cased extensions) and sizes, in natural order of paths.
+
+    ``ext_files`` is the facet: how many files of its extension the whole list has, before the filter on sizes
+    and kinds.  A size that is not known is null, and in the list as long as no range is asked for.
+    """
+    rows = files.select(F.col(path).alias("path"), F.col(size).cast("long").alias("size")).withColumn("ext", extension(F.col("path")))
+    facets = rows.groupBy(F.col("ext").alias("_ext")).agg(F.count("*").alias("ext_files"))
+    some = rows.where(F.col("ext").isin(*kinds)) if kinds else rows
+    if (low_mb, high_mb) != (0.0, float("inf")):
+        some = in_size_range(some, "size", low_mb, high_mb)
+    name = file_name(F.col("path"))
+    folder = F.rtrim(F.substr(F.col("path"), F.lit(1), F.length("path") - F.length(name)), F.lit("/"))
+    listed = some.join(facets, F.col("ext") == F.col("_ext"))
+    return listed.select(name.alias("file_name"), folder.alias("folder"), "ext", "size", size_mb(F.col("size")).alias("size_mb"), "path", "ext_files").orderBy(natural_key(F.col("path")), "path")
+
+
 def rename_plan(files: DataFrame, path: str, prefix: str = "", suffix: str = "", remove: str = "") -> DataFrame:
     """path, new_path: what a batch rename would do.  The suffix comes after the extension, as typed."""
     name = file_name(F.col(path))
@@ -78,13 +101,18 @@ def containers_table(raw: DataFrame, json_column: str) -> DataFrame:
     return entries.select("container", "pos", F.get("e", 0).alias("path"), F.when(note.startswith("{"), F.get_json_object(note, "$.text")).otherwise(note).alias("note"))
 
 
-def add_entries(table: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries (container, path, note) whose path its container lacks go to the end."""
-    fresh = new.join(table.select("container", "path"), ["container", "path"], "left_anti").dropDuplicates(["container", "path"])
+def add_entries(table: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Entries (container, path, note) whose path its container lacks go to the end.
+
+    Of entries that name a path twice the first by ``order``, a column of ``new``, is added, and those added stand in
+    that order; without one, the least note is, and they stand in order of paths.
+    """
+    first = F.min(F.struct(F.col(order or "note").alias("_by"), F.col("note").alias("note")))
+    fresh = new.join(table.select("container", "path"), ["container", "path"], "left_anti").groupBy("container", "path").agg(first.alias("_f")).select("container", "path", "_f.*")
     ends = table.groupBy("container").agg(F.max("pos").alias("_end"))
     from pyspark.sql import Window as W
 
-    place = F.row_number().over(W.partitionBy("container").orderBy("path"))
+    place = F.row_number().over(W.partitionBy("container").orderBy(*(["_by"] if order else []), "path"))
     added = fresh.withColumn("_n", place).join(ends, "container", "left")
     return table.select("container", "pos", "path", "note").unionByName(added.select("container", (F.coalesce("_end", F.lit(-1)) + F.col("_n")).cast("int").alias("pos"), "path", "note"))
 

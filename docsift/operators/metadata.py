@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from docsift.functions.text import extension, file_name
 
 
-def common_root(files: DataFrame, path: str) -> DataFrame:
-    """One row, root: the longest folder path that all files share; a single file is its own root.
+def common_root(files: DataFrame, path: str, parent_of_one: bool = False) -> DataFrame:
+    """One row, root: the longest folder path that all files share; a single file is its own root, or with ``parent_of_one`` its folder is.
 
     What the least and the greatest path share, all between them share, too.
     """
     parts = F.split(F.col(path), "/")
     ends = files.agg(F.min(parts).alias("lo"), F.max(parts).alias("hi"))
     same = F.filter(F.sequence(F.lit(1), F.greatest(F.size("lo"), F.lit(1))), lambda i: F.slice("lo", F.lit(1), i) == F.slice("hi", F.lit(1), i))
-    return ends.select(F.array_join(F.slice("lo", F.lit(1), F.size(same)), "/").alias("root"))
+    depth = F.when((F.col("lo") == F.col("hi")) & F.lit(parent_of_one), F.greatest(F.size("lo") - 1, F.lit(1))).otherwise(F.size(same))
+    return ends.select(F.array_join(F.slice("lo", F.lit(1), depth), "/").alias("root"))
 
 
 def with_source(chunks: DataFrame, path: str, size: str, root: str) -> DataFrame:
@@ -36,9 +37,12 @@ def with_source(chunks: DataFrame, path: str, size: str, root: str) -> DataFrame
 def with_running_id(rows: DataFrame, order: list[str], at: str, to: str = "id", first: int = 0) -> DataFrame:
     """Numbers all rows in ``order``, without gaps: ranges are written to the folder ``at`` in order, and each starts where the last ends.
 
+    Rows are written before they are dealt over ranges, so that what made them runs once.
     One row for each range is all that is counted together.
     """
-    spark = rows.sparkSession
+    spark, schema = rows.sparkSession, rows.schema
+    rows.write.parquet(f"{at}/rows")
+    at, rows = f"{at}/ranges", spark.read.schema(schema).parquet(f"{at}/rows")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.withColumns({"_range": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(at)
     written = spark.read.parquet(at)

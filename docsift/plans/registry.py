@@ -333,6 +333,21 @@ def multi_db_union(spark, d):
     return inventory.like_search(docs.unionByName(pages), "rc1").drop("content")
 
 
+@query(r"""with f as (select 'd/' || p_brand || '/' || p_name || case when p_size % 3 = 0 then '.PDF' when p_size % 3 = 1 then '.txt' else '' end path, p_size * 40000::bigint size from part),
+e as (select *, case when path like '%.PDF' then '.pdf' when path like '%.txt' then '.txt' else '' end ext from f)
+select regexp_extract(path, '([^/]*)$', 1) file_name, regexp_extract(path, '^(.*)/[^/]*$', 1) folder, ext, size, ext_files from (select *, count(*) over (partition by ext) ext_files from e)
+where (ext = '.pdf' or ext = '.txt') and size / 1048576 between 0.5 and 1.5""")
+def inventory_list(spark, d):
+    ext = F.when(F.col("p_size") % 3 == 0, ".PDF").when(F.col("p_size") % 3 == 1, ".txt").otherwise("")
+    files = table(spark, d, "part").select(F.concat(F.lit("d/"), "p_brand", F.lit("/"), "p_name", ext).alias("path"), (F.col("p_size") * 40000).cast("long").alias("size"))
+    return inventory.inventory_list(files, "path", "size", (".pdf", ".txt"), 0.5, 1.5).select("file_name", "folder", "ext", "size", "ext_files")
+
+
+@query("select p_name || '.pdf' as \"name\", '/a b/' || p_name || '.pdf' path from part where p_size > 25")
+def copied_lists(spark, d):
+    return inventory.copied_lists(table(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("/a b/"), "p_name", F.lit(".pdf")).alias("path")), "path")
+
+
 @query("select doc_id, n_chars from documents where n_chars / 1048576 between 0.002 and 0.01")
 def size_filter(spark, d):
     return inventory.in_size_range(table(spark, d, "documents"), "n_chars", 0.002, 0.01).select("doc_id", "n_chars")
@@ -380,7 +395,9 @@ def headings(spark, d):
     return lines.where(X.is_heading(F.col("line")))
 
 
-@query()
+@query(r"""select page_id, replace(replace(replace(replace(replace(replace(array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script[^>]*>.*?</script>', '<x>', 'g'), '(?is)<style[^>]*>.*?</style>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[/!a-zA-Z][^>]*>'), lambda x: x != ''), chr(10)),
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') text from pages""")
 def html_pages_text(spark, d):
     @F.pandas_udf("string")
     def visible(pages):
@@ -506,7 +523,7 @@ def chunk_metadata(spark, d):
     docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("/srv/lib/"), "lang", F.lit("/"), "source", F.lit("/d"), "doc_id", F.lit(".MD")))
     cut = docs.select("path", "n_chars", F.posexplode_outer(sections.fixed_windows(F.col("text"))).alias("chunk_id", "piece")).where("chunk_id is not null")
     root = metadata.common_root(docs, "path").first()[0]  # one row
-    rows = metadata.with_source(cut, "path", "n_chars", root).withColumn("chunk_len", F.length("piece"))
+    rows = metadata.with_source(cut.withColumn("chunk_len", F.length("piece")).drop("piece"), "path", "n_chars", root)
     return metadata.with_running_id(rows, ["rel_path", "chunk_id"], scratch(spark, "ids"), first=7).select("id", "file_name", "rel_path", "source_folder", "file_type", "chunk_id", "chunk_len", "size_kb")
 
 

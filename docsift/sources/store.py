@@ -11,7 +11,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -44,10 +44,20 @@ class StoreConfig:
     probes: int = 0
     recall: float = 0.95
     overlap: int = 0
+    #: Candidates that a model scores, and the weight of its score.
+    rerank_top: int = 40
+    rerank_weight: float = 0.7
     created_at: float = 0.0
     base_path: str = ""
 
 
+def configured(spark: SparkSession) -> StoreConfig:
+    """A configuration whose fields the session may set, as ``spark.docsift.store.<field>``."""
+    given = {f.name: spark.conf.get(f"spark.docsift.store.{f.name}", None) for f in fields(StoreConfig)}
+    as_ = {"int": int, "float": float, "bool": lambda v: v.lower() == "true", "str": str}
+    return StoreConfig(**{f.name: as_[f.type](given[f.name]) for f in fields(StoreConfig) if given[f.name] is not None})
+
+
 def hashing_embedder(dim: int) -> Callable[[pd.Series], pd.Series]:
     """Signed feature hashing to unit vectors: the stand-in where no model is at hand."""
 
@@ -236,5 +246,5 @@ def search(spark: SparkSession, store: str, query: str, query_vector: list[float
     best = found.collect()  # at most 2k
     mixed = spark.createDataFrame(best, found.schema)
     hits = rows.drop("embedding").where(F.col("id").isin([r["id"] for r in best])).join(F.broadcast(mixed), "id")
-    reranked = retrieval.rerank(hits, "id", "chunk", score).withColumn("final", F.round("final", 8))
+    reranked = retrieval.rerank(hits, "id", "chunk", score, config.rerank_top, config.rerank_weight).withColumn("final", F.round("final", 8))
     return retrieval.gated(reranked, "id", file, "chunk", top_k, min_score, per_file, "final")

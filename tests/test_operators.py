@@ -173,3 +173,35 @@ def test_known_chunks_and_blanks_in_ratios(spark):
     known = spark.createDataFrame([("x",)], "t string").select(F.sha1(F.col("t").cast("binary")).alias("chunk_hash"))
     assert sorted((r.f, r.n_dup) for r in dedup.duplicate_ratio(rows, "f", "t", ["f", "i"], known=known).collect()) == [("f", 1), ("g", 1)]
     assert tuple(dedup.duplicate_summary(rows, "t", ["f", "i"], known).first()) == (1, 2, 0.4)
+
+
+def test_first_entry_by_order(spark):
+    old = spark.createDataFrame([("c", 0, "/a", "n")], "container string, pos int, path string, note string")
+    new = spark.createDataFrame([("c", "/x", "two", 2), ("c", "/x", "one", 1), ("c", "/b", "z", 3), ("c", "/a", "again", 0), ("d", "/x", None, 5)], "container string, path string, note string, at int")
+    got = {(r.container, r.pos): (r.path, r.note) for r in inventory.add_entries(old, new, "at").collect()}
+    assert got == {("c", 0): ("/a", "n"), ("c", 1): ("/x", "one"), ("c", 2): ("/b", "z"), ("d", 0): ("/x", None)}
+
+
+def test_inventory_list_is_in_natural_order(spark):
+    rows = spark.createDataFrame([("/f/file10.pdf", 10), ("/f/file2.PDF", 2_000_000), ("/f/a.txt", None), ("/f/none", 5)], "path string, size long")
+    assert [r.file_name for r in inventory.inventory_list(rows, "path", "size").collect()] == ["a.txt", "file2.PDF", "file10.pdf", "none"]
+    got = inventory.inventory_list(rows, "path", "size", (".pdf",), 1.0).collect()
+    assert [(r.file_name, r.folder, r.ext_files, r.size_mb) for r in got] == [("file2.PDF", "/f", 2, "1.91")]
+    assert [r.ext for r in inventory.extension_facets(rows, "path").collect()] == ["", ".pdf", ".txt"]
+
+
+def test_root_of_a_single_file_may_be_its_folder(spark):
+    one = spark.createDataFrame([("/a/b/c.txt",)], "p string")
+    assert metadata.common_root(one, "p").first()[0] == "/a/b/c.txt" and metadata.common_root(one, "p", True).first()[0] == "/a/b"
+    two = spark.createDataFrame([("/a/b/c.txt",), ("/a/d.txt",)], "p string")
+    assert metadata.common_root(two, "p", True).first()[0] == "/a"
+
+
+def test_groups_of_unlike_sizes_hash_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "x" * i, i) for i in range(1, 6)] + [(9, "yy", 2)], "id int, t string, n int")
+    got = dedup.largest_first(dedup.duplicate_groups(rows, "n", "t", "id")).collect()
+    assert got == []
+    same = rows.union(spark.createDataFrame([(7, "yy", 2), (8, "xxx", 3)], rows.schema))
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(dedup, "SIZES", most)
+        assert [(r.size, r.n, r.member) for r in dedup.largest_first(dedup.duplicate_groups(same, "n", "t", "id")).collect()] == [(2, 2, 7), (2, 2, 9), (3, 2, 3), (3, 2, 8)]

@@ -223,3 +223,16 @@ def test_files_that_cannot_be_read_are_rows_of_their_own(spark, tmp_path):
     assert {name(r.path): r.text for r in files.joined_text(p).collect()}.keys() == {"ok.xlsx", "t.txt", "own.bin2"}
     # what was read before the fault is there
     assert p.where("path like '%half.xlsx' and text is not null").count() == 1
+
+
+def test_configuration_from_the_session(spark):
+    assert store.configured(spark) == store.StoreConfig()
+    spark.conf.set("spark.docsift.store.min_chunk_len", "5")
+    spark.conf.set("spark.docsift.store.normalize_embeddings", "false")
+    spark.conf.set("spark.docsift.store.recall", "0.9")
+    try:
+        got = store.configured(spark)
+        assert (got.min_chunk_len, got.normalize_embeddings, got.recall) == (5, False, 0.9)
+    finally:
+        for f in ("min_chunk_len", "normalize_embeddings", "recall"):
+            spark.conf.unset(f"spark.docsift.store.{f}")
