@@ -2,15 +2,16 @@
 
 Documents become token pieces of at most ``capacity``.  Full pieces are sequences
 already.  The rest are dealt over cells of a few thousand pieces, and in each
-cell several islands evolve populations of packings: crossover injects whole
-well-filled bins of one parent into the other, bins that now hold a piece twice
-are dissolved, and displaced pieces go by best fit.  Between epochs each island
+cell several islands evolve populations of packings: crossover injects the fullest
+bins of one parent into the other, bins that now hold a piece twice
+are dissolved, and displaced pieces go by best fit or into bins as full as can be made of them.
+Where best fit alone reaches the least number of bins there can be, there is nothing to search for.  Between epochs each island
 sends its best packing to the next one.  Bins that a cell could not fill well are
 opened again and dealt over as many cells of that size as they need, until one
 cell has dealt with them or a level saves too few bins to be worth another.
 
 Defined results: a null or empty text is its end id alone; repeated rows and ids
-are packed separately; extra columns play no part; an empty table gives no rows.
+are packed separately; whole texts of any length are encoded and cut; extra columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from docsift.llm._spark import partitions, staged
 from docsift.llm.tokens import encode, vocabulary
 
-CELL, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3000, 2, 3, 2, 3
-#: Bins filled less than this go to the next level; injected bins are filled at least this much.
+CELL, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3000, 2, 4, 2, 24
+#: Generations without a better packing after which an island rests.
+PATIENCE = 10
+#: Bins filled less than this go to the next level.
 WELL_FILLED = 0.98
 #: A level that saves a smaller share of the bins it opened is the last.
 LEAST_SAVED = 0.01
@@ -101,10 +104,70 @@ def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(lengths[x] for x in b) / capacity) ** 2 for b in bins)
 
 
+def fullest(loose: list[int], lengths: list[int], capacity: int, smallest_first: bool) -> Bins:
+    """New bins for loose pieces, each begun with the smallest (or largest) one left and filled as full as two more can.
+
+    Lengths in stock are bits of one number, so the longest that fits is one operation.
+    """
+    stock: dict[int, list[int]] = {}
+    for x in loose:
+        stock.setdefault(lengths[x], []).append(x)
+    mask, out = sum(1 << n for n in stock), []
+
+    def pick(n: int) -> int:
+        nonlocal mask
+        x = stock[n].pop()
+        if not stock[n]:
+            mask ^= 1 << n
+        return x
+
+    while mask:
+        least = (mask & -mask).bit_length() - 1
+        first = least if smallest_first else mask.bit_length() - 1
+        own, room = [pick(first)], capacity - first
+        while mask and room >= (least := (mask & -mask).bit_length() - 1):
+            fits = mask & ((1 << (room + 1)) - 1)
+            if room >= 4 * least:  # far from full: the longest that fits
+                n = fits.bit_length() - 1
+                own.append(pick(n))
+                room -= n
+                continue
+            one = fits.bit_length() - 1
+            best, pair = (one, 0, 0), (one, None)
+            rest = fits
+            while rest:  # the shorter of two, in ascending order
+                n = (rest & -rest).bit_length() - 1
+                rest &= rest - 1
+                if 2 * n > room:
+                    break
+                under = mask & ((1 << (room - n + 1)) - 1)
+                if len(stock[n]) == 1:
+                    under &= ~(1 << n)
+                if under >> n:
+                    other = under.bit_length() - 1
+                    # as full as can be; of those, the most alike
+                    if (found := (n + other, 1, n - other)) > best:
+                        best, pair = found, (n, other)
+            for n in pair:
+                if n is not None:
+                    own.append(pick(n))
+                    room -= n
+        out.append(own)
+    return out
+
+
+def _filled(kept: Bins, loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    """Loose pieces back in: by best fit, or most of them in bins as full as can be."""
+    how = rng.randrange(3)
+    if how:
+        return [*kept, *fullest(loose, lengths, capacity, how == 1)]
+    return best_fit(kept, sorted(loose, key=lambda x: (-lengths[x], rng.random())), lengths, capacity)
+
+
 def crossover(one: Bins, other: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Inject well-filled bins of ``other`` into ``one``."""
-    good = [b for b in other if sum(lengths[x] for x in b) >= WELL_FILLED * capacity]
-    inject = rng.sample(good, len(good) // 2) if len(good) > 1 else good
+    """Inject the fullest bins of ``other`` into ``one``, dissolve bins that now hold a piece twice, and put displaced pieces back."""
+    by_fill = sorted(other, key=lambda b: -sum(lengths[x] for x in b))
+    inject = by_fill[: max(1, rng.randint(len(other) // 10, len(other) // 2))]
     inside = {x for b in inject for x in b}
     kept, loose = list(inject), []
     for b in one:
@@ -112,33 +175,54 @@ def crossover(one: Bins, other: Bins, lengths: list[int], capacity: int, rng: ra
             kept.append(b)
         else:
             loose += [x for x in b if x not in inside]
-    loose.sort(key=lambda x: -lengths[x])
-    return best_fit(kept, loose, lengths, capacity)
+    return _filled(kept, loose, lengths, capacity, rng)
 
 
 def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Dissolve the worst bins and a few others."""
-    worst = sorted(range(len(bins)), key=lambda i: sum(lengths[x] for x in bins[i]))[: max(1, len(bins) // 50)]
-    gone = set(worst) | set(rng.sample(range(len(bins)), max(1, len(bins) // 50)))
-    loose = sorted((x for i in gone for x in bins[i]), key=lambda x: (-lengths[x], rng.random()))
-    return best_fit([b for i, b in enumerate(bins) if i not in gone], loose, lengths, capacity)
+    """Dissolve the emptiest bins and some others."""
+    by_fill = sorted(range(len(bins)), key=lambda i: sum(lengths[x] for x in bins[i]))
+    gone = set(by_fill[: max(1, len(bins) // rng.choice((5, 20, 50)))]) | set(rng.sample(range(len(bins)), max(1, len(bins) // rng.choice((5, 20, 50)))))
+    return _filled([b for i, b in enumerate(bins) if i not in gone], [x for i in gone for x in bins[i]], lengths, capacity, rng)
+
+
+def bound(lengths: list[int], capacity: int) -> int:
+    """Bins that any packing needs: by the sum of lengths, or by pieces of which no two fit together."""
+    return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
 
 
 def evolve(population: list[Bins], lengths: list[int], capacity: int, generations: int, rng: random.Random) -> list[Bins]:
-    floor = -(-sum(lengths) // capacity)
-    key = lambda b: fitness(b, lengths, capacity)
+    """Generations of two children each; parents win tournaments of two, and packings as good as another one are not kept.
+
+    Ends at the bound, or when PATIENCE generations brought nothing better.
+    """
+    size, floor, idle = max(2, len(population)), bound(lengths, capacity), 0
+    some = {fitness(b, lengths, capacity): b for b in population}
     for _ in range(generations):
-        population.sort(key=key, reverse=True)
-        if len(population[0]) <= floor:
-            break  # no packing has fewer bins
-        one, other = rng.sample(population, 2) if len(population) > 1 else population * 2
-        population = sorted([*population, crossover(one, other, lengths, capacity, rng), mutate(population[0], lengths, capacity, rng)], key=key, reverse=True)[: max(2, len(population))]
-    return sorted(population, key=key, reverse=True)
+        keys = sorted(some, reverse=True)
+        if -keys[0][0] <= floor or idle >= PATIENCE:
+            break  # no packing has fewer bins, or none is found
+        parent = lambda: some[max(rng.choice(keys), rng.choice(keys))]
+        for child in (crossover(parent(), parent(), lengths, capacity, rng), mutate(parent(), lengths, capacity, rng)):
+            some.setdefault(fitness(child, lengths, capacity), child)
+        best = sorted(some, reverse=True)[:size]
+        idle = 0 if best[0] > keys[0] else idle + 1
+        some = {k: some[k] for k in best}
+    return [some[k] for k in sorted(some, reverse=True)]
 
 
 def first_population(lengths: list[int], capacity: int, size: int, rng: random.Random) -> list[Bins]:
-    """Best fit, longest first; then with growing disorder."""
-    return [best_fit([], sorted(range(len(lengths)), key=lambda x: -lengths[x] * (1 + 0.15 * i * rng.random())), lengths, capacity) for i in range(size)]
+    """Best fit, longest first; bins as full as can be, begun with short and with long pieces; then best fit with growing disorder."""
+    every = range(len(lengths))
+    fit = lambda i: best_fit([], sorted(every, key=lambda x: -lengths[x] * (1 + 0.15 * i * rng.random())), lengths, capacity)
+    full = lambda short: fullest(list(every), lengths, capacity, short)
+    makers = [lambda: fit(0), lambda: full(True), lambda: full(False), *[lambda i=i: fit(i) for i in range(1, size)]]
+    return [make() for make in makers[:size]]
+
+
+def start(lengths: list[int], capacity: int, rng: random.Random) -> list[Bins]:
+    """The first population; best fit alone where no packing has fewer bins."""
+    best = best_fit([], sorted(range(len(lengths)), key=lambda x: -lengths[x]), lengths, capacity)
+    return [best] if len(best) <= bound(lengths, capacity) else first_population(lengths, capacity, POPULATION, rng)
 
 
 def _bins(packed: bytes) -> Bins:
@@ -168,8 +252,8 @@ def _level(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame
                 out = []
                 for cell_no, island, lengths, population in zip(b["cell"], b["island"], b["lengths"], b["population"]):
                     lengths, rng = [int(x) for x in lengths], random.Random(f"{level} {cell_no} {island} {number}")
-                    start = first_population(lengths, capacity, POPULATION, rng) if population is None else [_bins(x) for x in population]
-                    out.append([_packed(x, len(lengths)) for x in evolve(start, lengths, capacity, GENERATIONS, rng)])
+                    now = start(lengths, capacity, rng) if population is None else [_bins(x) for x in population]
+                    out.append([_packed(x, len(lengths)) for x in evolve(now, lengths, capacity, GENERATIONS, rng)])
                 yield b[["cell", "island", "lengths"]].assign(population=out)
 
         return rows

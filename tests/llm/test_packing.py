@@ -96,3 +96,66 @@ def test_repeated_rows_and_empty_table(spark):
     d = docs(spark, ["red fox"])
     assert P.pack_documents(d.union(d).union(d), capacity=16).count() == 3
     assert P.pack_documents(d.limit(0)).count() == 0
+
+
+def searched(lengths, capacity, seed=1):
+    rng = random.Random(seed)
+    found = P.start(lengths, capacity, rng)
+    for _ in range(P.EPOCHS):
+        found = P.evolve(found, lengths, capacity, P.GENERATIONS, rng)
+    best = found[0]
+    assert sorted(x for b in best for x in b) == list(range(len(lengths))) and all(sum(lengths[x] for x in b) <= capacity for b in best)
+    return len(best)
+
+
+def by_best_fit(lengths, capacity):
+    return len(P.best_fit([], sorted(range(len(lengths)), key=lambda x: -lengths[x]), lengths, capacity))
+
+
+def test_the_search_beats_best_fit_where_pieces_fit_badly():
+    rng = random.Random(1)
+    thirds = [rng.randint(1229, 1843) for _ in range(3000)]  # 30 to 45 % of a sequence
+    assert searched(thirds, 4096) <= 0.97 * by_best_fit(thirds, 4096)
+    wide = [rng.randint(1024, 2252) for _ in range(3000)]
+    assert searched(wide, 4096) <= 0.96 * by_best_fit(wide, 4096)
+
+
+def test_generations_beat_the_first_population():
+    """Pieces cut from 300 full bins, three of each."""
+    rng = random.Random(2)
+    lengths = [x for _ in range(300) for a in [rng.randint(250, 400)] for b in [rng.randint(250, 400)] for x in (a, b, 1000 - a - b)]
+    rng.shuffle(lengths)
+    first = min(map(len, P.first_population(lengths, 1000, P.POPULATION, random.Random(3))))
+    found = searched(lengths, 1000)
+    assert 300 <= found <= 303 and found < first < by_best_fit(lengths, 1000)
+
+
+def optimum(lengths, capacity):
+    """The fewest bins, by trying every bin for every piece."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in bins[:k]:
+                put(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_small_cases_reach_the_optimum():
+    rng, found, best, fit = random.Random(4), 0, 0, 0
+    for _ in range(60):
+        lengths = [rng.randint(15, 60) for _ in range(rng.randint(3, 11))]
+        want, got = optimum(lengths, 100), searched(lengths, 100)
+        assert P.bound(lengths, 100) <= want <= got
+        found, best, fit = found + got, best + want, fit + by_best_fit(lengths, 100)
+    assert found <= best + 1 and found <= fit
