@@ -7,6 +7,8 @@ licences.  The inverse document frequency of a template term counts all files.
 term counts as rarer than one file in ``RAREST``, and terms of no template count as
 that rare, so a verdict depends on the shares of words and not on the number of files.
 A file's own licence is that of its most similar passage, if that is similar enough.
+An SPDX tag with a known identifier says it exactly: the first such tag decides, at similarity 1.
+Lines with a tag, or that say what a file is not licensed under, are no passages, nor are runs and files that hold such a line.
 Files without
 one inherit from the nearest ancestor directory that holds a licence file.
 
@@ -26,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm._spark import small_or_shuffled, staged
-from docsift.llm.licence_texts import TEMPLATES
+from docsift.llm.licence_texts import IDENTIFIERS, TEMPLATES
 
 ANCHOR = r"(?i)licen[cs]e|redistribut|permission (?:is|to)|creative commons|spdx|\bcc by\b"
+#: An SPDX tag and its first identifier; and what says or names no licence of the file.
+TAG = r"spdx-license-identifier:[ \t]*\(?[ \t]*([a-z0-9.+-]+)"
+NO_PASSAGE = r"(?i)spdx-license-identifier|\bnot (?:licen[cs]ed|released|distributed|available) under\b"
 TERM = r"[a-z0-9]+"
 THRESHOLD = 0.6
 RAREST = 1000.0
@@ -52,7 +57,17 @@ def passages(text: F.Column) -> F.Column:
     one = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.lit(1).alias("n"), x.alias("passage")))
     three = F.transform(F.filter(one, lambda x: x["passage"].rlike(ANCHOR)), lambda x: F.struct((F.greatest(x["line"] - 1, F.lit(0))).alias("line"), F.lit(3).alias("n"), F.array_join(F.slice(lines, F.greatest(x["line"], F.lit(1)), F.lit(3)), " ").alias("passage")))
     whole = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("n"), F.coalesce(text, F.lit("")).alias("passage")))
-    return F.concat(F.filter(one, lambda x: x["passage"].rlike(ANCHOR)), three, whole)
+    return F.filter(F.concat(F.filter(one, lambda x: x["passage"].rlike(ANCHOR)), three, whole), lambda x: ~x["passage"].rlike(NO_PASSAGE))
+
+
+def _tagged(files: DataFrame, uid: str) -> DataFrame:
+    """uid, licence and line of each file's first SPDX tag with a known identifier."""
+    known = files.sparkSession.createDataFrame(sorted(IDENTIFIERS.items()), "id string, licence string")  # fixed
+    text = F.lower("text")
+    lines = files.where(text.contains("spdx-license-identifier")).select(uid, F.posexplode_outer(F.split(text, "\r?\n")).alias("line", "l"))
+    tags = lines.where(F.col("l").contains("spdx-license-identifier")).select(uid, "line", F.regexp_extract("l", TAG, 1).alias("id"))
+    found = tags.join(F.broadcast(known), "id").groupBy(uid).agg(F.min(F.struct("line", "licence")).alias("t"))
+    return found.select(F.col(uid).alias("_tagged"), F.col("t.licence").alias("tag"), F.col("t.line").alias("tag_line"))
 
 
 def _similar(files: DataFrame, uid: str) -> DataFrame:
@@ -77,7 +92,11 @@ def _similar(files: DataFrame, uid: str) -> DataFrame:
     dots = tf.join(F.broadcast(weights), F.col("term") == F.col("t")).groupBy(uid, "line", "n", "licence", "template").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
     cosine = dots.join(lengths, [uid, "line", "n"]).withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6))
     best = cosine.where(F.col("similarity") >= THRESHOLD).groupBy(uid).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence", "line")).alias("b"))
-    return best.select(F.col(uid).alias("_own"), F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("similarity"), F.col("b.line").alias("line"))
+    own = best.select(F.col(uid).alias("_own"), F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("similarity"), F.col("b.line").alias("line"))
+    tagged = _tagged(files, uid)
+    both = own.join(tagged, F.col("_own") == F.col("_tagged"), "full_outer")
+    exact = F.col("tag").isNotNull()
+    return both.select(F.coalesce("_own", "_tagged").alias("_own"), F.coalesce("tag", "own_licence").alias("own_licence"), F.when(exact, 1.0).otherwise(F.col("similarity")).alias("similarity"), F.when(exact, F.col("tag_line")).otherwise(F.col("line")).alias("line"))
 
 
 def ancestors(directory: F.Column) -> F.Column:

@@ -33,8 +33,15 @@ TEMPLATES = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", _GPL.format("2")],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", _GPL.format("3")],
     "ISC": ["Licensed under the ISC License", _ISC],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3"],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", _MIT],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Zlib": ["Licensed under the zlib License", _ZLIB],
 }
+
+#: How SPDX tags name these licences, in lower case.
+IDENTIFIERS = {i: name for name in TEMPLATES for i in (name.lower(), *([f"{name.lower()}{e}" for e in ("-only", "-or-later", "+")] if "GPL" in name else []))}

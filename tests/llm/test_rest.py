@@ -237,3 +237,24 @@ def test_stages_decide_and_keep_columns(spark, tmp_path):
     m = stages.mixing(spark, p, str(tmp_path))
     assert m.columns == d.columns and {r.doc_id for r in m.collect()} == {0, 3}
     assert {r.doc_id for r in stages.packing(spark, m, str(tmp_path)).collect()} == {0, 3}
+
+
+HEADERS = {
+    "// SPDX-License-Identifier: MIT": "MIT",
+    "# SPDX-License-Identifier: (Apache-2.0 OR MIT)": "Apache-2.0",
+    "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0",
+    "SPDX-License-Identifier: LGPL-2.1+": "LGPL-2.1",
+    "SPDX-License-Identifier: EPL-2.0": None,
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+    "This file is not licensed under the MIT License": None,
+    "This file is NOT released under the MIT License.": None,
+    "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    "Released under the MIT License": "MIT",
+}
+
+
+def test_tags_are_exact_and_denials_say_nothing(spark):
+    rows = [(i, f"src{i}/a.c", f"x = 1\n{h}\ny = 2") for i, h in enumerate(HEADERS)] + [(99, "t/a.c", "Released under the MIT License\nSPDX-License-Identifier: Zlib\nSPDX-License-Identifier: ISC")]
+    got = {r.doc_id: r for r in licence.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id").collect()}
+    assert [got[i].own_licence for i in range(len(HEADERS))] == list(HEADERS.values())
+    assert (got[0].similarity, got[0].line) == (1.0, 1) and (got[99].own_licence, got[99].line) == ("Zlib", 1)
