@@ -236,3 +236,23 @@ def test_configuration_from_the_session(spark):
     finally:
         for f in ("min_chunk_len", "normalize_embeddings", "recall"):
             spark.conf.unset(f"spark.docsift.store.{f}")
+
+
+def test_sqlite_by_ranges_of_rows(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "1.db") as db:
+        db.execute("CREATE TABLE files (name, path, content)")
+        db.executemany("INSERT INTO files (rowid, name, path, content) VALUES (?, ?, ?, ?)", [(3 * i + 7, f"n{i}", f"p{i}", i if i % 2 else b"\xff bytes") for i in range(50)])
+        db.execute("CREATE VIEW seen AS SELECT name, path, content FROM files WHERE name < 'n3'")
+        db.execute("CREATE TABLE keyed (name PRIMARY KEY, path, content) WITHOUT ROWID")
+        db.execute("INSERT INTO keyed VALUES ('k', 'p', NULL)")
+        db.execute("CREATE TABLE none (name, path, content)")
+    at = str(tmp_path / "1.db")
+    spark.dataSource.register(sqlite.SqliteFiles)
+    rows = spark.read.format("sqlite_files").option("paths", at).option("rows", "20").load()
+    assert rows.rdd.getNumPartitions() == 8
+    got = {r.name: (r.path, r.content) for r in rows.collect()}
+    assert len(got) == 50 and got["n3"] == ("p3", "3") and got["n2"] == ("p2", "� bytes")
+    assert sqlite.read(spark, [at], "seen").count() == sum(f"n{i}" < "n3" for i in range(50))
+    assert [tuple(r) for r in sqlite.read(spark, [at], "keyed").collect()] == [("k", "p", None, at)]
+    assert sqlite.read(spark, [at], "none").count() == 0
+    assert spark.read.format("sqlite_files").option("paths", at).option("rows", "9").option("keyword", "N4").load().count() == 11
