@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     at = given or spark.conf.get("spark.sql.warehouse.dir")
-    if not given and not spark.sparkContext.master.startswith("local") and (at.startswith("file:") or ":" not in at):
+    if not given and (at.startswith("file:") or ":" not in at) and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return at.rstrip("/")
 

@@ -114,6 +114,15 @@ def test_shared_folder_without_a_setting(spark):
         conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
 
     assert shared_dir(Session) == "hdfs://x/warehouse"
+
+    class Cluster:
+        conf = {"spark.sql.warehouse.dir": "file:/x/warehouse"}
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(Cluster)
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
