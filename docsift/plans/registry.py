@@ -34,8 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one, or in the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the cluster's shared one, or in the warehouse, unless that is on the local disks of a cluster."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    at = given or spark.conf.get("spark.sql.warehouse.dir")
+    if not given and (at.startswith("file:") or ":" not in at) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{at.rstrip('/')}/docsift-{name}-{uuid.uuid4().hex}"
 
 
