@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.text import cited
 from docsift.operators import bm25
+from docsift.operators.models import Model, with_result
 
 
 def dot(vector: Column, query: list[float]) -> Column:
@@ -49,14 +50,21 @@ def hybrid(dense: DataFrame, sparse: DataFrame, key: str, w_dense: float = 0.65,
     return joined.withColumn("mix", w_dense * F.col("dense") + w_sparse * F.col("bm25"))
 
 
-def rerank(candidates: DataFrame, key: str, text: str, score: Callable[[pd.Series], pd.Series] | None, top_n: int = 40, alpha: float = 0.7) -> DataFrame:
-    """Adds rerank and final: the head is scored by a model, the tail keeps its mix; no model, no change."""
+def rerank(candidates: DataFrame, key: str, text: str, score: Callable[[pd.Series], pd.Series] | Model | None, top_n: int = 40, alpha: float = 0.7) -> DataFrame:
+    """Adds rerank and final: the head is scored by a model, the tail keeps its mix; no model, no change.
+
+    A ``Model`` is loaded once a worker; a plain function is sent with every task.
+    """
     if score is None:
         return candidates.withColumns({"rerank": F.lit(None).cast("double"), "final": F.col("mix")})
     place = F.row_number().over(W.orderBy(F.desc("mix"), key))  # of a candidate list, not of a corpus
     head = (F.col("_place") <= top_n) & (F.coalesce(F.col(text), F.lit("")) != "")
-    model = F.pandas_udf(score, "double")
-    out = candidates.withColumn("_place", place).withColumn("_raw", F.when(head, model(F.when(head, F.col(text)))))
+    placed = candidates.withColumn("_place", place)
+    if isinstance(score, Model):
+        out = with_result(placed.withColumn("_asked", F.when(head, F.col(text))), "_asked", score, "_raw").drop("_asked")
+    else:
+        model = F.pandas_udf(score, "double")
+        out = placed.withColumn("_raw", F.when(head, model(F.when(head, F.col(text)))))
     lo, hi = F.min("_raw").over(W.partitionBy()), F.max("_raw").over(W.partitionBy())
     out = out.withColumn("rerank", F.when(F.col("_raw").isNotNull(), F.when(hi == lo, 0.0).otherwise((F.col("_raw") - lo) / (hi - lo))))
     return out.withColumn("final", F.coalesce(alpha * F.col("rerank") + (1 - alpha) * F.col("mix"), F.col("mix"))).drop("_place", "_raw")

@@ -24,6 +24,7 @@ from docsift.functions.text import normalize_text, text_sha1, tokens
 from docsift.operators import ivf, membership, postings, retrieval
 from docsift.operators.dedup import duplicate_ratio, first_seen, new_files
 from docsift.operators.metadata import common_root, with_running_id, with_source
+from docsift.operators.models import Model, with_result
 from docsift.operators.sections import chunks
 from docsift.sources import versions
 from docsift.sources.files import existing, scan, with_text
@@ -75,7 +76,10 @@ def hashing_embedder(dim: int) -> Callable[[pd.Series], pd.Series]:
     return embed
 
 
-def embedded(df: DataFrame, text: str, config: StoreConfig, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+def embedded(df: DataFrame, text: str, config: StoreConfig, embed: Callable[[pd.Series], pd.Series] | Model | None = None) -> DataFrame:
+    """Adds embedding: by feature hashing, by a function of texts, or by a model that workers hold."""
+    if isinstance(embed, Model):
+        return with_result(df, text, replace(embed, result="array<float>"), "embedding")
     model = F.pandas_udf(embed or hashing_embedder(config.dim), "array<float>")
     return df.withColumn("embedding", model(tokens(F.col(text)) if embed is None else F.col(text)))
 

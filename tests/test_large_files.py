@@ -89,3 +89,17 @@ def test_models_are_loaded_once_a_worker_and_asked_by_length(spark, tmp_path):
     for line in batches.read_text().split():
         sizes = list(map(int, line.split(",")))
         assert sizes == sorted(sizes) and len(sizes) <= 4
+
+
+def test_held_models_rerank_and_embed_as_functions_do(spark, tmp_path):
+    from docsift.operators import retrieval
+    from docsift.sources import store
+
+    rows = spark.createDataFrame([(i, i / 20, "x" * (i * 7 % 13)) for i in range(20)], "k int, mix double, t string")
+    held = models.Model("length", lambda: lambda texts: [float(len(t)) for t in texts], batch=3)
+    one, two = (sorted(map(tuple, retrieval.rerank(rows, "k", "t", s, 12).select("k", "rerank", "final").collect())) for s in (held, lambda t: t.str.len().astype("float64")))
+    assert one == two and sum(r is not None for _, r, _ in one) > 5
+    vectors = models.Model("vectors", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
+    files_ = spark.createDataFrame([("/a", 1, 9, "a text " * 20), ("/b", 1, 9, "words " * 30)], "path string, mtime long, size long, text string")
+    store.build(files_, str(tmp_path / "s"), store.StoreConfig(dim=2), vectors)
+    assert sorted(list(r.embedding) for r in store.read(spark, str(tmp_path / "s"), 2).collect()) == [[139.0, 1.0], [179.0, 1.0]]
