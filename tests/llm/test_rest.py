@@ -145,6 +145,52 @@ def test_exact_top_k(spark, monkeypatch):
             every = sorted((-max(-(2**63), min(2**63 - 1, sum(s * t for s, t in zip(a, b)))), i) for i, b in ok if i != q and len(b) == len(a))[:5]
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(every)]
     assert top_k(d.limit(0), d).count() == 0
+    assert top_k(d, d.limit(0)).count() == 0
+
+
+def brute_top(x, ids, queries, k):
+    whole = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    out = set()
+    for q in queries:
+        s = whole @ whole[q]
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+        out |= {(int(ids[q]), r + 1, int(ids[i]), int(s[i])) for r, i in enumerate(best)}
+    return out
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+
+
+def test_floors_are_handed_on_and_few_exact_vectors_are_read(spark, monkeypatch):
+    import docsift.llm.vafile as v
+
+    monkeypatch.setattr(v, "BLOCK", 64)
+    x = np.random.default_rng(2).normal(size=(6000, 16)).astype(np.float32)
+    d, k, groups = vectors(spark, x), 10, 8
+    queries = d.where("vec_id % 60 = 0")
+    exact, asked = v._candidates(d, k, groups), v._rows(queries).select(F.monotonically_increasing_id().alias("rid"), F.lit(0).alias("g"), "vec_id", "embedding")
+    open_ = v.open_candidates(v.staged(asked, "asked"), exact, k, groups)
+    read = open_.count()
+    # 100 queries meet 6000 vectors in 94 blocks: k rows for each block would be 94,000
+    assert 100 * k <= read <= 100 * 4 * k and not open_.where("crowd").count()
+    assert {tuple(r) for r in top_k(queries, d, k, groups).collect()} == brute_top(x, np.arange(6000), range(0, 6000, 60), k)
+
+
+def test_copies_and_crowds_of_vectors(spark, monkeypatch):
+    import docsift.llm.vafile as v
+
+    monkeypatch.setattr(v, "CROWD", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    x[:500] = x[0]  # a third are copies
+    x[500:1000] = x[500] + rng.normal(size=(500, 8)).astype(np.float32) / 2000  # closer together than a cell is wide
+    d = vectors(spark, x)
+    exact = v._candidates(d, 5, 4)
+    assert exact.count() == 1000 + 6
+    asked = v._rows(d.where("vec_id = 700")).select(F.lit(0).cast("long").alias("rid"), F.lit(0).alias("g"), "vec_id", "embedding")
+    assert v.open_candidates(asked, exact, 5, 4).where("crowd").count()
+    assert {tuple(r) for r in top_k(d.where("vec_id % 50 = 0"), d, 5, 4).collect()} == brute_top(x, np.arange(1500), range(0, 1500, 50), 5)
 
 
 FILES = {
