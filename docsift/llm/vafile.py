@@ -7,7 +7,8 @@ table of their own.  Three steps:
 *Scan.*  Query blocks meet cell blocks through an equi-join on a group number, and
 each cell bounds a score from both sides.  A task hands a query's k-th best lower
 bound, its floor, on from block to block; what cannot reach the floor is dropped.
-A sixteenth of the blocks is scanned first, so that the rest starts from its floors.
+A sixteenth of the vectors, in blocks of their own, is scanned first, so that the
+rest starts from its floors.
 
 *Reads.*  The few candidates left are ranked by upper bound: exact vectors of the
 first ``2 k`` are joined and scored, then of those whose bound still reaches the
@@ -42,7 +43,7 @@ from docsift.llm._spark import partitions, small_or_shuffled, staged
 BLOCK, QUERY_BLOCK = 2048, 256
 #: Open candidates of one group, in k, from which on it is scored by exact blocks.
 CROWD = 16
-#: One block in so many, of one group in so many, is scanned first.
+#: One vector in so many, of one group in so many, is scanned first.
 FIRST = 4
 _EXACT = float(1 << 53)
 _LIMIT = (1 << 63) - 1
@@ -70,13 +71,13 @@ def _candidates(vectors: DataFrame, k: int, groups: int) -> DataFrame:
     return staged(few.select(F.monotonically_increasing_id().alias("rid"), g.alias("g"), "vec_id", "embedding").repartition(groups, "g"), "exact")
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """uid, g, dim, shift, rids, ids, cells and exact components of up to ``size`` vectors a row."""
+def _blocks(vectors: DataFrame, size: int, early: F.Column | None = None) -> DataFrame:
+    """uid, g, early, dim, shift, rids, ids, cells and exact components of up to ``size`` vectors a row."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.assign(dim=b["embedding"].map(len).astype("int64"))
-            for (g, dim), part in b.groupby(["g", "dim"]):
+            for (g, first, dim), part in b.groupby(["g", "early", "dim"]):
                 for at in range(0, len(part), size):
                     p = part.iloc[at : at + size]
                     rids, ids = p["rid"].to_numpy(np.int64), p["vec_id"].to_numpy(np.int64)
@@ -84,9 +85,10 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
                     top = float(np.abs(q).max(initial=0))
                     shift = max(0, int(np.ceil(np.log2(top + 1))) - 7) if top else 0
                     cells = np.clip(np.floor(q / 2.0**shift), -128, 127).astype(np.int8)
-                    yield pd.DataFrame({"uid": [rids[0]], "g": [g], "dim": [dim], "shift": [shift], "rids": [rids.tobytes()], "ids": [ids.tobytes()], "cells": [cells.tobytes()], "exact": [q.tobytes()]})
+                    yield pd.DataFrame({"uid": [rids[0]], "g": [g], "early": [first], "dim": [dim], "shift": [shift], "rids": [rids.tobytes()], "ids": [ids.tobytes()], "cells": [cells.tobytes()], "exact": [q.tobytes()]})
 
-    return vectors.select("rid", "g", "vec_id", "embedding").mapInPandas(rows, "uid long, g int, dim int, shift int, rids binary, ids binary, cells binary, exact binary")
+    early = F.lit(False) if early is None else early
+    return vectors.select("rid", "g", early.alias("early"), "vec_id", "embedding").mapInPandas(rows, "uid long, g int, early boolean, dim int, shift int, rids binary, ids binary, cells binary, exact binary")
 
 
 def _whole(embeddings: pd.Series, dim: int) -> np.ndarray:
@@ -198,7 +200,8 @@ def _with_floors(blocks: DataFrame, floors: DataFrame) -> DataFrame:
 
 def open_candidates(queries: DataFrame, exact: DataFrame, k: int, groups: int) -> DataFrame:
     """The scan: q_rid, query_id, rid, vec_id, g, low, high, crowd of all that bounds leave open."""
-    cells = staged(_blocks(exact, BLOCK).drop("exact"), "va")
+    early = (F.pmod(F.xxhash64("rid"), F.lit(FIRST)) == 0) & (F.col("g") % FIRST == 0)
+    cells = staged(_blocks(exact, BLOCK, early).drop("exact"), "va")
     q = _blocks(queries, QUERY_BLOCK)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +209,8 @@ def open_candidates(queries: DataFrame, exact: DataFrame, k: int, groups: int) -
             yield b.assign(members=[np.frombuffer(r, np.int64) for r in b["rids"]], floors=None)
 
     q = staged(q.select("uid", "dim", "rids", "ids", "exact").mapInPandas(members, "uid long, dim int, rids binary, ids binary, exact binary, members array<long>, floors binary"), "queries")
-    early = (F.pmod(F.xxhash64("uid"), F.lit(FIRST)) == 0) & (F.col("g") % FIRST == 0)
-    first = staged(_scan(cells.where(early), q, k, groups, FIRST), "first")
-    rest = staged(_scan(cells.where(~early), _with_floors(q, _kth(first, "low", k)), k, groups), "rest")
+    first = staged(_scan(cells.where("early"), q, k, groups, FIRST), "first")
+    rest = staged(_scan(cells.where("not early"), _with_floors(q, _kth(first, "low", k)), k, groups), "rest")
     both = first.union(rest)
     floors = _kth(both, "low", k)
     return staged(both.join(floors, F.col("q_rid") == F.col("_q"), "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).drop("_q", "floor"), "open")
