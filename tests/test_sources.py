@@ -36,6 +36,11 @@ def test_scan_and_extract(spark, tmp_path):
     assert [r.display for r in hit] == ["Hit |  | 7"]
 
 
+def test_references_of_pages_end_with_a_semicolon(spark, tmp_path):
+    assert files.html_text("<title>a&amp;&amp</title><p>&lt;b&gt; &#233;&#xE9; &ampx; &zz; &copy=1 & &amp;lt;</p>&amp") == "a&&amp\n<b> éé &ampx; &zz; &copy=1 & &lt;\n&amp"
+    assert files.html_text("<script>&amp</script><a href='?a&amp=1'>x</a>") == "x"
+
+
 def test_sqlite(spark, tmp_path):
     for i in (1, 2):
         with sqlite3.connect(tmp_path / f"{i}.db") as db:
