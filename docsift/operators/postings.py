@@ -16,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import tokens
 from docsift.operators.bm25 import K1, B, query_tokens
+from docsift.operators.inverted import lists
 
 SPAN = 256
+#: Neighbouring blocks of a word that one file holds.
+TOGETHER = 1024
 #: Blocks read for the first k-th score, and most block numbers given to a scan as literals.
 FIRST, LITERALS = 16, 1000
 BLOCKS = "term string, block long, n int, total long, most int, least int, keys array<long>, tfs array<int>, dls array<int>"
@@ -37,17 +39,18 @@ class Statistics:
 
 
 def blocks(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """term, block, n, total (occurrences), most, least, keys, tfs, dls: at most SPAN keys a row."""
-    counted = rows.select(F.col(key).cast("long").alias("key"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    posts = counted.select("key", "dl", F.explode_outer("t").alias("term")).where("term is not null").groupBy("key", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    some = F.array_sort(F.collect_list(F.struct("key", "tf", "dl")))
-    grouped = posts.groupBy("term", F.floor(F.col("key") / SPAN).alias("block")).agg(F.count("*").cast("int").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("most"), F.min("dl").alias("least"), some.alias("p"))
-    return grouped.select("term", "block", "n", "total", "most", "least", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    """term, block, n, total (occurrences), most, least, keys, tfs, dls: at most SPAN keys a row.
+
+    Only texts are shuffled: they are dealt by their blocks, and a block's lists are made where its texts are.
+    """
+    own = rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("block", F.floor(F.col("key") / SPAN))
+    return lists(own.repartition("block").sortWithinPartitions("block", "key"), "long")
 
 
 def write(rows: DataFrame, key: str, text: str, at: str) -> Statistics:
     """Write a batch's blocks in order of words, so that a scan for some words skips the rest; returns its statistics."""
-    blocks(rows, key, text).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(at)
+    # by hash: for bounds of ranges all blocks would be made twice; a common word is in as many files as it fills
+    blocks(rows, key, text).repartition("term", F.floor(F.col("block") / TOGETHER)).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(at)
     # every occurrence of a word is in some block
     words = rows.sparkSession.read.schema(BLOCKS).parquet(at).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     return Statistics(rows.count(), words)

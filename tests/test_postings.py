@@ -59,6 +59,18 @@ def test_bounds_hold(spark, docs, tmp_path, monkeypatch):
     assert all(r["score"] <= bound[r["key"] // 16] + 1e-6 for r in s.scored(s.found).collect())
 
 
+def test_only_texts_are_shuffled(docs):
+    plan = postings.blocks(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(block" in plan
+
+
+def test_rows_of_one_key_have_postings_of_their_own(spark):
+    rows = spark.createDataFrame([(1, "Pump pump"), (1, "pump X"), (300, "pump"), (7, None)], "k long, t string")
+    got = sorted((r.term, r.block, r.n, r.total, r.most, r.least, list(zip(r["keys"], r.tfs, r.dls))) for r in postings.blocks(rows, "k", "t").collect())
+    got = [(*r[:-1], sorted(r[-1])) for r in got]
+    assert got == [("pump", 0, 2, 3, 2, 2, [(1, 1, 2), (1, 2, 2)]), ("pump", 1, 1, 1, 1, 1, [(300, 1, 1)]), ("x", 0, 1, 1, 1, 2, [(1, 1, 2)])]
+
+
 def test_filters_hold_all_and_little_else(spark):
     old = spark.range(30_000).select(F.sha1(F.col("id").cast("string")).alias("h"))
     new = spark.range(29_000, 60_000).select(F.sha1(F.col("id").cast("string")).alias("h"))
