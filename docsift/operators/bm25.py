@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import TOKEN, tokens
+from docsift.operators.inverted import lists
 
 K1, B = 1.5, 0.75
 
@@ -62,16 +63,22 @@ def top_k(docs: DataFrame, key: str, text: str, query: str, k: int = 30, counts_
     return s.orderBy(F.desc("score"), key).limit(k)
 
 
+#: Scan partitions whose lists of a word are in one file.
+TOGETHER = 16
+
+
 def build_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Write postings (key, term, tf, dl) in order of terms, and one row of statistics.
+    """Write lists of postings (term, keys, tfs, dls) in order of terms, and one row of statistics.
 
-    Row groups then hold few terms each, and a search reads only those of its words.
+    A search reads only the pages of its words.  A list is made where the texts are, and shuffled once: by hash, since
+    for bounds of ranges all lists would be made twice; a common word is in as many files as it fills.
     """
-    counted = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    rows = counted.select(key, "dl", F.explode_outer("_t").alias("term")).where("term is not null").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    # a common word is as many rows as documents, so the key breaks its range up
-    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
-    counted.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")
+    own = docs.select(F.lit(0).alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
+    made = lists(own, own.schema["key"].dataType.simpleString()).withColumn("part", F.floor(F.spark_partition_id() / F.lit(TOGETHER)))
+    made.repartition("term", "part").sortWithinPartitions("term", "part").select("term", "total", "keys", "tfs", "dls").write.parquet(f"{path}/postings")
+    n = docs.count()
+    words = docs.sparkSession.read.parquet(f"{path}/postings").agg((F.sum("total") / F.lit(max(n, 1))).alias("avgdl"))
+    words.select(F.lit(n).cast("long").alias("n"), "avgdl").write.parquet(f"{path}/stats")
 
 
 def search_index(spark: SparkSession, path: str, key: str, query: str, k: int = 30, k1: float = K1, b: float = B) -> DataFrame:
@@ -79,12 +86,14 @@ def search_index(spark: SparkSession, path: str, key: str, query: str, k: int =
     words = query_tokens(query)
     stats = spark.read.parquet(f"{path}/stats").first()
     found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(sorted(set(words))))
-    df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query word
+    df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.sum(F.size("keys")).alias("df")).collect()}  # a row for each query word
     weight = F.lit(0.0)
     for w in sorted(df):
         idf = F.log(F.lit(1 + (stats["n"] - df[w] + 0.5) / (df[w] + 0.5)))
         weight = F.when(F.col("term") == w, F.lit(words.count(w)) * idf).otherwise(weight)
-    f = F.col("tf").cast("double")
-    part = weight * f * (k1 + 1) / (f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit((stats["avgdl"] or 0.0) + 1e-9)) + 1e-9)
-    scored = found.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    f = F.col("tfs").cast("double")
+    part = weight * f * (k1 + 1) / (f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dls") / F.lit((stats["avgdl"] or 0.0) + 1e-9)) + 1e-9)
+    # outer, because the filter that Spark infers for an inner one reads the arrays a second time
+    rows = found.select("term", F.explode_outer(F.arrays_zip("keys", "tfs", "dls")).alias("p")).select("term", "p.*")
+    scored = rows.groupBy(F.col("keys").alias(key)).agg(F.round(F.sum(part), 6).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)

@@ -64,6 +64,17 @@ def test_only_texts_are_shuffled(docs):
     assert plan.count("Exchange") == 1 and "hashpartitioning(block" in plan
 
 
+@pytest.mark.parametrize("query", ["pump valve", "pump pump", "zzz"])
+def test_index_of_lists_equals_a_scan(spark, docs, tmp_path, query):
+    named = docs.select(F.concat(F.lit("d"), F.lpad("doc_id", 4, "0")).alias("name"), "text")
+    bm25.build_index(named, "name", "text", str(tmp_path / "i"))
+    want = [tuple(r) for r in bm25.top_k(named, "name", "text", query, 20).where("score > 0").collect()]
+    assert [tuple(r) for r in bm25.search_index(spark, str(tmp_path / "i"), "name", query, 20).collect()] == want
+    # a row for each word of a batch, not for each posting
+    index = spark.read.parquet(str(tmp_path / "i/postings"))
+    assert index.where("term = 'pump'").count() <= docs.rdd.getNumPartitions() and index.where("term = 'pump'").selectExpr("sum(size(keys))").first()[0] > 80
+
+
 def test_rows_of_one_key_have_postings_of_their_own(spark):
     rows = spark.createDataFrame([(1, "Pump pump"), (1, "pump X"), (300, "pump"), (7, None)], "k long, t string")
     got = sorted((r.term, r.block, r.n, r.total, r.most, r.least, list(zip(r["keys"], r.tfs, r.dls))) for r in postings.blocks(rows, "k", "t").collect())
