@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from docsift.operators.names import EditSynonyms, compile_query, expand_terms, fuzzy, letters_allow
 
 Q = 3
+#: Names of a file.
+NAMES = 50_000
 #: Characters that equal an ASCII letter when case is ignored, though their lower case is another; a fixed value.
 ODD = "[ſİıK]"
 
@@ -102,14 +104,18 @@ class NameIndex:
 
 
 def build(rows: DataFrame, key: str, name: str, at: str) -> None:
-    """Write the index of names; trigrams in order, so that a search skips files and row groups without its own."""
-    names = rows.withColumn("odd", F.coalesce(F.col(name).rlike(ODD), F.lit(False))).withColumnsRenamed({key: "key", name: "name"})
+    """Write the index of names in files of about ``NAMES``; trigrams are in order inside a file, so that a search skips pages without its own.
+
+    Names are dealt out, not trigrams, so what a task sorts is as large for any number of names.
+    """
+    dealt = rows.withColumnsRenamed({key: "key", name: "name"}).repartition(max(1, -(-rows.count() // NAMES)), "key")
+    names = dealt.withColumn("odd", F.coalesce(F.col("name").rlike(ODD), F.lit(False)))
     names.write.parquet(f"{at}/names")
     low = F.lower("name")
     cut = F.when(F.length(low) >= Q, F.transform(F.sequence(F.lit(1), F.length(low) - (Q - 1)), lambda i: F.substring(low, i, F.lit(Q))))
-    grams = names.select("key", F.explode_outer(cut).alias("gram")).where("gram is not null").groupBy("gram", "key").agg(F.count("*").cast("int").alias("n"))
-    # a trigram of many names is as many rows, so the key breaks its range up
-    grams.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{at}/grams")
+    each = dealt.select("key", cut.alias("cut")).select("key", "cut", F.explode_outer(F.array_distinct("cut")).alias("gram")).where("gram is not null")
+    grams = each.select("gram", "key", (F.size("cut") - F.size(F.array_remove("cut", F.col("gram")))).alias("n"))
+    grams.sortWithinPartitions("gram", "key").write.parquet(f"{at}/grams")
 
 
 def load(spark: SparkSession, at: str) -> NameIndex:

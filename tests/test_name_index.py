@@ -59,6 +59,18 @@ def test_few_names_are_looked_at(spark, tmp_path):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_tasks_of_the_build_do_not_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(name_index, "NAMES", 40)
+    # one file and one scan task, repeated trigrams, and a trigram of every name
+    rows = spark.range(400).coalesce(1).select("id", F.concat(F.lit("ababab pump "), "id").alias("label"))
+    name_index.build(rows, "id", "label", str(tmp_path / "i"))
+    own = name_index.load(spark, str(tmp_path / "i"))
+    files = own.grams.groupBy(F.input_file_name()).agg(F.countDistinct("key").alias("n")).collect()
+    assert len(files) == 10 and max(r["n"] for r in files) < 80
+    assert {(r["gram"], r["n"]) for r in own.grams.where("key = 7").collect()} == set(name_index.grams_of("ababab pump 7").items())
+    assert own.search("pump 7").count() == 11 and own.search("@pump 399", threshold=100.0).count() == 1
+
+
 def test_empty_table(spark, tmp_path):
     rows = spark.createDataFrame([], "id int, label string")
     name_index.build(rows, "id", "label", str(tmp_path / "i"))
