@@ -1,6 +1,7 @@
 """Files by ranges: duplicates and sections; and models held by workers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,18 @@ def test_segmented_scan_equals_the_one_in_a_row(spark, length):
     assert key(cut) == key(sections.chunks(rows, ["i", "r"], "text", 200, 300, 10))
 
 
+def test_lines_are_shuffled_once(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cut = segments.chunks(segments.lines_of(rows, ["i"]), ["i"], length=10)
+        plan = cut._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", plan, re.M)
+    assert len(dealt) > 5 and sum(bool(re.search(r"\bline#", x)) for x in dealt) == 1, dealt
+
+
 def test_models_are_loaded_once_a_worker_and_asked_by_length(spark, tmp_path):
     loads, batches = tmp_path / "loads", tmp_path / "batches"
 
