@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Words kept by each worker; older ones go when twice as many have been seen.
 CACHE_WORDS = 400_000
 #: A word of plain letters and the punctuation after it are tokenized apart, so they can be looked up apart.
-_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters of Latin-1, which the splitter leaves together and the normaliser only makes small.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Bytes of such letters that the byte-level vocabulary writes as other characters; the rest are Latin-1's own.
+_WRITTEN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordIds(dict):
@@ -37,10 +42,14 @@ class WordIds(dict):
                 found = self[tail[1]] + self[tail[2]]
             else:
                 text = word.decode("utf-8", "replace")
-                # small ASCII letters pass the normaliser and the splitter as they are
-                plain = word.isalpha() and word.islower()
-                ids = [t.id for t in self._model.tokenize(text)] if plain else self._tokenizer.encode(text, add_special_tokens=False).ids
-                found = np.array(ids, "<u4").tobytes()
+                if word.isalpha() and word.islower():
+                    # small ASCII letters pass the normaliser and the splitter as they are
+                    ids = [t.id for t in self._model.tokenize(text)]
+                elif _LETTERS.fullmatch(word):
+                    ids = [t.id for t in self._model.tokenize(text.lower().encode().decode("latin-1").translate(_WRITTEN))]
+                else:
+                    ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE_WORDS:
             self._old = dict(self)
             self.clear()
