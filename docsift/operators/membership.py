@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SHARD_BITS, BITS_EACH, PROBES = 1 << 18, 12, 8
 #: Bytes of filters that may be broadcast; a larger store is joined without them.
 MOST_BYTES = 64 << 20
+#: Keys that may be broadcast.
+KEYS = 2_000_000
 
 
 def _places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,3 +87,12 @@ def known_among(values: DataFrame, column: str, known: DataFrame, filters: DataF
     if maybe is None:
         return known
     return known.join(maybe.distinct(), column, "left_semi")
+
+
+def with_key_of(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """Those of the rows whose key is among ``others``; of these only keys travel, so a join of the two shuffles no row in vain.
+
+    Where there are more than KEYS of them, all rows, for the join to settle.
+    """
+    keys = others.select(key).distinct()
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= KEYS else rows

@@ -585,17 +585,23 @@ def rerank_mix(spark, d):
 _STORED = _HYBRID.replace("from documents", "from stored").replace("from embeddings, qv", "from embeddings, qv where vec_id in (select doc_id from stored)")
 
 
+def _stored(spark, d):
+    """Documents that have a vector; the others go before anything is shuffled or hashed."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("chunk"))
+    return membership.with_key_of(rows, "id", vectors).join(vectors, "id").withColumn("chunk_hash", X.text_sha1(F.col("chunk")))
+
+
 @query(f"""with stored as (select doc_id, source, text from documents where doc_id in (select vec_id from embeddings)), {_STORED},
 j as (select doc_id, source, text, round(mix, 6) mix from mixed join stored using (doc_id)), {_RERANKED.format('j')},
 t as (select *, row_number() over (partition by source order by final desc, doc_id) turn from f where final >= 0.15 and text != '')
 select doc_id, source, final from t where turn <= 2 order by final desc, doc_id limit 8""")
 def store_search(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("chunk"), X.text_sha1(F.col("text")).alias("chunk_hash")).join(vectors, "id")
+    chunks = _stored(spark, d)
     at, config = scratch(spark, "store"), store.StoreConfig(model_name="given", dim=64)
     state = versions.snapshot(spark, at)
     for i in range(3):  # a build and two appends
-        state = store.add_chunks(chunks.where(F.col("id") % 3 == i), at, state, f"b{i}", config)
+        state = store.add_chunks(chunks.where(F.pmod("id", F.lit(3)) == i), at, state, f"b{i}", config)
     spark.createDataFrame([asdict(config)]).write.parquet(f"{at}/config")
     return store.search(spark, at, QUERY, _query_vector(spark, d), "source", _model).select(F.col("id").alias("doc_id"), "source", "final")
 

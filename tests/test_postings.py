@@ -114,3 +114,13 @@ def test_append_with_filters_equals_append_without(spark, monkeypatch):
     assert sorted(tuple(r) for r in dedup.first_seen(rows, "text", ["doc_id"], some).collect()) == want
     monkeypatch.setattr(membership, "MOST_BYTES", 1)
     assert membership.known_among(hashes, "chunk_hash", known, filters) is known
+
+
+def test_rows_whose_key_others_have(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-3, 60)] + [(5, "again"), (None, "none")], "id long, text string")
+    others = spark.createDataFrame([(i,) for i in (-2, 5, 5, 40, 99)] + [(None,)], "id long")
+    found = membership.with_key_of(rows, "id", others)
+    assert sorted(r.text for r in found.collect()) == ["again", "t-2", "t40", "t5"]
+    assert "Exchange hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    monkeypatch.setattr(membership, "KEYS", 3)  # more of them: the join that follows settles it
+    assert membership.with_key_of(rows, "id", others) is rows

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -38,3 +39,28 @@ def test_equals_duckdb(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_store_search_shuffles_and_hashes_only_what_it_stores(spark, tmp_path, monkeypatch):
+    # ids below 0, documents without a vector or text, a vector without its document
+    texts = {i: None if i == 4 else f"The nation {'of ' * (i % 5)}with item {i} " + "ing " * (i % 3) for i in range(-7, 40)}
+    vectors = {i: [math.cos(i + j) for j in range(64)] for i in (*range(-5, 20), 77)}
+    spark.createDataFrame([(i, t, f"src{i % 4}") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    batches, add = [], registry.store.add_chunks
+    monkeypatch.setattr(registry.store, "add_chunks", lambda rows, *rest: batches.append(rows) or add(rows, *rest))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [tuple(r) for r in registry.store_search(spark, str(tmp_path)).collect()]
+        for rows in batches:
+            above, below = rows._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin", 1)
+            assert "sha1(" in above and "sha1(" not in below
+            assert below.index("Exchange hashpartitioning(id") < below.index("LeftSemi")
+        assert sorted(r.id for rows in batches for r in rows.select("id").collect()) == list(range(-5, 20))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.execute(registry.SQL["store_search"]).fetchall()
+    assert len(got) == 8 and [(*r[:2], round(r[2], 6)) for r in got] == [(*r[:2], round(r[2], 6)) for r in want]
